@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,3 +129,18 @@ def spans(hashes: np.ndarray, width: int, salt: int = 7) -> np.ndarray:
         for k in range(1, width):
             out += mixed(hashes[k : k + n] * factors[k]) if k % 2 else hashes[k : k + n] * factors[k]
         return mixed(out)
+
+
+class Written:
+    """A table written to the shared checkpoint folder; drop() deletes it once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame):
+        shared_checkpoints(df.sparkSession)
+        self.spark, self.path = df.sparkSession, f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(conf).delete(path, True)

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import bpe
 from corpusmill.llm.chat_format import formatted_digests, formatted_turns
 from corpusmill.llm.common import table
+from corpusmill.llm.decontamination import contamination, items_digest
 from corpusmill.llm.fingerprints import fingerprint_documents
+from corpusmill.llm.language_id import crc, identify
+from corpusmill.llm.ngram_jaccard import jaccard_components
 from corpusmill.llm.sharding import histogram_shards
 from corpusmill.llm.token_counts import token_counts
+from corpusmill.llm.toxicity import toxicity
 from corpusmill.llm.url_filters import STRONGEST, WEAKEST, filter_urls
 
 #: Both texts of the conversation that op8 adds.
@@ -20,6 +25,20 @@ CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 SHARDS = 24
 
 
+def language_rows() -> Column:
+    """The documents that language ID may learn from."""
+    return crc(F.col("doc_id"), 4) != 2
+
+
+def toxicity_rows() -> Column:
+    """The documents that the toxicity model may learn from."""
+    return crc(F.col("doc_id"), 3) != 1
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -28,10 +47,23 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), language_rows())
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity_rows())
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", items_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
@@ -47,9 +79,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_fingerprints": op2_fingerprints,
     "op3_url_filters": op3_url_filters,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
+    "op7_decontamination": op7_decontamination,
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
@@ -91,12 +127,4 @@ posterior AS (SELECT host, (good + k * m) / (n + k) AS mean, n + k AS weight FRO
 bounds AS (SELECT host, least(1.0::DOUBLE, mean + 1.645::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1))) AS score FROM posterior)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(score, 9) AS score
 FROM outcomes JOIN bounds USING (host)""",
-    "op10_sharding": f"""
-WITH rows AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS k, text FROM documents),
-summed AS (
-  SELECT *, sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS below, sum(size) OVER () AS total FROM rows),
-dealt AS (SELECT *, (below * {SHARDS} // total)::INTEGER AS shard FROM summed)
-SELECT doc_id, size::BIGINT AS size, CRC32 AS text_crc32, 'bytes' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM dealt""",
 }
