@@ -5,6 +5,568 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions import history as H
+from corpusmill.functions import text as T
+from corpusmill.operators import code, collect, deps, dupes, findings, hygiene, incremental, search, security, stats
+from corpusmill.operators import commits as C
+from corpusmill.plans import samples
+from corpusmill.plans.corpus import commits, files, log, snippets, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: What the searches look for; words that the texts have.
+PATTERN, REGEX, QUERY, QUESTION = "tion", r"\w+ing\b", "the token error", "the nation and the order of this"
+BUDGET, CHUNK, STALE_DAYS, LAST, TOP = 20_000, 12_000, 3, 5, 20
+
+# SQL that several oracles share: lines, tokens, files.
+_LINES = "lines AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS n, unnest(l) AS line, lang FROM (SELECT doc_id, lang, string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) AS l FROM documents WHERE text <> ''))"
+_TOKENS = "(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, cast(round_even((length(text) / 4.0::double + len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) / 0.75::double) / 2.0::double, 0) AS bigint)) END)::bigint"
+_FILES = f"files AS (SELECT doc_id AS path, lang AS language, source AS directory, octet_length(encode(text))::bigint AS size, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END)::bigint AS lines, {_TOKENS} AS tokens FROM documents)"
+_SUMS = "count(*) AS files, sum(size)::bigint AS bytes, sum(lines)::bigint AS lines, sum(tokens)::bigint AS tokens, round(sum(size) / count(*), 4) AS average_size"
+_IDS = "list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{1,}'), lambda x: lower(x))"
+_TF = f"ids AS (SELECT doc_id, {_IDS} AS t FROM documents), tf AS (SELECT doc_id, term, count(*) AS n, any_value(total) AS total FROM (SELECT doc_id, len(t) AS total, unnest(t) AS term FROM ids) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS docs FROM documents), w AS (SELECT doc_id, term, n::double / total * (ln((docs + 1)::double / (df + 1)) + 1) AS weight FROM tf JOIN df USING (term), n)"
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """Literal rows in SQL."""
+    show = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"(VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS v({names})"
+
+
+def register(name: str, sql: str | None = None) -> Callable:
+    """Add a query, with its SQL where it has any."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# Statistics
+
+
+@register("stats_totals", f"WITH {_FILES} SELECT {_SUMS} FROM files")
+def stats_totals(s: SparkSession, d: str) -> DataFrame:
+    return stats.totals(files(s, d))
+
+
+@register("stats_by_language", f"WITH {_FILES} SELECT language, {_SUMS} FROM files GROUP BY language")
+def stats_by_language(s: SparkSession, d: str) -> DataFrame:
+    return stats.totals_by(files(s, d), "language")
+
+
+@register("stats_by_source", f"WITH {_FILES} SELECT directory, {_SUMS} FROM files GROUP BY directory")
+def stats_by_source(s: SparkSession, d: str) -> DataFrame:
+    return stats.totals_by(files(s, d), "directory")
+
+
+@register("stats_grouping_sets", f"WITH {_FILES} SELECT language, {_SUMS}, grouping(language)::int AS level FROM files GROUP BY GROUPING SETS ((language), ())")
+def stats_grouping_sets(s: SparkSession, d: str) -> DataFrame:
+    return stats.totals_and_languages(files(s, d))
+
+
+@register("largest_files_topk", f"WITH {_FILES} SELECT path, size FROM files ORDER BY size DESC, path LIMIT {TOP}")
+def largest_files_topk(s: SparkSession, d: str) -> DataFrame:
+    return stats.largest(files(s, d), TOP)
+
+
+@register("file_token_counts", f"WITH {_FILES} SELECT path, size, lines, tokens FROM files")
+def file_token_counts(s: SparkSession, d: str) -> DataFrame:
+    return stats.measured(files(s, d)).select("path", "size", "lines", "tokens")
+
+
+@register("duplicate_files", "SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_path, (max(octet_length(encode(text))) * (count(*) - 1))::bigint AS wasted FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_files(s: SparkSession, d: str) -> DataFrame:
+    return stats.duplicates(files(s, d))
+
+
+# Duplicate blocks
+
+_BLOCKS = """{lines}, kept AS (SELECT doc_id, n, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS l FROM lines), numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS k FROM kept WHERE l <> ''),
+windows AS (SELECT doc_id, sha1(string_agg(l, chr(10) ORDER BY n)) AS signature, min(n) AS s, max(n) AS e FROM numbered GROUP BY doc_id, k // {size} HAVING count(*) = {size})"""
+
+
+def _blocks_sql(size: int) -> str:
+    return f"WITH {_BLOCKS.format(lines=_LINES, size=size)} SELECT signature, {size}::bigint AS lines, count(*) AS occurrences, arg_min(doc_id, doc_id * 1000000 + s) AS first_path, arg_min(s, doc_id * 1000000 + s) AS first_start, arg_min(e, doc_id * 1000000 + s) AS first_end FROM windows GROUP BY signature HAVING count(*) > 1"
+
+
+@register("duplicate_blocks_w3", _blocks_sql(3))
+def duplicate_blocks_w3(s: SparkSession, d: str) -> DataFrame:
+    return dupes.duplicate_blocks(files(s, d), 3)
+
+
+@register("duplicate_blocks_w6", _blocks_sql(6))
+def duplicate_blocks_w6(s: SparkSession, d: str) -> DataFrame:
+    return dupes.duplicate_blocks(files(s, d), 6)
+
+
+@register("duplicate_block_places", f"WITH {_BLOCKS.format(lines=_LINES, size=6)} SELECT signature, doc_id AS path, s AS start, e AS \"end\" FROM windows WHERE signature IN (SELECT signature FROM windows GROUP BY 1 HAVING count(*) > 1)")
+def duplicate_block_places(s: SparkSession, d: str) -> DataFrame:
+    return dupes.block_places(files(s, d), 6)
+
+
+@register("duplicate_blocks_vs_benchmark", f"WITH {_BLOCKS.format(lines=_LINES, size=1)}, known AS (SELECT DISTINCT item_id, sha1(trim(regexp_replace(l, '\\s+', ' ', 'g'))) AS signature FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE trim(regexp_replace(l, '\\s+', ' ', 'g')) <> '') SELECT doc_id AS path, s AS start, e AS \"end\", item_id AS known_path FROM windows JOIN known USING (signature)")
+def duplicate_blocks_vs_benchmark(s: SparkSession, d: str) -> DataFrame:
+    return dupes.blocks_in(files(s, d), snippets(s, d), 1)
+
+
+# Search
+
+
+@register("grep_literal", f"WITH {_LINES} SELECT doc_id AS path, n AS line_number, line FROM lines WHERE contains(line, '{PATTERN}')")
+def grep_literal(s: SparkSession, d: str) -> DataFrame:
+    return search.grep(files(s, d), PATTERN)
+
+
+@register("grep_ignore_case", f"WITH {_LINES} SELECT doc_id AS path, n AS line_number, line FROM lines WHERE contains(lower(line), 'the token')")
+def grep_ignore_case(s: SparkSession, d: str) -> DataFrame:
+    return search.grep(files(s, d), "The Token", ignore_case=True)
+
+
+@register("grep_regex", f"WITH {_LINES} SELECT doc_id AS path, n AS line_number, line FROM lines WHERE regexp_matches(line, '[0-9]{{3}}-[0-9]+')")
+def grep_regex(s: SparkSession, d: str) -> DataFrame:
+    return search.grep(files(s, d), "[0-9]{3}-[0-9]+", regex=True)
+
+
+@register("grep_context", f"WITH {_LINES}, around AS (SELECT *, array_agg(line) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b, array_agg(line) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS a FROM lines) SELECT doc_id AS path, n AS line_number, line, array_to_string(coalesce(b, []), '|') AS before, array_to_string(coalesce(a, []), '|') AS after FROM around WHERE contains(line, '@')")
+def grep_context(s: SparkSession, d: str) -> DataFrame:
+    return search.grep(files(s, d), "@", context=2).select("path", "line_number", "line", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
+
+
+@register("grep_language_filter", f"WITH {_LINES} SELECT doc_id AS path, n AS line_number, line FROM lines WHERE lang IN ('de', 'fr') AND contains(line, 'ein')")
+def grep_language_filter(s: SparkSession, d: str) -> DataFrame:
+    return search.grep(files(s, d), "ein", languages=["de", "fr"])
+
+
+@register("term_frequency", f"WITH {_TF} SELECT doc_id AS path, term, n, total::int AS total FROM tf")
+def term_frequency(s: SparkSession, d: str) -> DataFrame:
+    return search.term_frequencies(files(s, d)).select("path", "term", "n", "total")
+
+
+@register("document_frequency", f"WITH {_TF} SELECT term, df FROM df")
+def document_frequency(s: SparkSession, d: str) -> DataFrame:
+    return search.document_frequencies(files(s, d))
+
+
+@register("tfidf_weights_topk", f"WITH {_TF} SELECT doc_id AS path, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term)::int AS place, term, round(weight, 6) AS weight FROM w QUALIFY place <= 5")
+def tfidf_weights_topk(s: SparkSession, d: str) -> DataFrame:
+    return search.strongest_terms(files(s, d), 5)
+
+
+_PAIRS = values([(c, x) for c, xs in search.CONCEPTS.items() for x in xs], "concept, synonym")
+_WORDS = ["auth", "database", "error", "kubernetes", "token", "test", "view"]
+
+
+@register("query_expand", f"WITH p AS (SELECT * FROM {_PAIRS}), words AS (SELECT unnest({_WORDS}) AS word) SELECT word, word AS term FROM words UNION SELECT word, synonym FROM words JOIN p ON word = concept UNION SELECT word, concept FROM words JOIN p ON word = synonym UNION SELECT word, q.synonym FROM words JOIN p ON word = p.synonym JOIN p q ON q.concept = p.concept")
+def query_expand(s: SparkSession, d: str) -> DataFrame:
+    return search.expansions(s.createDataFrame([(w,) for w in _WORDS], "word string"))
+
+
+@register("keyword_search", f"WITH {_LINES}, hits AS (SELECT doc_id, term FROM lines JOIN (SELECT unnest({search.expanded(QUERY)}) AS term) ON contains(lower(line), term)) SELECT doc_id AS path, (count(*) + 3 * count(DISTINCT term))::double AS score, array_to_string(list_sort(list(DISTINCT term)), ',') AS matched_terms FROM hits GROUP BY doc_id")
+def keyword_search(s: SparkSession, d: str) -> DataFrame:
+    return search.keyword_search(files(s, d), QUERY).select("path", "score", F.array_join("matched_terms", ",").alias("matched_terms"))
+
+
+@register("keyword_samples", f"WITH {_LINES}, hits AS (SELECT doc_id, n, line, k, row_number() OVER (PARTITION BY doc_id ORDER BY k, n) AS place FROM lines JOIN (SELECT unnest(t) AS term, unnest(generate_series(1, len(t))) AS k FROM (SELECT {search.expanded(QUERY)} AS t)) ON contains(lower(line), term)) SELECT doc_id AS path, n AS line_number, line, place::int AS place FROM hits WHERE place <= 3")
+def keyword_samples(s: SparkSession, d: str) -> DataFrame:
+    rows = search.keyword_search(files(s, d), QUERY)
+    return rows.select("path", F.posexplode("samples").alias("p", "x")).select("path", "x.line_number", "x.line", (F.col("p") + 1).alias("place"))
+
+
+def _ranked_sql(terms: list[str]) -> str:
+    return f"WITH {_TF}, q AS (SELECT term, count(*)::double / {len(terms)} * (ln((max(docs) + 1)::double / (coalesce(max(df), 0) + 1)) + 1) AS qw FROM (SELECT unnest({terms}) AS term) LEFT JOIN df USING (term), n GROUP BY term), norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY doc_id), dots AS (SELECT doc_id, sum(weight * qw) AS dot FROM w JOIN q USING (term) GROUP BY doc_id) SELECT doc_id AS path, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)), 6) AS score FROM dots JOIN norms USING (doc_id) ORDER BY score DESC, path LIMIT {TOP}"
+
+
+@register("semantic_search_topk", _ranked_sql(search.expanded(QUERY)))
+def semantic_search_topk(s: SparkSession, d: str) -> DataFrame:
+    return search.semantic_search(files(s, d), QUERY, TOP)
+
+
+@register("rag_chunks", f"""WITH RECURSIVE {_LINES}, sized AS (SELECT doc_id, n, greatest(1, len(regexp_extract_all(line, '[a-zA-Z_][a-zA-Z0-9_]{{1,}}')))::bigint AS k FROM lines),
+fold AS (SELECT doc_id, n, k AS cur, 0::bigint AS c FROM sized WHERE n = 1 UNION ALL SELECT s.doc_id, s.n, CASE WHEN f.cur + s.k > 400 THEN s.k ELSE f.cur + s.k END, CASE WHEN f.cur + s.k > 400 THEN f.c + 1 ELSE f.c END FROM fold f JOIN sized s ON s.doc_id = f.doc_id AND s.n = f.n + 1)
+SELECT doc_id AS path, c AS chunk_index, min(n) AS start_line, max(n) AS end_line FROM fold GROUP BY ALL""")
+def rag_chunks(s: SparkSession, d: str) -> DataFrame:
+    return search.chunks(files(s, d)).drop("content")
+
+
+@register("rag_chunk_coverage", f"WITH {_LINES} SELECT doc_id AS path, count(*) AS covered, 1::bigint AS first_line, max(n) AS last_line FROM lines GROUP BY doc_id")
+def rag_chunk_coverage(s: SparkSession, d: str) -> DataFrame:
+    rows = search.chunks(files(s, d)).groupBy("path")
+    return rows.agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("covered"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"))
+
+
+@register("rag_retrieve_topk")
+def rag_retrieve_topk(s: SparkSession, d: str) -> DataFrame:
+    return search.retrieve(files(s, d), QUESTION)
+
+
+@register("dense_cosine_topk", "SELECT vec_id, round(list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
+def dense_cosine_topk(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "embeddings")
+    first = rows.orderBy("vec_id").first()
+    if first is None:
+        return rows.select("vec_id", F.lit(0.0).alias("score"))
+    q = [float(x) for x in first["embedding"]]
+    dot = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), F.array(*[F.lit(x) for x in q]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    norm = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select("vec_id", F.round(dot / (norm * sum(x * x for x in q) ** 0.5), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(TOP)
+
+
+# Collections
+
+
+def _fold_sql(limit: int, first: str, step: str, out: str) -> str:
+    return f"WITH RECURSIVE {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY path) AS k FROM files), f AS (SELECT directory, k, path, tokens, {first} FROM r WHERE k = 1 UNION ALL SELECT r.directory, r.k, r.path, r.tokens, {step} FROM f JOIN r ON r.directory = f.directory AND r.k = f.k + 1) SELECT directory, path, tokens, {out} FROM f"
+
+
+@register("collect_budget", _fold_sql(BUDGET, f"CASE WHEN tokens <= {BUDGET} THEN tokens ELSE 0 END AS total, tokens <= {BUDGET} AS taken", f"CASE WHEN total + r.tokens <= {BUDGET} THEN total + r.tokens ELSE total END, total + r.tokens <= {BUDGET}", "taken"))
+def collect_budget(s: SparkSession, d: str) -> DataFrame:
+    return collect.within_budget(collect.with_sizes(files(s, d)), "directory", "path", BUDGET)
+
+
+@register("chunk_by_tokens", _fold_sql(CHUNK, "tokens AS total, 0::bigint AS chunk", f"CASE WHEN total > 0 AND total + r.tokens > {CHUNK} THEN r.tokens ELSE total + r.tokens END, CASE WHEN total > 0 AND total + r.tokens > {CHUNK} THEN chunk + 1 ELSE chunk END", "chunk"))
+def chunk_by_tokens(s: SparkSession, d: str) -> DataFrame:
+    return collect.chunked(collect.with_sizes(files(s, d)), "directory", "path", CHUNK)
+
+
+@register("bundle_priority", """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/]+/?([^?#]*)', 1)) AS path FROM pages), n AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM p)
+SELECT page_id, (CASE WHEN regexp_replace(name, '(.)\\.[^.]*$', '\\1') IN ('main','app','index','server','cli','api','core','models','routes','config','settings') THEN 50 ELSE 0 END
+ + CASE WHEN name IN ('readme.md','readme.rst','readme.txt','readme') THEN 100 ELSE 0 END + CASE WHEN name IN ('pyproject.toml','package.json','cargo.toml','go.mod','requirements.txt','pubspec.yaml','dockerfile','docker-compose.yml','makefile') THEN 80 ELSE 0 END
+ + CASE WHEN contains(path, 'test') OR contains(path, 'spec') THEN -1000 ELSE 0 END)::bigint AS priority FROM n""")
+def bundle_priority(s: SparkSession, d: str) -> DataFrame:
+    path = F.lower(F.regexp_extract("url", "^[a-z]+://[^/]+/?([^?#]*)", 1))
+    return table(s, d, "pages").select("page_id", collect.priority(path, F.lit(None).cast("long")).alias("priority"))
+
+
+@register("collect_manifest", f"WITH {_FILES} SELECT path::varchar AS path, language, tokens, size, sha256(text) AS hash FROM files JOIN documents ON path = doc_id")
+def collect_manifest(s: SparkSession, d: str) -> DataFrame:
+    written = collect.manifest(collect.with_sizes(files(s, d)))
+    return collect.from_manifest(written).select("path", "language", "tokens", "size", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
+
+
+@register("expand_actions", "SELECT d.doc_id::varchar AS path, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN l.quality = 1 THEN 'same' ELSE 'conflict' END AS action FROM documents d LEFT JOIN labels l USING (doc_id)")
+def expand_actions(s: SparkSession, d: str) -> DataFrame:
+    docs = files(s, d).select(F.col("path").cast("string").alias("path"), "content")
+    marks = table(s, d, "labels").select(F.col("doc_id").cast("string").alias("path"), "quality")
+    old = docs.join(marks, "path").select("path", F.when(F.col("quality") == 1, F.col("content")).otherwise(F.concat("content", F.lit("!"))).alias("content"))
+    return collect.to_write(docs, old)
+
+
+# Security
+
+_RULE_SQL = " UNION ALL ".join(f"SELECT doc_id AS path, n AS line_number, '{r.name}' AS rule, '{r.severity}' AS severity FROM lines WHERE regexp_matches(line, '{r.pattern.replace(chr(39), chr(39) * 2)}')" for r in security.RULES if not r.languages)
+
+
+@register("security_findings", f"WITH {_LINES} {_RULE_SQL}")
+def security_findings(s: SparkSession, d: str) -> DataFrame:
+    return security.scan(files(s, d)).drop("message")
+
+
+@register("security_by_severity", f"WITH {_LINES}, f AS ({_RULE_SQL}) SELECT severity, rule, count(*) AS findings, count(DISTINCT path) AS files FROM f GROUP BY ALL")
+def security_by_severity(s: SparkSession, d: str) -> DataFrame:
+    return security.scan(files(s, d)).groupBy("severity", "rule").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("files"))
+
+
+@register("diff_findings", f"SELECT * FROM {values(samples.DIFF_FINDINGS, 'diff, path, line_number, rule')}")
+def diff_findings(s: SparkSession, d: str) -> DataFrame:
+    rows = s.createDataFrame([(name, k, x) for name, text in samples.DIFFS for k, x in enumerate(text.split("\n"))], "diff string, n long, line string")
+    return security.scan_diff(rows).select("diff", "path", F.col("line_number").cast("int").alias("line_number"), "rule")
+
+
+# Pages
+
+_CASES = " ".join(f"WHEN '{e}' THEN '{lang}'" for lang, es in T.LANGUAGES.items() for e in es)
+
+
+@register("page_language", f"SELECT page_id, CASE lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+/?([^?#]*)', 1), '[^./][^/]*\\.([^./]+)$', 1)) {_CASES} ELSE 'other' END AS language FROM pages")
+def page_language(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages").select("page_id", T.language_of(F.regexp_extract("url", "^[a-z]+://[^/]+/?([^?#]*)", 1)).alias("language"))
+
+
+@register("page_host_stats", "SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS pages, sum(octet_length(encode(html)))::bigint AS bytes FROM pages GROUP BY 1")
+def page_host_stats(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("pages"), F.sum(T.byte_size(F.col("html"))).alias("bytes"))
+
+
+# History
+
+_COMMITS = f"commits AS (SELECT conv_id || '-' || turn AS hash, text AS message, split_part(text, chr(10), 1) AS subject FROM conversations UNION ALL SELECT hash, subject, subject FROM {values(samples.SUBJECTS, 'hash, subject')})"
+_SECTION = "CASE lower(regexp_extract(subject, r, 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in H.SECTIONS.items()) + " ELSE 'Other' END"
+_CLASSIFIED = f"c AS (SELECT hash, CASE WHEN regexp_matches(subject, r) THEN {_SECTION} ELSE 'Other' END AS section, CASE WHEN regexp_matches(subject, r) THEN nullif(regexp_extract(subject, r, 2), '') END AS scope, CASE WHEN regexp_matches(subject, r) THEN regexp_extract(subject, r, 4) ELSE subject END AS description, regexp_matches(subject, r) AND regexp_extract(subject, r, 3) = '!' AS breaking FROM (SELECT *, '{H.SUBJECT}' AS r FROM commits))"
+
+
+def all_commits(s: SparkSession, d: str) -> DataFrame:
+    """The table's messages, and a few that show the grammar."""
+    extra = s.createDataFrame(samples.SUBJECTS, "hash string, subject string").select("hash", F.col("subject").alias("message"), "subject")
+    return commits(s, d).select("hash", "message", "subject").unionByName(extra)
+
+
+@register("commit_classify", f"WITH {_COMMITS}, {_CLASSIFIED} SELECT * FROM c".replace("'" + H.SUBJECT + "' AS r", "'" + H.SUBJECT + "' AS r"))
+def commit_classify(s: SparkSession, d: str) -> DataFrame:
+    return C.classified(all_commits(s, d))
+
+
+@register("changelog_sections", f"WITH {_COMMITS}, {_CLASSIFIED} SELECT list_position({H.SECTION_ORDER}, section)::bigint AS place, section, count(*) AS entries, count(*) FILTER (breaking) AS breaking, max(hash) AS latest FROM c GROUP BY section")
+def changelog_sections(s: SparkSession, d: str) -> DataFrame:
+    return C.sections(all_commits(s, d))
+
+
+_STRICT = H.STRICT_SUBJECT
+_LINT = f"""l AS (SELECT hash, trim(subject) AS s, regexp_matches(trim(subject), '{_STRICT}') AS ok, regexp_extract(trim(subject), '{_STRICT}', 1) AS k, regexp_extract(trim(subject), '{_STRICT}', 4) AS t FROM commits)
+SELECT hash, CASE WHEN s = '' THEN 'empty commit subject' WHEN NOT ok THEN 'does not match ''<type>(<scope>)?: <description>'' (known types: {H.KNOWN_TYPES})' ELSE array_to_string(list_filter([
+ CASE WHEN k NOT IN ({', '.join(repr(x) for x in H.SECTIONS)}) THEN 'unknown type ''' || k || ''' (known types: {H.KNOWN_TYPES})' END,
+ CASE WHEN upper(t[1]) = t[1] AND lower(t[1]) <> t[1] THEN 'description should start lowercase (Conventional Commits convention)' END,
+ CASE WHEN ends_with(t, '.') THEN 'description should not end with a period' END,
+ CASE WHEN length(s) > 100 THEN 'subject is ' || length(s) || ' chars, longer than 100' END], lambda x: x IS NOT NULL), '; ') END AS reasons FROM l
+WHERE NOT (s <> '' AND regexp_matches(s, '^Merge (branch|pull request|remote-tracking branch)\\b'))"""
+
+
+@register("commit_lint", f"SELECT * FROM (WITH {_COMMITS}, {_LINT}) WHERE reasons <> ''")
+def commit_lint(s: SparkSession, d: str) -> DataFrame:
+    return C.linted(all_commits(s, d)).select("hash", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@register("issue_refs", f"WITH {_COMMITS}, found AS (SELECT hash, message, unnest(list_distinct(list_concat(regexp_extract_all(message, '\\b([A-Z][A-Z0-9]{{1,9}}-\\d+)\\b', 1), regexp_extract_all(message, '(?:^|[^A-Za-z0-9_])#(\\d+)\\b', 1)))) AS issue FROM commits) SELECT hash, issue, regexp_matches(message, '(?i)\\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\\b') AS closes FROM found")
+def issue_refs(s: SparkSession, d: str) -> DataFrame:
+    return C.issues(all_commits(s, d))
+
+
+@register("contributors", "WITH s AS (SELECT l_orderkey, sum(l_quantity)::bigint AS a, sum(l_linenumber)::bigint AS b FROM lineitem GROUP BY 1) SELECT c_name AS author, count(*) AS commits, sum(a)::bigint AS additions, sum(b)::bigint AS deletions, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders JOIN s ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY c_name")
+def contributors(s: SparkSession, d: str) -> DataFrame:
+    sums = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("long").alias("additions"), F.sum("l_linenumber").cast("long").alias("deletions"))
+    people = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("email"))
+    rows = table(s, d, "orders").join(sums, "o_orderkey").join(people, "o_custkey").select("email", F.col("email").alias("name"), "additions", "deletions", F.col("o_orderdate").alias("date"))
+    return C.contributors(rows).drop("name")
+
+
+@register("churn", "SELECT l_partkey AS path, count(*) AS churn FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1")
+def churn(s: SparkSession, d: str) -> DataFrame:
+    return C.churn(table(s, d, "lineitem").where("l_shipdate >= timestamp_ntz '1996-01-01'").select(F.col("l_partkey").alias("path")))
+
+
+@register("hotspots", f"WITH c AS (SELECT l_partkey AS path, count(*) AS churn FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1), m AS (SELECT p_partkey AS path, length(p_name)::bigint AS lines, CASE WHEN p_size >= 10 THEN p_size END AS x FROM part) SELECT path, churn, greatest(coalesce(x, lines), 1)::bigint AS complexity, x IS NULL AS estimated, (churn * greatest(coalesce(x, lines), 1))::bigint AS score FROM m JOIN c USING (path) ORDER BY score DESC, path LIMIT {TOP}")
+def hotspots(s: SparkSession, d: str) -> DataFrame:
+    parts = table(s, d, "part")
+    sizes = parts.select(F.col("p_partkey").alias("path"), F.length("p_name").cast("long").alias("lines"))
+    return C.hotspots(sizes, churn(s, d), parts.where("p_size >= 10").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("complexity")), TOP)
+
+
+_OWNERS = "b AS (SELECT l_partkey AS path, l_suppkey AS author, count(*) AS lines FROM lineitem GROUP BY ALL), o AS (SELECT path, arg_max(author, lines * 1000000000 - author) AS author, max(lines)::bigint AS top_lines, sum(lines)::bigint AS total, round(max(lines) / sum(lines), 4) AS share FROM b GROUP BY path)"
+
+
+def _owners(s: SparkSession, d: str) -> DataFrame:
+    return C.owners(table(s, d, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author"), F.lit(1).alias("lines")))
+
+
+@register("owners_top_author", f"WITH {_OWNERS} SELECT * FROM o")
+def owners_top_author(s: SparkSession, d: str) -> DataFrame:
+    return _owners(s, d)
+
+
+@register("owners_by_author", f"WITH {_OWNERS} SELECT author, count(*) AS files, sum(top_lines)::bigint AS lines FROM o GROUP BY author")
+def owners_by_author(s: SparkSession, d: str) -> DataFrame:
+    return C.owned_files(_owners(s, d))
+
+
+@register("stale_entities", f"WITH l AS (SELECT user_id || ':' || event_type AS name, max(ts) AS last FROM events GROUP BY ALL), n AS (SELECT max(ts) AS now FROM events) SELECT name, (epoch_us(now) - epoch_us(last)) // 86400000000 AS age_days FROM l, n WHERE (epoch_us(now) - epoch_us(last)) // 86400000000 >= {STALE_DAYS}")
+def stale_entities(s: SparkSession, d: str) -> DataFrame:
+    rows = log(s, d)
+    now = rows.agg(F.max("ts").cast("timestamp").alias("now")).first()["now"]
+    last = rows.groupBy(F.concat_ws(":", "project", "command").alias("name")).agg(F.max("ts").cast("timestamp").alias("last")).withColumn("is_current", F.lit(False))
+    return C.stale(last, F.lit(now), STALE_DAYS).select("name", "age_days")
+
+
+@register("history_last_n", f"SELECT event_id AS id, user_id AS project, event_type AS command, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::int AS place FROM events QUALIFY place <= {LAST}")
+def history_last_n(s: SparkSession, d: str) -> DataFrame:
+    return C.last_runs(log(s, d), "project", LAST).select("id", "project", "command", "place")
+
+
+@register("history_by_command", "SELECT event_type AS command, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failures, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
+def history_by_command(s: SparkSession, d: str) -> DataFrame:
+    return C.by_command(log(s, d))
+
+
+@register("history_props_json", "SELECT event_id AS id, (props::json->>'k')::bigint AS k FROM events")
+def history_props_json(s: SparkSession, d: str) -> DataFrame:
+    return log(s, d).select("id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# Change detection: the index is what labels knows, with its quality as mark.
+
+
+def _marks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    old = table(s, d, "labels").select(F.col("doc_id").alias("path"), F.col("quality").cast("int").alias("mark"))
+    return old, files(s, d).select("path", (F.length("content") > 1000).cast("int").alias("mark"))
+
+
+@register("stale_paths", "SELECT doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def stale_paths(s: SparkSession, d: str) -> DataFrame:
+    old, new = _marks(s, d)
+    return incremental.stale_paths(new, old)
+
+
+@register("changed_paths", "SELECT d.doc_id AS path FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.quality = (length(text) > 1000)::int WHERE l.doc_id IS NULL")
+def changed_paths(s: SparkSession, d: str) -> DataFrame:
+    return incremental.changed_paths(*_marks(s, d))
+
+
+@register("fingerprint_diff", "SELECT coalesce(d.doc_id, l.doc_id) AS path, CASE WHEN l.doc_id IS NULL THEN 'added' WHEN d.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS status FROM documents d FULL JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL OR l.quality <> (length(text) > 1000)::int")
+def fingerprint_diff(s: SparkSession, d: str) -> DataFrame:
+    return incremental.differences(*_marks(s, d))
+
+
+@register("index_update", "SELECT doc_id AS path, (length(text) > 1000)::int AS mark FROM documents")
+def index_update(s: SparkSession, d: str) -> DataFrame:
+    return incremental.merged_index(*_marks(s, d))
+
+
+# Findings and scores
+
+
+def label_findings(s: SparkSession, d: str) -> DataFrame:
+    """labels as findings: toxic is an error, low quality a warning, else info."""
+    severity = F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 0, "warning").otherwise("info")
+    return table(s, d, "labels").select(F.col("doc_id").cast("string").alias("file"), F.lit(None).cast("long").alias("line"), F.lit("label").alias("rule"), severity.alias("severity"), F.lit("labelled").alias("message"), F.lit("labels").alias("source"))
+
+
+def rule_findings(s: SparkSession, d: str) -> DataFrame:
+    severity = F.when(F.col("severity") == "high", "error").when(F.col("severity") == "medium", "warning").otherwise("info")
+    return security.scan(files(s, d)).select(F.col("path").cast("string").alias("file"), F.col("line_number").alias("line"), "rule", severity.alias("severity"), "message", F.lit("security").alias("source"))
+
+
+_LABELLED = "SELECT doc_id::varchar AS file, NULL::bigint AS line, 'label' AS rule, CASE WHEN toxic = 1 THEN 'error' WHEN quality = 0 THEN 'warning' ELSE 'info' END AS severity, 'labels' AS source FROM labels"
+_SECURED = f"SELECT path::varchar AS file, line_number AS line, rule, CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'info' END AS severity, 'security' AS source FROM ({_RULE_SQL})"
+
+
+@register("findings_union", f"WITH {_LINES} {_LABELLED} UNION ALL {_SECURED}")
+def findings_union(s: SparkSession, d: str) -> DataFrame:
+    return findings.union(label_findings(s, d), rule_findings(s, d)).drop("message")
+
+
+@register("severity_rollup", f"WITH {_LINES}, f AS ({_LABELLED} UNION ALL {_SECURED}) SELECT source, severity, count(*) AS findings FROM f GROUP BY ALL")
+def severity_rollup(s: SparkSession, d: str) -> DataFrame:
+    return findings_union(s, d).groupBy("source", "severity").agg(F.count("*").alias("findings"))
+
+
+_HEALTH = f"""WITH {_BLOCKS.format(lines=_LINES, size=6)}, sec AS ({_SECURED}), lab AS ({_LABELLED}),
+doc AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'info') AS i FROM sec), lin AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM lab),
+cx AS (SELECT count(*) FILTER (p_size >= 10) AS f, count(*) AS n FROM part), dup AS (SELECT coalesce(sum(6 * c), 0) AS t FROM (SELECT count(*) AS c FROM windows GROUP BY signature HAVING count(*) > 1)),
+h AS (SELECT 'doctor' AS category, 25 AS weight, (25 - least(25, 6 * e + 3 * w + i))::bigint AS score FROM doc UNION ALL SELECT 'lint', 35, (35 - least(35, 2 * e + w))::bigint FROM lin UNION ALL SELECT 'complexity', 20, CASE WHEN n = 0 THEN 20 ELSE round_even(20 * (1 - f::double / n), 0) END::bigint FROM cx UNION ALL SELECT 'duplication', 20, (20 - least(20, round_even(20 * t::double / 500, 0)))::bigint FROM dup)"""
+
+
+@register("health_score", f"{_HEALTH} SELECT * FROM h")
+def health_score(s: SparkSession, d: str) -> DataFrame:
+    functions = table(s, d, "part").select(F.col("p_size").alias("complexity"))
+    return findings.health(rule_findings(s, d), label_findings(s, d), functions, dupes.duplicate_blocks(files(s, d), 6))
+
+
+@register("grade", f"{_HEALTH} SELECT sum(score)::bigint AS score, CASE WHEN sum(score) >= 90 THEN 'A' WHEN sum(score) >= 80 THEN 'B' WHEN sum(score) >= 70 THEN 'C' WHEN sum(score) >= 60 THEN 'D' ELSE 'F' END AS grade FROM h")
+def grade(s: SparkSession, d: str) -> DataFrame:
+    return health_score(s, d).agg(F.sum("score").alias("score")).select("score", T.grade(F.col("score")).alias("grade"))
+
+
+@register("compliance_score", f"""WITH {_LINES}, sec AS ({_SECURED}), h AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'info') AS i FROM sec),
+l AS (SELECT count(*) FILTER (lower(n_name) IN ('france', 'germany')) AS denied, 0 AS unknown FROM supplier JOIN nation ON n_nationkey = s_nationkey), x AS (SELECT count(*) AS dead FROM labels WHERE quality = 0)
+SELECT greatest(0, least(100, 100 - 12 * e - 5 * w - i - 15 * denied - 2 * least(unknown, 10) - least(dead, 20)))::bigint AS score, denied, unknown::bigint AS unknown, dead FROM h, l, x""")
+def compliance_score(s: SparkSession, d: str) -> DataFrame:
+    licences = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.coalesce("n_name", F.lit("unknown")).alias("licence"))
+    return findings.compliance(rule_findings(s, d), licences, ["France", "Germany"], table(s, d, "labels").where("quality = 0"))
+
+
+@register("sarif_roundtrip", f"WITH {_LINES}, f AS ({_LABELLED} UNION ALL {_SECURED}) SELECT source, file, coalesce(nullif(line, 0), 1)::bigint AS line, rule, severity FROM f")
+def sarif_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Each finding as SARIF and back. A log holds one result here, so that logs of any number of findings come through."""
+    body = findings.sarif_results(findings.union(label_findings(s, d), rule_findings(s, d)))
+    logs = body.select(F.concat(F.lit('{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"'), "source", F.lit('"}},"results":['), "json", F.lit("]}]}")).alias("json"))
+    return findings.external(logs).select("source", "file", "line", "rule", "severity")
+
+
+@register("lint_reports", f"SELECT * FROM {values(samples.REPORT_FINDINGS, 'source, file, line, rule, severity')}")
+def lint_reports(s: SparkSession, d: str) -> DataFrame:
+    parts = [parse(s.createDataFrame([(x,) for x in samples.REPORTS[name]], "json string")) for name, parse in findings.ADAPTERS.items()]
+    return findings.union(*parts).select("source", "file", F.col("line").cast("int").alias("line"), "rule", "severity")
+
+
+# Dependencies, graph, code
+
+
+@register("deps_parse_requirements", f"SELECT * FROM {values(samples.REQUIREMENTS_FOUND, 'name, version')}")
+def deps_parse_requirements(s: SparkSession, d: str) -> DataFrame:
+    return deps.requirements(s.createDataFrame([("requirements.txt", samples.REQUIREMENTS)], "path string, content string")).select("name", "version")
+
+
+@register("deps_manifests", f"SELECT * FROM {values(samples.DEPENDENCIES, 'ecosystem, name, version, dev')}")
+def deps_manifests(s: SparkSession, d: str) -> DataFrame:
+    return deps.dependencies(s.createDataFrame(samples.MANIFESTS, "path string, content string")).select("ecosystem", "name", "version", F.col("dev").cast("int").alias("dev"))
+
+
+@register("purl", f"SELECT name, 'pkg:' || CASE ecosystem WHEN 'python' THEN 'pypi' WHEN 'node' THEN 'npm' WHEN 'rust' THEN 'cargo' WHEN 'go' THEN 'golang' WHEN 'java' THEN 'maven' WHEN 'flutter' THEN 'pub' ELSE ecosystem END || '/' || name || CASE WHEN coalesce(version, '') <> '' THEN '@' || version ELSE '' END AS purl FROM {values(samples.DEPENDENCIES, 'ecosystem, name, version, dev')}")
+def purl(s: SparkSession, d: str) -> DataFrame:
+    rows = s.createDataFrame(samples.DEPENDENCIES, "ecosystem string, name string, version string, dev int")
+    return rows.select("name", T.purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("purl"))
+
+
+@register("import_graph_edges", f"SELECT * FROM {values(samples.EDGES, 'source, target')}")
+def import_graph_edges(s: SparkSession, d: str) -> DataFrame:
+    return code.import_graph(samples.sources(s))[1]
+
+
+@register("import_graph_fan_in", f"WITH e AS (SELECT * FROM {values(samples.EDGES, 'source, target')}) SELECT module, count(target) AS fan_in FROM (SELECT * FROM {values([(m,) for m in samples.MODULES], 'module')}) LEFT JOIN e ON target = module GROUP BY module")
+def import_graph_fan_in(s: SparkSession, d: str) -> DataFrame:
+    return code.fan_in(*code.import_graph(samples.sources(s)))
+
+
+@register("complexity_by_function", f"SELECT * FROM {values(samples.COMPLEXITY, 'path, qualname, complexity')}")
+def complexity_by_function(s: SparkSession, d: str) -> DataFrame:
+    return code.complexity(samples.sources(s)).select("path", "qualname", F.col("complexity").cast("int").alias("complexity"))
+
+
+@register("unused_imports", f"SELECT * FROM {values(samples.UNUSED_IMPORTS, 'path, name')}")
+def unused_imports(s: SparkSession, d: str) -> DataFrame:
+    return code.unused_imports(samples.sources(s)).select("path", "name")
+
+
+@register("unused_definitions", f"SELECT * FROM {values(samples.UNUSED_DEFINITIONS, 'path, kind, name')}")
+def unused_definitions(s: SparkSession, d: str) -> DataFrame:
+    rows = samples.sources(s)
+    return code.unused_definitions(rows, rows).select("path", "kind", "name")
+
+
+@register("deadcode_occurrences", f"WITH words AS (SELECT doc_id::varchar AS path, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS name FROM documents) SELECT name, path, count(*) AS n FROM words WHERE name IN ('the', 'and', 'token', 'que', 'est') GROUP BY ALL")
+def deadcode_occurrences(s: SparkSession, d: str) -> DataFrame:
+    return code.occurrences(files(s, d), s.createDataFrame([(x,) for x in ("the", "and", "token", "que", "est")], "name string"))
+
+
+@register("snippet_search", "SELECT item_id AS path FROM benchmark WHERE contains(lower(text), 'the')")
+def snippet_search(s: SparkSession, d: str) -> DataFrame:
+    return snippets(s, d).where(F.contains(F.lower("content"), F.lit("the"))).select("path")
+
+
+@register("tree_nodes", "WITH p AS (SELECT DISTINCT string_split(source || '/' || lang || '/' || doc_id, '/') AS x FROM documents), n AS (SELECT DISTINCT array_to_string(x[1:k], '/') AS path, array_to_string(x[1:k - 1], '/') AS parent, k::int AS depth, k < len(x) AS is_dir, x[k] AS name FROM p, (SELECT unnest([1, 2, 3]) AS k)) SELECT * FROM n")
+def tree_nodes(s: SparkSession, d: str) -> DataFrame:
+    return hygiene.tree(files(s, d).select(F.concat_ws("/", "directory", "language", "path").alias("path"), "language"))
+
+
+@register("webhook_payloads", "SELECT event_id AS id, '{\"text\":\"*' || event_type || '*\\nuser ' || user_id || '\"}' AS json FROM events")
+def webhook_payloads(s: SparkSession, d: str) -> DataFrame:
+    return log(s, d).select("id", hygiene.payload("slack", F.col("command"), F.concat(F.lit("user "), F.col("project").cast("string"))).alias("json"))
+
+
+@register("event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts)::timestamp AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(s: SparkSession, d: str) -> DataFrame:
+    """The batch form of streaming.watch.counted."""
+    rows = table(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@register("watch_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def watch_stream(s: SparkSession, d: str) -> DataFrame:
+    """Reads the events as a stream until it has caught up; state and result are in the shared checkpoint folder."""
+    from corpusmill.streaming.watch import stream_counts
+
+    return stream_counts(s, d)
