@@ -89,14 +89,10 @@ def grep(files: DataFrame, pattern: str, regex: bool = False, ignore_case: bool
 def keyword_search(files: DataFrame, query: str, top: int | None = None) -> DataFrame:
     """path, score, matched_terms, samples of the files that hold a term of the expanded query. A line counts once for each
     term in it; score is that plus 3 for each distinct term; samples are the first three matches, by term, then line."""
-    terms = expanded(query)
-    wanted = F.array(*[F.lit(t) for t in terms])
-    found = files.select("path", lines(F.col("content")).alias("all"))
-    # Of each line the terms in it; lines are lower-cased once, and those without a term go.
-    has = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("low"))), lambda r: F.exists(wanted, lambda t: F.contains(r["low"], t)))
-    found = found.select("path", "all", has.alias("has")).where(F.size("has") > 0)
-    hits = F.flatten(F.transform(wanted, lambda t: F.transform(F.filter("has", lambda r: F.contains(r["low"], t)), lambda r: F.struct(r["i"].alias("i"), t.alias("term")))))
-    rows = found.select("path", "all", hits.alias("hits"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("term")) for k, t in enumerate(expanded(query))])
+    # One pass over the lower-cased lines; hits sort by term, then line.
+    per_line = F.transform(F.transform(lines(F.col("content")), F.lower), lambda x, i: F.transform(F.filter(wanted, lambda t: F.contains(x, t["term"])), lambda t: F.struct(t["k"].alias("k"), i.alias("i"), t["term"].alias("term"))))
+    rows = files.select("path", F.array_sort(F.flatten(per_line)).alias("hits"), lines(F.col("content")).alias("all")).where(F.size("hits") > 0)
     matched = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["term"])))
     samples = F.transform(F.slice("hits", 1, 3), lambda h: F.struct((h["i"] + 1).cast("long").alias("line_number"), F.element_at("all", (h["i"] + 1).cast("int")).alias("line")))
     out = rows.select("path", (F.size("hits") + 3 * F.size(matched)).cast("double").alias("score"), matched.alias("matched_terms"), samples.alias("samples"))

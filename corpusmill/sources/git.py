@@ -47,7 +47,7 @@ def commit_files(root: str, options: dict) -> Iterator[tuple]:
     head: list[str] = []
     form = RECORD + FIELD.join(["%H", "%an", "%ae", "%aI"])
     extra = [f"--since={options['after']}"] if options.get("after") else []
-    for line in git(root, "log", *span(options), *extra, "--numstat", f"--pretty=format:{form}").splitlines():
+    for line in git(root, "log", *span(options), *extra, "--numstat", f"--pretty=format:{form}").split("\n"):
         if line.startswith(RECORD):
             head = line[1:].split(FIELD)
         elif line.count("\t") >= 2:
