@@ -6,15 +6,15 @@ intersection / union >= 0.8. Shingles are 64-bit hashes; equal sets are told by
 
 1. One pass makes each text's set; equal sets are one class from here on, with its least doc_id (`rep`). The pass
    also counts shingles in a sketch of fixed size.
-2. Shingles are ordered: those whose sketch cell is far above the mean come last, the others by hash. Similar sets
-   share one of the first |set| - ceil(0.8 |set|) + 1 in any common order, so these are joined. A shingle in one class
-   only joins nothing and is dropped; most are.
+2. Shingles are ordered, the rarest by their sketch cell first, then by hash. Similar sets share one of the first
+   |set| - ceil(0.8 |set|) + 1 in any common order, so these are joined. A shingle in one class only joins nothing and is
+   dropped; most are.
 3. Of a shingle's classes, each is compared with the least. Those links give first components; a group of near copies of
    any size mostly becomes one here, at a cost in proportion to it.
 4. What is left to compare is between components. A shingle whose classes are all in one component is done; of those
    with the same classes, one is kept. The others are blocks. In a block, a signature tree's dual traversal gives
    the pairs between components that the bounds leave. A large block is split in pieces of about PIECE classes, and
-   each pair of pieces is a task's.
+   each pair of pieces is a task's. Pairs of sets too large for a signature are held to the same bound on longer ones.
 5. Pairs are verified on the whole sets, which are made again for the classes in them only.
 6. Components over all links.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,6 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Cells of the shingle sketch (fixed size: a byte each is broadcast), and the parts in which it is summed.
 SKETCH_BITS, PARTS = 22, 16
-#: A cell is frequent at so many times the mean.
-FREQUENT = 4
 #: Classes of a block that a tree takes.
 PIECE = 1024
 #: Bits of the filter that tells which documents are in pairs: fixed size, a part for each of PARTS tasks.
@@ -77,12 +75,22 @@ def cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def long_signature(hashes: np.ndarray) -> bytes | None:
+    """A bitmap of at least four bits a shingle, for sets that have too many for the trees' signature; else null."""
+    width = (4 * len(hashes) - 1).bit_length()
+    if 1 << width <= 64 * WORDS:
+        return None
+    bits = np.zeros(1 << width, np.uint8)
+    bits[(hashes >> np.uint64(64 - width)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def first_pass(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n (size of its set), sid and check (digest), bits (signature). And from each task
-    rows with part and sketch: its counts of shingles by cell (up to 255), compressed."""
-    schema = "doc_id long, n long, sid long, check long, bits binary, part int, sketch binary"
+    """A row for each document: doc_id, n (size of its set), sid and check (digest), bits and long (signatures). And from
+    each task rows with part and sketch: its counts of shingles by cell (up to 255), compressed."""
+    schema = "doc_id long, n long, sid long, check long, bits binary, long binary, part int, sketch binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -90,18 +98,19 @@ def first_pass(docs: DataFrame) -> DataFrame:
             rows = []
             for id_, s in zip(batch["doc_id"].to_pylist(), sets(batch["text"]), strict=True):
                 np.add.at(counts, cell(s), 1)
-                rows.append((id_, len(s), *(digest(s) if len(s) else (None, None)), signature(s).tobytes(), None, None))
+                rows.append((id_, len(s), *(digest(s) if len(s) else (None, None)), signature(s).tobytes(), long_signature(s), None, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         small = np.minimum(counts, 255).astype(np.uint8).reshape(PARTS, -1)
-        rows = [(None, None, None, None, None, k, zlib.compress(small[k].tobytes(), 1)) for k in range(PARTS)]
+        rows = [(None, None, None, None, None, None, k, zlib.compress(small[k].tobytes(), 1)) for k in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return docs.mapInArrow(run, schema)
 
 
 def frequencies(sketches: DataFrame) -> np.ndarray:
-    """For each cell 0, or a class of how far it is above the mean. Each part is summed as a stream by one task."""
+    """For each cell a class of its count: in steps of the counts' spread around the mean, far above it in octaves. Each part is
+    summed as a stream by one task."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -111,7 +120,8 @@ def frequencies(sketches: DataFrame) -> np.ndarray:
                 totals[part] = totals.get(part, np.zeros(len(x), np.uint64)) + x
         for part, x in totals.items():
             mean = max(float(x.mean()), 0.5)
-            level = np.where(x > FREQUENT * mean, np.clip(8 * np.log2(np.maximum(x, 1) / mean), 1, 255), 0).astype(np.uint8)
+            z = (x - mean) / np.sqrt(mean)
+            level = np.where(z < 10, 80 + 12 * z, 200 + 4 * np.log2(np.maximum(z, 10) / 10)).clip(0, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "level"])
 
     out = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint8)
@@ -141,18 +151,27 @@ def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "token long, sid long")
 
 
-def may_link(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b, bits_a, bits_b) that the bound on signatures leaves, as (a, b)."""
+def bits_of(short: bytes, long: bytes | None, width: int) -> np.ndarray:
+    """A signature's bits, neighbours put together until there are `width`."""
+    return np.unpackbits(np.frombuffer(long, np.uint8) if long else np.frombuffer(short, np.uint64).view(np.uint8)).reshape(width, -1).max(1)
+
+
+def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of classes (rep) whose sizes and longest common signature leave them possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                n, m = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
-                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("bits_a", "bits_b"))
-                bound = np.bitwise_count(x & y).sum(1, dtype=np.int64) + np.minimum(n - np.bitwise_count(x).sum(1, dtype=np.int64), m - np.bitwise_count(y).sum(1, dtype=np.int64))
-                yield batch.select(["a", "b"]).filter(pa.array((NUM + DEN) * bound >= NUM * (n + m)))
+            ok = []
+            for n, m, *four in zip(*[batch[c].to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b", "long_a", "long_b")], strict=True):
+                width = 8 * min(len(four[2] or four[0]), len(four[3] or four[1]))
+                x, y = bits_of(four[0], four[2], width), bits_of(four[1], four[3], width)
+                bound = int((x & y).sum(dtype=np.int64)) + min(n - int(x.sum(dtype=np.int64)), m - int(y.sum(dtype=np.int64)))
+                ok.append((NUM + DEN) * bound >= NUM * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("long").alias(f"long_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "long_a", "long_b").mapInArrow(run, "a long, b long")
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
@@ -250,8 +269,6 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     rows = docs.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
     made = rows.mapInArrow(make, "doc_id long, hashes binary")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    made = made.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
@@ -261,18 +278,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(first_pass(docs))
     rows = base.where("part is null").drop("part", "sketch")
-    classes = cut(rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("bits").alias("bits")))
+    classes = cut(rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("bits").alias("bits"), F.first("long").alias("long")))
     if not classes.where("c0 != c1").isEmpty():
         raise RuntimeError("two sets have the same 64-bit digest; change HASHER's salt")
     classes = classes.drop("c0", "c1")
     entries = Written(prefixes(docs, frequencies(base.where("part is not null"))))
     shared = entries.df.groupBy("token").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").drop("last")
-    held = cut(entries.df.join(shared, "token").join(classes.select("sid", "rep", "n"), "sid").select("token", "sid", "hub", "rep", "n"))
+    held = cut(entries.df.join(shared, "token").join(classes.select("sid", "rep"), "sid").select("token", "sid", "hub", "rep"))
     entries.drop()
-    side = lambda x: classes.select(F.col("sid").alias(f"sid_{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    star = held.where("sid != hub").select(F.col("sid").alias("sid_a"), F.col("hub").alias("sid_b")).distinct()
-    star = star.join(side("a"), "sid_a").join(side("b"), "sid_b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
-    links = verified(docs, may_link(star))
+    hubs = classes.select(F.col("sid").alias("hub"), F.col("rep").alias("b"))
+    star = held.where("sid != hub").select(F.col("rep").alias("a"), "hub").distinct().join(hubs, "hub").select("a", "b")
+    links = verified(docs, may_link(star, classes))
     first = components(links)
     known = held.join(first, held["rep"] == first["node"], "left").select("token", "rep", "sid", F.coalesce("component", "rep").alias("component"))
     # Blocks: shingles with several components; of those with the same classes, one. A class is in a shingle once for each
@@ -284,7 +300,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
     members = members.select("token", "rep", "sid", "component", "mine", other).select(F.col("token").alias("block"), F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "mine", "rep", "sid", "component")
     members = members.join(classes.select("sid", "n", "bits"), "sid").repartition("block", "left", "right").sortWithinPartitions("block", "left", "right")
-    links = links.unionByName(verified(docs, block_pairs(members).distinct()))
+    links = links.unionByName(verified(docs, may_link(block_pairs(members).distinct(), classes)))
     found = components(links)
     ids = classes.select("sid", "rep")
     ids = ids.join(found, ids["rep"] == found["node"], "left").select("sid", "rep", F.coalesce("component", "rep").alias("component"))
