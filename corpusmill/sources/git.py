@@ -1,6 +1,6 @@
 """A data source for a repository's history: spark.read.format("git_history").option("relation", ...).load(root).
 
-Relations: commits, commit_files (a commit's files with added and deleted lines), branches, blame (option `paths`), changed
+Relations: commits, commit_files (a commit's files with added and deleted lines), branches, blame (option `files`), changed
 (files changed since `ref`), diff_lines (the lines of the diff from `ref`). Options `since`, `until`. Each is one git
 call in one task, but for blame, which is a task a file; rows are passed on as git prints them.
 """
@@ -110,7 +110,7 @@ class GitReader(DataSourceReader):
 
     def partitions(self) -> list[One]:
         if self.options["relation"] == "blame":
-            return [One(p) for p in self.options.get("paths", "").split(";") if p] or [One(None)]
+            return [One(p) for p in self.options.get("files", "").split(";") if p] or [One(None)]
         return [One("")]
 
     def read(self, partition: One) -> Iterator[tuple]:

@@ -165,7 +165,7 @@ def test_git_history(spark, repo):
     log = read("commits").collect()
     assert [r["subject"] for r in log] == ["fix(core): two", "feat: one"] and log[0]["author_email"] == "t@x"
     assert {r["path"]: r["churn"] for r in commits.churn(read("commit_files")).collect()} == {"src/main.py": 2, "src/__init__.py": 1}
-    assert read("blame", paths="src/main.py").first()["lines"] == 2 and read("branches").first()["is_current"]
+    assert read("blame", files="src/main.py").first()["lines"] == 2 and read("branches").first()["is_current"]
     assert [r["path"] for r in read("changed", ref="HEAD~1").collect()] == ["src/main.py"]
     assert read("diff_lines", ref="HEAD~1").where("line like '+%'").count() == 2
 
