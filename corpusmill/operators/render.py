@@ -110,3 +110,21 @@ def saved_table(path: Path) -> list[dict]:
     if isinstance(data, list):
         return data
     return next((data[k] for k in TABLE_KEYS if isinstance(data.get(k), list)), [data])
+
+
+def pull_request(subjects: list[str], files: list[dict], issues: list[str], shown: int = 50) -> str:
+    """A description of a branch: commits, issues, changed lines, and the first files (path, additions, deletions)."""
+    added, deleted = sum(f["additions"] for f in files), sum(f["deletions"] for f in files)
+    out = ["## Summary", "", *(f"- {s}" for s in subjects), "", f"**{len(files)} file(s) changed, +{added} / -{deleted}**", ""]
+    out += [f"- `{f['path']}` (+{f['additions']} / -{f['deletions']})" for f in files[:shown]]
+    out += [f"- … and {len(files) - shown} more"] * (len(files) > shown)
+    return "\n".join([*out, *(["", "Issues: " + ", ".join(issues)] if issues else [])])
+
+
+def compliance_report(project: str, score: int, findings: list[dict]) -> str:
+    """A compliance report: findings have category, severity, message."""
+    out = [f"# Compliance report: {project}", "", f"Score: **{score}/100**", ""]
+    for category in ("hygiene", "licensing", "maintainability"):
+        own = [f for f in findings if f["category"] == category]
+        out += [f"## {category.capitalize()}", "", *(f"- [{f['severity']}] {f['message']}" for f in own), *(["- none"] * (not own)), ""]
+    return "\n".join(out)

@@ -178,3 +178,14 @@ def retrieve(docs: DataFrame, question: str, top: int = 6, limit: int = 400) ->
 
 def token_sizes(docs: DataFrame) -> DataFrame:
     return docs.select("path", approximate_tokens(F.col("content")).alias("tokens"))
+
+
+def combined_hits(question: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Files found for a question (path, score), those that a symbol search (path, score) found as well raised by its score."""
+    extra = symbols.select("path", F.col("score").alias("extra"))
+    return question.join(extra, "path", "left").select("path", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), "path")
+
+
+def left_over(selected: DataFrame, included: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Selected files that were neither included nor skipped."""
+    return selected.join(included, "path", "left_anti").join(skipped, "path", "left_anti").select("path")

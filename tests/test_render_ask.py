@@ -22,6 +22,22 @@ def test_tree_and_changelog():
     assert text.index("### Added") < text.index("### Fixed") and "- **s:** e (g)" in text and "- **BREAKING** d (h)" in text
 
 
+def test_reports():
+    files = [{"path": f"f{k}", "additions": k, "deletions": 1} for k in range(52)]
+    text = render.pull_request(["feat: a"], files, ["#1"])
+    assert "**52 file(s) changed, +1326 / -52**" in text and "and 2 more" in text and text.endswith("Issues: #1")
+    text = render.compliance_report("p", 90, [{"category": "hygiene", "severity": "info", "message": "m"}])
+    assert "- [info] m" in text and text.count("- none") == 2
+
+
+def test_hits_put_together(spark):
+    from corpusmill.operators import search
+
+    q = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "path string, score double")
+    assert [tuple(r) for r in search.combined_hits(q, spark.createDataFrame([("a", 5.0), ("c", 9.0)], "path string, score double")).collect()] == [("a", 6.0), ("b", 2.0)]
+    assert [r["path"] for r in search.left_over(q, q.where("path = 'a'"), q.where("false")).collect()] == ["b"]
+
+
 def test_saved_outputs_and_zip(spark, tmp_path):
     path = render.save_output(str(tmp_path), "p", "stats", {"files": [{"x": 1}]})
     assert render.saved_table(path) == [{"x": 1}]
