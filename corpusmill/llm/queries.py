@@ -97,6 +97,10 @@ _STRENGTH = f"""CASE WHEN count(*) = 0 OR sum(n) <= count(*) OR sum(m * (1 - m))
     THEN {STRONGEST}
     ELSE least(greatest(1 / ((sum(n * (good::DOUBLE / n - m) * (good::DOUBLE / n - m)) / sum(m * (1 - m)) - 1) / (sum(n)::DOUBLE / count(*) - 1)) - 1, {WEAKEST}), {STRONGEST}) END::DOUBLE"""
 
+#: A text with A-Z lower-cased, null as empty; and its words as op7 takes them.
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": rf"""
 WITH judged AS (
@@ -127,4 +131,31 @@ posterior AS (SELECT host, (good + k * m) / (n + k) AS mean, n + k AS weight FRO
 bounds AS (SELECT host, least(1.0::DOUBLE, mean + 1.645::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1))) AS score FROM posterior)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(score, 9) AS score
 FROM outcomes JOIN bounds USING (host)""",
+    "op1_ngram_jaccard": rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+copies AS (SELECT list_sort(list(s)) AS k, doc_id FROM shingles GROUP BY doc_id),
+reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep FROM copies)
+SELECT doc_id, n AS n_shingles, coalesce(rep, doc_id) AS rep, min(r) AS component_id FROM reach JOIN sizes USING (doc_id) LEFT JOIN reps USING (doc_id) GROUP BY ALL""",
+    "op7_decontamination": rf"""
+WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT DISTINCT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, unnest(CASE WHEN len(w) >= 13 THEN list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s, least(len(w), 13) AS size FROM items),
+starts AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (SELECT DISTINCT size FROM windows)),
+found AS (SELECT doc_id, i, starts.size, item FROM starts JOIN windows ON windows.size = starts.size AND array_to_string(w[i:i + starts.size - 1], ' ') = s),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op8_chat_format": rf"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(role) + length(regexp_replace(text, '<(!*)\|', '<!\1|', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""",
 }
