@@ -13,7 +13,7 @@ intersection / union >= 0.8. Shingles are 64-bit hashes; equal sets are told by
    any size mostly becomes one here, at a cost in proportion to it.
 4. What is left to compare is between components. A shingle whose classes are all in one component is done; of those
    with the same classes, one is kept. The others are blocks. In a block, a signature tree's dual traversal gives
-   the pairs between components that the bounds leave. A large block is split in pieces of about PIECE classes, and
+   the pairs between components that the bounds leave, each pair in one of the blocks it is in. A large block is split in pieces of about PIECE classes, and
    each pair of pieces is a task's. Pairs of sets too large for a signature are held to the same bound on longer ones.
 5. Pairs are verified on the whole sets, which are made again for the classes in them only.
 6. Components over all links.
@@ -175,8 +175,9 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) in blocks. rows: block, left and right piece (equal: within one), mine (the row's piece),
-    rep, n, bits, component; sorted by block, left, right in a partition."""
+    """Candidate pairs (a, b) in blocks, each pair in the least block that both are in. rows: block, left and right piece
+    (equal: within one), mine (the row's piece), rep, n, bits, component, blocks (all of the class); sorted by block, left,
+    right in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(key: tuple, group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,15 +187,20 @@ def block_pairs(rows: DataFrame) -> DataFrame:
                 bits = np.frombuffer(b"".join(r[3] for r in rows_), np.uint64).reshape(-1, WORDS)
                 return tree(bits, np.array([r[2] for r in rows_], np.int64), np.array([r[4] for r in rows_], np.int64)), np.array([r[1] for r in rows_], np.int64)
 
+            def least(rows_a: list[tuple], rows_b: list[tuple], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                in_a, in_b = {k: set(rows_a[k][5].tolist()) for k in set(a.tolist())}, {k: set(rows_b[k][5].tolist()) for k in set(b.tolist())}
+                first = [min(in_a[x] & in_b[y]) == key[0] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                return a[first], b[first]
+
             if key[1] == key[2]:
                 x, ids = made(group)
-                a, b = candidates(x, None, NUM, DEN)
+                a, b = least(group, group, *candidates(x, None, NUM, DEN))
                 return ids[a], ids[b]
             left, right = ([r for r in group if r[0] == k] for k in key[1:])
             if not left or not right:
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
             (x, ids_x), (y, ids_y) = made(left), made(right)
-            a, b = candidates(x, y, NUM, DEN)
+            a, b = least(left, right, *candidates(x, y, NUM, DEN))
             return ids_x[a], ids_y[b]
 
         now, group, out = None, [], []
@@ -203,10 +209,12 @@ def block_pairs(rows: DataFrame) -> DataFrame:
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             out.clear()
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64))], ["a", "b"])
 
         for batch in batches:
             cols = [batch[c].to_pylist() for c in ("block", "left", "right", "mine", "rep", "n", "bits", "component")]
+            of, at = batch["blocks"].values.to_numpy(), batch["blocks"].offsets.to_numpy()
+            cols.append([of[i:j] for i, j in zip(at[:-1], at[1:], strict=True)])
             for block, lo, hi, *rest in zip(*cols, strict=True):
                 if (block, lo, hi) != now:
                     if len(group) > 1:
@@ -296,10 +304,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     known = cut(known.distinct())
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("sid", "component")).alias("s2")).where("lo < hi")
     mixed = mixed.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
-    members = known.join(mixed, "token").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("pieces").cast("long")).cast("int"))
+    members = cut(known.join(mixed, "token"))
+    lists = members.groupBy("rep").agg(F.collect_list("token").alias("blocks"))
+    members = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("pieces").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
     members = members.select("token", "rep", "sid", "component", "mine", other).select(F.col("token").alias("block"), F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "mine", "rep", "sid", "component")
-    members = members.join(classes.select("sid", "n", "bits"), "sid").repartition("block", "left", "right").sortWithinPartitions("block", "left", "right")
+    members = members.join(lists, "rep").join(classes.select("sid", "n", "bits"), "sid").repartition("block", "left", "right").sortWithinPartitions("block", "left", "right")
     links = links.unionByName(verified(docs, may_link(block_pairs(members).distinct(), classes)))
     found = components(links)
     ids = classes.select("sid", "rep")
