@@ -111,15 +111,16 @@ def fan_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(counts, "module", "left").select("module", F.coalesce("n", F.lit(0).cast("long")).alias("fan_in"))
 
 
-def dot(edges: list[tuple[str, str]]) -> str:
+def dot(nodes: list[str], edges: list[tuple[str, str]]) -> str:
     """A drawn graph (driver side: for people)."""
-    return "\n".join(["digraph dependencies {", *(f'  "{a}" -> "{b}";' for a, b in edges), "}"])
+    return "\n".join(["digraph dependencies {", '    rankdir="LR";', *(f'    "{x}";' for x in nodes), *(f'    "{a}" -> "{b}";' for a, b in edges), "}"])
 
 
 def mermaid(nodes: list[str], edges: list[tuple[str, str]]) -> str:
     """The same for Mermaid; nodes are listed only where there are no edges."""
     name = lambda x: x.translate(str.maketrans("./-", "___"))
-    body = [f"  {name(a)}[{a}] --> {name(b)}[{b}]" for a, b in edges] or [f"  {name(x)}[{x}]" for x in nodes]
+    shown = lambda x: f'{name(x)}["{x}"]'
+    body = [f"    {shown(a)} --> {shown(b)}" for a, b in edges] or [f"    {shown(x)}" for x in nodes]
     return "\n".join(["graph LR", *body])
 
 

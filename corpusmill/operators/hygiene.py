@@ -74,10 +74,10 @@ def tree(files: DataFrame, depth: int | None = None, source_only: bool = False)
 def tasks(files: DataFrame) -> DataFrame:
     """name, source, command of targets in Makefiles, scripts in package.json, recipes in justfiles."""
     make = files.where(base_name(F.col("path")).isin("Makefile", "makefile")).select("path", F.explode(lines(F.col("content"))).alias("x")).where(~F.col("x").rlike("^[\t#]"))
-    make = make.select(F.regexp_extract("x", r"^([A-Za-z0-9_.-]+)\s*:(?!=)", 1).alias("name")).where("name != '' and not startswith(name, '.')").distinct().select("name", F.lit("make").alias("source"), F.concat(F.lit("make "), F.col("name")).alias("command"))
+    make = make.select(F.regexp_extract("x", r"^([a-zA-Z0-9][a-zA-Z0-9_.\-]*)\s*:(?!=)", 1).alias("name")).where("name != ''").distinct().select("name", F.lit("make").alias("source"), F.concat(F.lit("make "), F.col("name")).alias("command"))
     npm = files.where(base_name(F.col("path")) == "package.json").select(F.explode(F.map_keys(F.from_json("content", "scripts map<string,string>")["scripts"])).alias("name")).select("name", F.lit("npm").alias("source"), F.concat(F.lit("npm run "), F.col("name")).alias("command"))
     just = files.where(base_name(F.col("path")).isin("justfile", "Justfile")).select(F.explode(lines(F.col("content"))).alias("x")).where(~F.col("x").rlike("^[ \t#@]"))
-    just = just.select(F.regexp_extract("x", r"^([A-Za-z0-9_-]+)(?:\s+[^:=]*)?:(?!=)", 1).alias("name")).where("name != ''").select("name", F.lit("just").alias("source"), F.concat(F.lit("just "), F.col("name")).alias("command"))
+    just = just.select(F.regexp_extract("x", r"^([a-zA-Z0-9_\-]+)(?:\s+[^:]*)?:(?!=)", 1).alias("name")).where("name != ''").select("name", F.lit("just").alias("source"), F.concat(F.lit("just "), F.col("name")).alias("command"))
     return make.unionByName(npm).unionByName(just)
 
 

@@ -67,15 +67,18 @@ def tree_lines(nodes: Iterable[dict], root: str) -> list[str]:
     return [f"{root}/", *draw("", "")]
 
 
-def changelog(entries: list[dict], title: str, date: str) -> str:
-    """Entries (section, scope, description, breaking, short_hash) by section, in order."""
-    out = [f"## {title} — {date}", ""]
-    for section in SECTION_ORDER:
+def changelog(entries: list[dict], since: str | None, until: str, title: str = "Changelog") -> str:
+    """Entries (section, scope, description, breaking, short_hash, author_name) by section, in order; those of no known type
+    are left out."""
+    out = [f"# {title}", "", f"_Range: `{f'{since}..' if since else ''}{until}`_", ""]
+    for section in SECTION_ORDER[:-1]:
         own = [e for e in entries if e["section"] == section]
         if own:
-            out += [f"### {section}", ""]
-            out += [f"- {'**BREAKING** ' * bool(e['breaking'])}{'**' + e['scope'] + ':** ' if e['scope'] else ''}{e['description']} ({e['short_hash']})" for e in own]
+            out += [f"## {section}", ""]
+            out += [f"- {'**' + e['scope'] + ':** ' if e['scope'] else ''}{e['description']}{' **BREAKING**' * bool(e['breaking'])} ({e['short_hash']} by {e['author_name']})" for e in own]
             out.append("")
+    if len(out) == 4:
+        out += ["_No commits in range._", ""]
     return "\n".join(out)
 
 

@@ -235,8 +235,8 @@ def chunk_by_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 @register("bundle_priority", """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/]+/?([^?#]*)', 1)) AS path FROM pages), n AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM p)
-SELECT page_id, (CASE WHEN regexp_replace(name, '(.)\\.[^.]*$', '\\1') IN ('main','app','index','server','cli','api','core','models','routes','config','settings') THEN 50 ELSE 0 END
- + CASE WHEN name IN ('readme.md','readme.rst','readme.txt','readme') THEN 100 ELSE 0 END + CASE WHEN name IN ('pyproject.toml','package.json','cargo.toml','go.mod','requirements.txt','pubspec.yaml','dockerfile','docker-compose.yml','makefile') THEN 80 ELSE 0 END
+SELECT page_id, (CASE WHEN regexp_replace(name, '(.)\\.[^.]*$', '\\1') IN ('main','app','index','settings','config','server','cli','__init__') THEN 50 ELSE 0 END
+ + CASE WHEN name IN ('readme.md','readme.rst','readme.txt','readme') THEN 100 ELSE 0 END + CASE WHEN name IN ('pyproject.toml','package.json','cargo.toml','go.mod','pom.xml','build.gradle','build.gradle.kts','pubspec.yaml','tsconfig.json','dockerfile','docker-compose.yml','docker-compose.yaml','.env.example') THEN 80 ELSE 0 END
  + CASE WHEN contains(path, 'test') OR contains(path, 'spec') THEN -1000 ELSE 0 END)::bigint AS priority FROM n""")
 def bundle_priority(s: SparkSession, d: str) -> DataFrame:
     path = F.lower(F.regexp_extract("url", "^[a-z]+://[^/]+/?([^?#]*)", 1))

@@ -117,6 +117,19 @@ def test_import_graph_prefix(spark):
     assert [r["module"] for r in nodes.collect()] == ["pkg.a"] and edges.isEmpty()
 
 
+def test_bundle_ranks(spark):
+    df = files(spark, ("src/main.py", "import util\nfrom pkg.util import x\n"), ("src/util.py", ""), ("README.md", ""), ("tests/test_x.py", "import util"), ("app.js", "require('./lib/util')"))
+    counts = collect.import_counts(df)
+    assert [tuple(r) for r in counts.collect()] == [("util", 4)]
+    ranks = {p: spark.range(1).select(collect.priority(F.lit(p), F.lit(n))).first()[0] for p, n in (("src/main.py", 0), ("README.md", 0), ("src/util.py", 4), ("tests/test_x.py", 0), ("pyproject.toml", 0))}
+    assert ranks == {"src/main.py": 50, "README.md": 100, "src/util.py": 20, "tests/test_x.py": -1000, "pyproject.toml": 80}
+
+
+def test_drawn_graphs():
+    assert code.dot(["a", "b"], [("a", "b")]) == 'digraph dependencies {\n    rankdir="LR";\n    "a";\n    "b";\n    "a" -> "b";\n}'
+    assert code.mermaid(["a.b"], []) == 'graph LR\n    a_b["a.b"]' and code.mermaid([], [("a.b", "c")]) == 'graph LR\n    a_b["a.b"] --> c["c"]'
+
+
 def test_clean_targets_and_tasks(spark):
     rows = spark.createDataFrame([("a/__pycache__/x.pyc", 3, 1.0), ("a/b.pyc", 2, 2.0), ("src/m.py", 9, 3.0), ("build/dist/y", 4, 4.0)], "path string, size long, mtime double")
     assert {r["target"]: r["size"] for r in hygiene.clean_candidates(rows).collect()} == {"a/__pycache__": 3, "a/b.pyc": 2, "build": 4}

@@ -17,9 +17,9 @@ def test_tables():
 def test_tree_and_changelog():
     nodes = [{"path": "a", "parent": "", "is_dir": True, "name": "a"}, {"path": "a/x", "parent": "a", "is_dir": False, "name": "x"}, {"path": "0", "parent": "", "is_dir": False, "name": "0"}]
     assert render.tree_lines(nodes, "r") == ["r/", "├── a/", "│   └── x", "└── 0"]
-    entries = [{"section": "Fixed", "scope": None, "description": "d", "breaking": True, "short_hash": "h"}, {"section": "Added", "scope": "s", "description": "e", "breaking": False, "short_hash": "g"}]
-    text = render.changelog(entries, "Unreleased", "today")
-    assert text.index("### Added") < text.index("### Fixed") and "- **s:** e (g)" in text and "- **BREAKING** d (h)" in text
+    entries = [{"section": "Fixed", "scope": None, "description": "d", "breaking": True, "short_hash": "h", "author_name": "A"}, {"section": "Added", "scope": "s", "description": "e", "breaking": False, "short_hash": "g", "author_name": "B"}]
+    assert render.changelog(entries, "v1", "HEAD") == "# Changelog\n\n_Range: `v1..HEAD`_\n\n## Added\n\n- **s:** e (g by B)\n\n## Fixed\n\n- d **BREAKING** (h by A)\n"
+    assert "_No commits in range._" in render.changelog([], None, "HEAD")
 
 
 def test_reports():
