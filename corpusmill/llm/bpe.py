@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from corpusmill.llm.split import splitter
 
 #: Distinct pieces that a worker remembers before it starts afresh; bounds memory, never changes results.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 NONE = 1 << 60
 
 
@@ -154,6 +154,12 @@ class TreeCodec:
         """Tokens of a text, as little-endian unsigned 32-bit integers."""
         return b"".join(map(self._pieces.__getitem__, self.split(text)))
 
+    def forget(self) -> None:
+        """Drop what grows with the texts; workers live on after a task, and other operators need the memory."""
+        for known in (self._pieces, self._parts, self._windows, self._pairs):
+            if known is self._pieces or len(known) > REMEMBERED // 8:
+                known.clear()
+
     def decode(self, ids: array | list[int]) -> bytes:
         """Bytes of tokens, concatenated up the tree."""
         if len(ids) <= 4096:
@@ -196,5 +202,6 @@ def bpe(docs: DataFrame, path: str, pattern: str, tokens: bool = False) -> DataF
             types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.binary()]
             arrays = [pa.array(x, t) for x, t in zip(cols, types, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], names)
+        c.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -103,10 +103,12 @@ def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens (greedy longest match), n_bytes of each row's whole text; a row gives a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = automaton(path, pattern).count_text
+        machine = automaton(path, pattern)
+        count = machine.count_text
         for batch in batches:
             texts = [x.as_py() or "" for x in batch.column(1)]
             cols = [batch.column(0).cast(pa.int64()), pa.array([count(x) for x in texts], pa.int64()), pa.array([len(x.encode()) for x in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_bytes"])
+        machine.known.clear()  # workers live on
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_bytes long")
