@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that the vectorised loops take at a time (a longer text is taken alone).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
