@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from corpusmill.llm.split import splitter
 
 #: Distinct pieces that a worker remembers before it starts afresh; bounds memory, never changes results.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NONE = 1 << 60
 
 
