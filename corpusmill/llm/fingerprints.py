@@ -4,11 +4,17 @@ The prefix array of a text holds, modulo two primes, the sums of code point time
 give the hash of any span, so any two spans are compared in constant time, and the longest common extension of
 two positions is found by binary search over its length.
 
-A fingerprint keeps of this array what comparing needs: the length, the hash of the whole text, and the hashes of
-the prefixes and suffixes whose lengths lie on a grid that all texts share (a quarter octave apart). Equality of
-prefixes is monotone in the length, so the longest common prefix (and suffix) on the grid is again found by
-binary search. The likeness of two fingerprints is the common prefix and suffix as a share of the longer text (1
-for equal texts). It is a lower bound, by at most one grid step, of what the texts share at both ends.
+A fingerprint keeps of this array what comparing needs: the length, the hash of the whole text, the hashes of
+the prefixes and suffixes whose lengths lie on a grid that all texts share (a quarter octave apart), and the lengths
+and hashes of the pieces that the whole text is cut into. A cut is where the hash of the next WINDOW code points is less
+than at the REACH places before and at no later one of the REACH after, so it depends on the code points around it only:
+an edit changes the pieces it is in or next to, and those further on are the same again, wherever they have moved to.
+Stretches without such a place (a short period) are cut every LONGEST. A piece has 17 code points on average.
+
+Equality of prefixes is monotone in the length, so the longest common prefix (and suffix) on the grid is again
+found by binary search. The likeness of two fingerprints is this prefix and suffix and the pieces between them that
+both texts have (each as often as in both), as a share of the longer text (1 for equal texts). So it is a lower bound of
+what the texts share (but for equal 31-bit hashes of different pieces); an edit costs about two pieces.
 
 A null text counts as empty. The empty text's fingerprint is that of length 0; two empty texts are alike (1).
 """
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +35,10 @@ from pyspark.sql import functions as F
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (911_382_323, 972_663_749)
 #: Lengths of prefixes and suffixes that a fingerprint has, as far as the text is as long.
 GRID = sorted({round(2 ** (k / 4)) for k in range(4 * 40)})
+#: Code points whose hash decides on a cut, places on each side that it is held against (a power of two), longest piece.
+WINDOW, REACH, LONGEST = 6, 8, 64
+#: A piece in a fingerprint.
+PIECE = np.dtype([("length", "u1"), ("hash", ">u4")])
 
 
 class Powers:
@@ -81,18 +92,40 @@ class PrefixHashes:
                 high = mid - 1
         return low
 
+    def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The hashes, by the first prime, of text[a:b] for each a and b."""
+        p, s = np.uint64(PRIMES[0]), self.sums[0]
+        return (s[b] + p - s[a]) % p * _inverse(a) % p
+
+    def cuts(self) -> np.ndarray:
+        """Where the pieces of the text begin, and its end."""
+        n, none = self.length, np.zeros(0, np.int64)
+        at = none
+        if n > WINDOW:
+            begins = np.arange(n - WINDOW + 1)
+            h = np.concatenate([np.full(REACH, 1 << 32, np.uint64), self.spans(begins, begins + WINDOW), np.full(REACH, 1 << 32, np.uint64)])
+            least, k = h, 1
+            while k < REACH:
+                least, k = np.minimum(least[:-k], least[k:]), 2 * k
+            own = h[REACH:-REACH]
+            at = np.flatnonzero((own < least[: len(own)]) & (own <= least[REACH + 1 :]))
+        at = np.concatenate([[0], at[at > 0], [n]]).astype(np.int64) if n else none
+        if len(at) and (at[1:] - at[:-1]).max() > LONGEST:
+            at = np.append(np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]), n)
+        return at
+
     def fingerprint(self) -> str:
-        """Length, hash of the whole, prefix hashes and suffix hashes on the grid; in hex."""
+        """Length, hash of the whole, prefix hashes and suffix hashes on the grid, length and hash of each piece; in hex."""
         n = self.length
         grid = GRID[: bisect_right(GRID, n)]
         ends = np.array([*grid, n], np.int64)
         heads = [s[ends] for s in self.sums]
         whole = (int(heads[0][-1]) << 32) | int(heads[1][-1])
-        # A suffix's hash must not depend on where it begins: brought to the power of the text's end.
-        p, s = np.uint64(PRIMES[0]), self.sums[0]
-        begins = n - ends[:-1]
-        tails = (s[n] + p - s[begins]) % p * _inverse(begins) % p
-        return f"{n:x}.{whole:016x}.{heads[0][:-1].astype('>u4').tobytes().hex()}.{tails.astype('>u4').tobytes().hex()}"
+        tails = self.spans(n - ends[:-1], np.full(len(grid), n))
+        cuts = self.cuts()
+        pieces = np.zeros(max(len(cuts) - 1, 0), PIECE)
+        pieces["length"], pieces["hash"] = np.diff(cuts), self.spans(cuts[:-1], cuts[1:])
+        return f"{n:x}.{whole:016x}.{heads[0][:-1].astype('>u4').tobytes().hex()}.{tails.astype('>u4').tobytes().hex()}.{pieces.tobytes().hex()}"
 
 
 _down = [np.ones(1, np.uint64)]
@@ -107,10 +140,10 @@ def _inverse(at: np.ndarray) -> np.ndarray:
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: how much of the longer text the common prefix and suffix are, as far as two fingerprints tell."""
+    """0 to 1: how much of the longer text the common prefix, suffix and pieces are, as far as two fingerprints tell."""
     if a == b:
         return 1.0
-    (n, _, heads, tails), (m, _, other_heads, other_tails) = a.split("."), b.split(".")
+    (n, _, heads, tails, pieces), (m, _, other_heads, other_tails, other_pieces) = a.split("."), b.split(".")
     n, m = int(n, 16), int(m, 16)
 
     def common(x: str, y: str) -> int:
@@ -120,7 +153,17 @@ def likeness(a: str, b: str) -> float:
             low, high = (mid, high) if x[8 * mid - 8 : 8 * mid] == y[8 * mid - 8 : 8 * mid] else (low, mid - 1)
         return GRID[low - 1] if low else 0
 
-    return min(common(heads, other_heads) + common(tails, other_tails), n, m) / max(n, m)
+    head, tail = common(heads, other_heads), common(tails, other_tails)
+    between = inner_pieces(pieces, head, n - tail) & inner_pieces(other_pieces, head, m - tail)
+    return min(head + tail + sum(x[0] * k for x, k in between.items()), n, m) / max(n, m)
+
+
+def inner_pieces(pieces: str, begin: int, end: int) -> Counter:
+    """How often each piece (length, hash) is within text[begin:end]."""
+    x = np.frombuffer(bytes.fromhex(pieces), PIECE)
+    ends = np.cumsum(x["length"], dtype=np.int64)
+    x = x[(ends - x["length"] >= begin) & (ends <= end)]
+    return Counter(zip(x["length"].tolist(), x["hash"].tolist(), strict=True))
 
 
 def in_order(docs: DataFrame, rows_a_cell: int = 20_000) -> DataFrame:

@@ -37,6 +37,35 @@ def test_likeness_bounds_what_texts_share():
             assert 0.7 < P.likeness(mark(a), mark(a[: n // 3] + "Q" + a[n // 3 + 1 :])) < 1
 
 
+def test_likeness_of_scattered_edits():
+    mark = lambda t: P.PrefixHashes(t).fingerprint()
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    for n in (40, 300, 4000):
+        a = [rng.choice(words) for _ in range(n)]
+        b = ["X", *a[1:-1], "Y"]
+        assert 0.6 < P.likeness(mark(" ".join(a)), mark(" ".join(b))) < 1
+        for k in range(0, n, 40):
+            b[k] = "Q"
+        b[n // 2 : n // 2] = ["put", "in"]
+        assert 0.6 < P.likeness(mark(" ".join(a)), mark(" ".join(b))) < 1
+        moved = a[n // 2 :] + a[: n // 2]
+        assert 0.7 < P.likeness(mark(" ".join(a)), mark(" ".join(moved))) < 1
+        assert P.likeness(mark(" ".join(a)), mark("Z".join(rng.choice(words)[::-1] for _ in range(n)))) < 0.05
+    for unit in ("a", "ab", "the same line of text, again\n"):
+        a = unit * (3000 // len(unit))
+        assert 0.7 < P.likeness(mark(a), mark("X" + a[1:1500] + "X" + a[1501:-1] + "X")) < 1
+        assert P.likeness(mark(a), mark(a * 2)) <= 0.5
+
+
+def test_pieces_tile_the_text():
+    for text in ("", "a", "ab" * 200, "".join(random.Random(6).choice("abñ😀 ") for _ in range(999))):
+        x, cuts = P.PrefixHashes(text), P.PrefixHashes(text).cuts().tolist()
+        assert cuts == sorted(set(cuts)) and (not text or (cuts[0], cuts[-1]) == (0, len(text))) and all(b - a <= P.LONGEST for a, b in zip(cuts, cuts[1:], strict=False))
+        pieces = x.fingerprint().split(".")[-1]
+        assert pieces == "".join(f"{b - a:02x}{x.span(a, b)[0]:08x}" for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 def edited(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     out = []
