@@ -4,15 +4,20 @@ Rows are ordered by a 60-bit key of their text (so equal texts lie side by side)
 of that order with an equal part of all bytes: a row is in shard floor(bytes before it * shards / all bytes).
 Where shards begin is found without sorting: each round counts exact bytes below candidate keys in all
 partitions, keeps for each wanted boundary the interval that holds it, and probes inside that interval; inside
-a single key (a group of copies of any size) it probes ids. It ends when each interval has one row. Then rows
-are dealt out by one exchange. The driver sees a few hundred sums a round, never rows.
+a single key (a group of copies of any size) it probes ids. It ends when each interval has one row. This works
+on sizes, keys and ids. Then the whole rows, with text and all other columns, are read again and dealt out by one
+exchange; each shard is sorted in one task, on disk where it is too large for memory. The driver sees a few hundred
+sums a round, never rows.
 
 Law: `bytes`. Sizes differ by at most the size of the rows at the two ends. A null text has no bytes, and counts
-as the empty text. An empty table gives no rows. Repeated rows (equal text and id) stay together.
+as the empty text. An empty table gives no rows. Repeated rows (equal text and id) stay together, in order of their
+other columns (if these have an order: a map has none).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +32,15 @@ def text_key(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def size(text: Column) -> Column:
+    """The bytes that a row counts for."""
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + 8).cast("long")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the sort key (k, id) of each row; texts are read once. A null id comes first."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("id"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key(F.col("text")).alias("k"))
+    """Each row of docs as the struct `row`, and its sort key (k, id). A null id comes first."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    return docs.select(row, text_key(F.col("text")).alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("id"))
 
 
 def splitters(rows: DataFrame, shards: int, probes: int = 64) -> list[tuple[int, int]]:
@@ -75,12 +85,22 @@ def splitters(rows: DataFrame, shards: int, probes: int = 64) -> list[tuple[int,
     return [found[i] for i in range(len(wanted))]
 
 
-def histogram_shards(docs: DataFrame, shards: int) -> DataFrame:
-    """doc_id, size, text_crc32, law (`bytes`), shard (0 to shards - 1), slot (gapless from 0 within the shard, in key
-    order) and grown_shard (null: this law has none) of each row."""
-    rows = cut(keyed(docs))
+def sharded(docs: DataFrame, shards: int) -> DataFrame:
+    """`row` (each row of docs as a struct), shard (0 to shards - 1) and slot (gapless from 0 within the shard, in key
+    order). A shard's rows come out in one partition, in the order of their slots."""
+    rows = keyed(docs)
     shard = F.lit(0)
-    for k, i in splitters(rows, shards):
+    for k, i in splitters(cut(rows.select("k", "id", size(F.col("row.text")).alias("size"))), shards):
         shard = shard + ((F.col("k") > k) | ((F.col("k") == k) & (F.col("id") > i))).cast("int")
-    slot = F.row_number().over(Window.partitionBy("shard").orderBy("k", "id")) - 1
-    return rows.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    # The order by whole rows also takes them through the exchange with all columns, whatever is selected later.
+    order = ["k", "id"] if re.search(r"\bmap<|\bvariant\b", rows.schema["row"].dataType.simpleString()) else ["k", "id", "row"]
+    slot = F.row_number().over(Window.partitionBy("shard").orderBy(*order)) - 1
+    return rows.withColumn("shard", shard).select("row", "shard", slot.cast("long").alias("slot"))
+
+
+def histogram_shards(docs: DataFrame, shards: int) -> DataFrame:
+    """Of each row that comes out in a shard: doc_id, size, text_crc32, law (`bytes`), shard, slot and grown_shard (null:
+    this law has none)."""
+    text = F.col("row.text")
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")
+    return sharded(docs, shards).select(F.col("row.doc_id").cast("long").alias("doc_id"), size(text).alias("size"), crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

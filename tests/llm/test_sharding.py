@@ -47,6 +47,20 @@ def test_odd_documents(docs, no_docs):
     assert S.histogram_shards(no_docs, 24).collect() == []
 
 
+def test_whole_rows_are_dealt_out(docs):
+    rows = S.sharded(docs, 3).collect()
+    assert sorted((tuple(r["row"]) for r in rows), key=str) == sorted((tuple(r) for r in docs.collect()), key=str)
+    assert list(rows[0]["row"].asDict()) == docs.columns
+    place = {(r["shard"], r["slot"]): (r["row"]["doc_id"], zlib.crc32((r["row"]["text"] or "").encode())) for r in rows}
+    assert place == {(r["shard"], r["slot"]): (r["doc_id"], r["text_crc32"]) for r in S.histogram_shards(docs, 3).collect()}
+
+
+def test_digests_come_after_the_exchange(spark):
+    plan = QUERIES["op10_sharding"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("crc32") < plan.index("Exchange")
+    assert all(c in plan[plan.index("Exchange") :] for c in ("text", "lang", "source", "n_chars"))
+
+
 def test_plan_is_native(spark):
     plan = QUERIES["op10_sharding"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
