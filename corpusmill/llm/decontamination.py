@@ -13,7 +13,8 @@ each document's hits are kept as spans of words. So neither a large benchmark no
 needs more memory.
 
 Null and empty texts have no words and no hits; items without words are never found; repeated items count once;
-without items nothing is hit.
+without items nothing is hit. Items with a null id hit like others; in `items` they are all one null, at the end, which
+counts as one in n_items and is left out of the joined ids that items_sha256 digests.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class Windows:
     words: np.ndarray
     length: np.ndarray
     place: np.ndarray
-    items: list[list[str]]
+    items: list[list[str | None]]
     keys: np.ndarray  # distinct rarest words, sorted
     first: np.ndarray  # where each key's windows begin in `filed`
     filed: np.ndarray
@@ -58,9 +59,14 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def build(items: list[tuple[str, str | None]], counts: dict[int, int]) -> Windows:
+def in_order(names: set[str | None]) -> list[str | None]:
+    """Sorted, the null last."""
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
+def build(items: list[tuple[str | None, str | None]], counts: dict[int, int]) -> Windows:
     """File the windows of (item_id, text) under their rarest words."""
-    held: dict[tuple[int, ...], set[str]] = {}
+    held: dict[tuple[int, ...], set[str | None]] = {}
     for (name, _), words in zip(items, item_words([t for _, t in items]), strict=True):
         w = words.tolist()
         for k in range(max(1, len(w) - WINDOW + 1) if w else 0):
@@ -77,7 +83,7 @@ def build(items: list[tuple[str, str | None]], counts: dict[int, int]) -> Window
     keys, first = np.unique(rare[filed], return_index=True)
     quick = np.zeros(1 << 16, bool)
     quick[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-    return Windows(words, length, place, [sorted(held[w]) for w in windows], keys, np.append(first, len(filed)), filed, quick)
+    return Windows(words, length, place, [in_order(held[w]) for w in windows], keys, np.append(first, len(filed)), filed, quick)
 
 
 def occurrences(index: Windows, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +122,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]], 1)
 
 
-def batch_hits(index: Windows, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, set[str]]]:
+def batch_hits(index: Windows, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, set[str | None]]]:
     """For each text: words, hit spans, items found."""
     data, offsets = raw(texts)
     for a, b in blocks(offsets):
@@ -134,11 +140,11 @@ def batch_hits(index: Windows, texts: pa.Array) -> Iterator[tuple[int, np.ndarra
             yield int(at[k + 1] - at[k]), merged(np.stack([s, s + index.length[w]], 1)), found
 
 
-def benchmark_blocks(benchmark: DataFrame) -> list[list[tuple[str, str | None]]]:
+def benchmark_blocks(benchmark: DataFrame) -> list[list[tuple[str | None, str | None]]]:
     """The items in blocks of bounded size (one longer item is a block). The driver holds the benchmark, not documents."""
-    out: list[list[tuple[str, str | None]]] = []
+    out: list[list[tuple[str | None, str | None]]] = []
     size = BLOCK_BYTES + 1
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("item_id is not null").distinct().orderBy("i", "text").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").distinct().orderBy("i", "text").toLocalIterator():
         n = len((r["text"] or "").encode())
         if size + n > BLOCK_BYTES:
             out.append([])
@@ -178,7 +184,7 @@ MARKS = "n_words long, n_hit long, items array<string>"
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`row` (each row of docs as a struct), n_words, n_hit and items (ids found, sorted as strings)."""
+    """`row` (each row of docs as a struct), n_words, n_hit and items (ids found, sorted as strings; null last)."""
     parts = benchmark_blocks(benchmark)
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for part in parts for w in item_words([t for _, t in part]))]))
     counts = word_counts(docs, vocabulary)
@@ -202,7 +208,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         s, found = merged(np.concatenate([np.frombuffer(old, np.int64).reshape(-1, 2), s])), found | set(names)
                     n_words.append(n)
                     spans.append(s)
-                    items.append(sorted(found))
+                    items.append(in_order(found))
                 marks = [pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64())] if is_last else [pa.array([s.tobytes() for s in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays([rows, pa.array(n_words, pa.int64()), *marks, pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "n_hit" if is_last else "spans", "items"])
 
@@ -230,10 +236,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def items_digest(items: Column) -> Column:
-    """SHA-256 of the comma-joined ids."""
+    """SHA-256 of the comma-joined ids, without the null."""
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)
 
 
-def digest(items: list[str]) -> str:
+def digest(items: list[str | None]) -> str:
     """The same in Python."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return hashlib.sha256(",".join(x for x in items if x is not None).encode()).hexdigest()

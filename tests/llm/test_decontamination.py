@@ -55,6 +55,20 @@ def test_benchmark_in_blocks(spark, docs, monkeypatch):
     assert got(D.contamination(docs, items)) == sorted(brute(ROWS, ITEMS), key=str)
 
 
+def test_items_without_an_id_hit(spark, docs, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    given = [(None, passage(1, 25)), (None, passage(4, 13)), (None, None), (3, "one two")]
+    want = {str(i): (n, h, x, c) for i, n, h, x, c in brute(ROWS, given)}
+    rows = D.contamination(docs, spark.createDataFrame(given, "item_id long, text string")).select("*", D.items_digest(D.F.col("items")).alias("sha")).collect()
+    for r in rows:
+        n, h, x, c = want[str(r["doc_id"])]
+        found = x.split(",") if x else []
+        assert (r["n_words"], r["n_hit"], r["contaminated"]) == (n, h, c)
+        assert r["n_items"] == len(found) and r["items"] == [i for i in found if i != "None"] + [None] * ("None" in found)
+        assert r["sha"] == D.digest(r["items"]) == hashlib.sha256(",".join(i for i in found if i != "None").encode()).hexdigest()
+    assert any(r["items"] == [None] and r["contaminated"] for r in rows)
+
+
 def test_query(spark):
     read = lambda t, k: [(r[k], r["text"]) for r in spark.read.parquet(f"{DATA}/{t}.parquet").collect()]
     want = {i: (n, h, hashlib.sha256(x.encode()).hexdigest(), c) for i, n, h, x, c in brute(read("documents", "doc_id"), read("benchmark", "item_id"))}
