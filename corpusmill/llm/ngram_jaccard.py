@@ -4,8 +4,9 @@ A text's set has its distinct shingles of five words (A-Z lower-cased, split at
 words has all of them as one shingle; one without words has none and is linked with nothing. Two texts link where
 intersection / union >= 0.8. Shingles are 64-bit hashes; equal sets are told by 128 bits.
 
-1. One pass makes each text's set; equal sets are one class from here on, with its least doc_id (`rep`). The pass
-   also counts shingles in a sketch of fixed size.
+1. One pass makes each text's set; equal sets are one class from here on, known by its set's digest (`sid`), with its
+   least doc_id (`rep`). So rows that repeat an id with different texts are in different classes. The pass also counts
+   shingles in a sketch of fixed size.
 2. Shingles are ordered, the rarest by their sketch cell first, then by hash. Similar sets share one of the first
    |set| - ceil(0.8 |set|) + 1 in any common order, so these are joined. A shingle in one class only joins nothing and is
    dropped; most are.
@@ -46,6 +47,8 @@ SKETCH_BITS, PARTS = 22, 16
 PIECE = 1024
 #: Bits of the filter that tells which documents are in pairs: fixed size, a part for each of PARTS tasks.
 FILTER_BITS = 26
+#: A column that one_of_each adds for itself.
+MARK = "__text_mark"
 
 SPACE = np.ones(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -86,23 +89,23 @@ def long_signature(hashes: np.ndarray) -> bytes | None:
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n (size of its set), sid and check (digest), bits and long (signatures). And from
+    """A row for each document: doc_id, mark (as given), n (size of its set), sid and check (digest), bits and long (signatures). And from
     each task rows with part and sketch: its counts of shingles by cell (up to 255), compressed."""
-    schema = "doc_id long, n long, sid long, check long, bits binary, long binary, part int, sketch binary"
+    schema = "doc_id long, mark long, n long, sid long, check long, bits binary, long binary, part int, sketch binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             rows = []
-            for id_, s in zip(batch["doc_id"].to_pylist(), sets(batch["text"]), strict=True):
+            for id_, mark, s in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), sets(batch["text"]), strict=True):
                 np.add.at(counts, cell(s), 1)
-                rows.append((id_, len(s), *(digest(s) if len(s) else (None, None)), signature(s).tobytes(), long_signature(s), None, None))
+                rows.append((id_, mark, len(s), *(digest(s) if len(s) else (None, None)), signature(s).tobytes(), long_signature(s), None, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         small = np.minimum(counts, 255).astype(np.uint8).reshape(PARTS, -1)
-        rows = [(None, None, None, None, None, None, k, zlib.compress(small[k].tobytes(), 1)) for k in range(PARTS)]
+        rows = [(None, None, None, None, None, None, None, k, zlib.compress(small[k].tobytes(), 1)) for k in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return docs.mapInArrow(run, schema)
@@ -157,7 +160,7 @@ def bits_of(short: bytes, long: bytes | None, width: int) -> np.ndarray:
 
 
 def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes (rep) whose sizes and longest common signature leave them possible."""
+    """Those pairs (a, b) of classes (sid) whose sizes and longest common signature leave them possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,14 +172,14 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 ok.append((NUM + DEN) * bound >= NUM * (n + m))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("long").alias(f"long_{x}"))
+    side = lambda x: classes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("long").alias(f"long_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "long_a", "long_b").mapInArrow(run, "a long, b long")
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) in blocks, each pair in the least block that both are in. rows: block, left and right piece
-    (equal: within one), mine (the row's piece), rep, n, bits, component, blocks (all of the class); sorted by block, left,
+    (equal: within one), mine (the row's piece), sid, n, bits, component, blocks (all of the class); sorted by block, left,
     right in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +215,7 @@ def block_pairs(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64))], ["a", "b"])
 
         for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("block", "left", "right", "mine", "rep", "n", "bits", "component")]
+            cols = [batch[c].to_pylist() for c in ("block", "left", "right", "mine", "sid", "n", "bits", "component")]
             of, at = batch["blocks"].values.to_numpy(), batch["blocks"].offsets.to_numpy()
             cols.append([of[i:j] for i, j in zip(at[:-1], at[1:], strict=True)])
             for block, lo, hi, *rest in zip(*cols, strict=True):
@@ -252,17 +255,19 @@ def member_filter(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of documents whose sets are similar; cut."""
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of classes (sid) whose sets are similar; cut."""
     pairs = cut(pairs)
-    keep = docs.sparkSession.sparkContext.broadcast(member_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    members = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    keep = docs.sparkSession.sparkContext.broadcast(member_filter(members.join(classes.select("sid", F.col("rep").alias("id")), "sid").select("id")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch["h"].to_numpy()
             batch = batch.filter(pa.array((keep.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1).astype(bool)))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.tobytes() for s in sets(batch["text"])], pa.binary())], ["doc_id", "hashes"])
+                made = [(digest(s)[0], s.tobytes()) for s in sets(batch["text"])]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], ["doc_id", "sid", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,14 +281,17 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     rows = docs.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
-    made = rows.mapInArrow(make, "doc_id long, hashes binary")
-    both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    made = rows.select("doc_id", "text", "h").mapInArrow(make, "doc_id long, sid long, hashes binary")
+    # Each class's set comes from the rows with its least id.
+    side = lambda x: classes.select(F.col("sid").alias(x), F.col("rep").alias(f"rep_{x}"))
+    sets_of = lambda x, name: made.select(F.col("sid").alias(x), F.col("doc_id").alias(f"rep_{x}"), F.col("hashes").alias(name))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").join(sets_of("a", "x"), ["a", "rep_a"]).join(sets_of("b", "y"), ["b", "rep_b"])
     return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, rep (least doc_id with an equal set) and component_id (least doc_id reachable) of each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n, sid, rep (least doc_id with an equal set), head (rep and sid of the component's first class) of each
+    row of doc_id, text, mark. Rows without a set or an id have no rep and no head."""
     base = cut(first_pass(docs))
     rows = base.where("part is null").drop("part", "sketch")
     classes = cut(rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("bits").alias("bits"), F.first("long").alias("long")))
@@ -292,36 +300,51 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = classes.drop("c0", "c1")
     entries = Written(prefixes(docs, frequencies(base.where("part is not null"))))
     shared = entries.df.groupBy("token").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").drop("last")
-    held = cut(entries.df.join(shared, "token").join(classes.select("sid", "rep"), "sid").select("token", "sid", "hub", "rep"))
+    held = cut(entries.df.join(shared, "token").join(classes.select("sid"), "sid").select("token", "sid", "hub"))
     entries.drop()
-    hubs = classes.select(F.col("sid").alias("hub"), F.col("rep").alias("b"))
-    star = held.where("sid != hub").select(F.col("rep").alias("a"), "hub").distinct().join(hubs, "hub").select("a", "b")
-    links = verified(docs, may_link(star, classes))
+    star = held.where("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+    links = verified(docs, may_link(star, classes), classes)
     first = components(links)
-    known = held.join(first, held["rep"] == first["node"], "left").select("token", "rep", "sid", F.coalesce("component", "rep").alias("component"))
+    known = held.join(first, held["sid"] == first["node"], "left").select("token", "sid", F.coalesce("component", "sid").alias("component"))
     # Blocks: shingles with several components; of those with the same classes, one. A class is in a shingle once for each
     # task that has met it, so it counts once.
     known = cut(known.distinct())
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("sid", "component")).alias("s2")).where("lo < hi")
     mixed = mixed.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
     members = cut(known.join(mixed, "token"))
-    lists = members.groupBy("rep").agg(F.collect_list("token").alias("blocks"))
-    members = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("pieces").cast("long")).cast("int"))
+    lists = members.groupBy("sid").agg(F.collect_list("token").alias("blocks"))
+    members = members.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("pieces").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
-    members = members.select("token", "rep", "sid", "component", "mine", other).select(F.col("token").alias("block"), F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "mine", "rep", "sid", "component")
-    members = members.join(lists, "rep").join(classes.select("sid", "n", "bits"), "sid").repartition("block", "left", "right").sortWithinPartitions("block", "left", "right")
-    links = links.unionByName(verified(docs, may_link(block_pairs(members).distinct(), classes)))
+    members = members.select("token", "sid", "component", "mine", other).select(F.col("token").alias("block"), F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "mine", "sid", "component")
+    members = members.join(lists, "sid").join(classes.select("sid", "n", "bits"), "sid").repartition("block", "left", "right").sortWithinPartitions("block", "left", "right")
+    links = links.unionByName(verified(docs, may_link(block_pairs(members).distinct(), classes), classes))
     found = components(links)
     ids = classes.select("sid", "rep")
-    ids = ids.join(found, ids["rep"] == found["node"], "left").select("sid", "rep", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "sid").join(ids, "sid", "left")
-    alone = F.col("doc_id").isNull() | F.col("sid").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("rep"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    ids = ids.join(found, ids["sid"] == found["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("component"))
+    heads = ids.groupBy("component").agg(F.min(F.struct("rep", "sid")).alias("head"))
+    ids = ids.join(heads, "component").select("sid", "rep", "head")
+    return rows.where("doc_id is not null and sid is not null").join(ids, "sid", "left").select("doc_id", "mark", "n", "sid", "rep", "head").unionByName(rows.where("doc_id is null or sid is null").select("doc_id", "mark", "n", "sid"), True)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text and mark (a hash of the text) of each row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, rep (least doc_id with an equal set) and component_id (least doc_id reachable) of each row."""
+    return grouped(marked(docs)).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("head.rep", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are their component's least id (and rows with a null id), with all their columns. Of rows that
-    repeat an id, one stays."""
-    keep = cut(jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each component, with all its columns: the least id, and of rows that repeat it, one (of the least
+    set digest and text hash). Texts without words are linked with nothing, so only rows with equal id and text are one. Rows
+    with a null id all stay."""
+    rows = grouped(marked(docs)).where("doc_id is not null")
+    first = rows.where("doc_id = head.rep and sid = head.sid").groupBy("sid", "doc_id").agg(F.min("mark").alias("mark"))
+    keep = cut(first.select("doc_id", "mark").unionByName(rows.where("sid is null").select("doc_id", "mark").distinct()))
+    kept = docs.where("doc_id is not null").withColumn(MARK, F.xxhash64(F.col("text").cast("string")))
+    keep = keep.withColumnRenamed("mark", MARK)
+    kept = kept.join(keep, ["doc_id", MARK], "left_semi").dropDuplicates(["doc_id", MARK]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))

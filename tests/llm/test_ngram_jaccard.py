@@ -81,6 +81,13 @@ def test_one_of_each_keeps_columns(docs):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def test_repeated_ids_with_other_texts_stay(spark):
+    text = lambda x, n=20: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b").upper()), (2, text("b") + " more"), (3, text("c")), (3, text("c")), (4, text("c") + " more"), (5, ""), (5, " "), (5, None), (5, text("d")), (6, text("a") + " more")]
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in N.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert kept == sorted([(1, text("a")), (1, text("b")), (3, text("c")), (5, ""), (5, " "), (5, ""), (5, text("d"))], key=str)
+
+
 @pytest.mark.parametrize("size", [1, 5, 70])
 def test_tree_loses_no_pair(size):
     rng = np.random.default_rng(size)
