@@ -180,11 +180,23 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {int(vocabulary[r["word"]]): r["n"] for r in rows}
 
 
-MARKS = "n_words long, n_hit long, items array<string>"
+MARKS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def span_lists(spans: list[np.ndarray]) -> pa.Array:
+    """Each text's spans as a list of structs."""
+    flat = np.concatenate([np.zeros((0, 2), np.int64), *spans])
+    ends = np.cumsum([0, *map(len, spans)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["start", "end"]))
+
+
+def hit_words() -> Column:
+    """How many words are in the spans."""
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`row` (each row of docs as a struct), n_words, n_hit and items (ids found, sorted as strings; null last)."""
+    """`row` (each row of docs as a struct), n_words, spans (of words hit, [start, end), merged and sorted) and items (ids found, sorted as strings; null last)."""
     parts = benchmark_blocks(benchmark)
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for part in parts for w in item_words([t for _, t in part]))]))
     counts = word_counts(docs, vocabulary)
@@ -209,8 +221,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     n_words.append(n)
                     spans.append(s)
                     items.append(in_order(found))
-                marks = [pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64())] if is_last else [pa.array([s.tobytes() for s in spans], pa.binary())]
-                yield pa.RecordBatch.from_arrays([rows, pa.array(n_words, pa.int64()), *marks, pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "n_hit" if is_last else "spans", "items"])
+                marks = span_lists(spans) if is_last else pa.array([s.tobytes() for s in spans], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows, pa.array(n_words, pa.int64()), marks, pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "spans", "items"])
 
         return run
 
@@ -226,13 +238,13 @@ def contaminated(percent: int = 5) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, contaminated of each row."""
-    return hits(docs, benchmark).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", contaminated().alias("contaminated"))
+    """doc_id, n_words, n_hit, n_items, items, spans, contaminated of each row."""
+    return hits(docs, benchmark).withColumn("n_hit", hit_words()).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", contaminated().alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
-    return hits(docs, benchmark).where(~contaminated()).select("row.*")
+    return hits(docs, benchmark).withColumn("n_hit", hit_words()).where(~contaminated()).select("row.*")
 
 
 def items_digest(items: Column) -> Column:

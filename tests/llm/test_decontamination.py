@@ -69,6 +69,16 @@ def test_items_without_an_id_hit(spark, docs, monkeypatch):
     assert any(r["items"] == [None] and r["contaminated"] for r in rows)
 
 
+def test_hit_spans(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, passage(1, 25)), (2, "one two"), (3, "no id here at all")], "item_id long, text string")
+    for size in (D.BLOCK_BYTES, 60):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        rows = D.contamination(docs, items).collect()
+        spans = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in rows}
+        assert (spans[1], spans[4], spans[6], spans[10], spans[41], spans[None]) == ([], [(0, 2)], [(0, 25)], [], [(0, 2)], [(0, 5)])
+        assert all(r["n_hit"] == sum(b - a for a, b in r["spans"]) for r in rows)
+
+
 def test_query(spark):
     read = lambda t, k: [(r[k], r["text"]) for r in spark.read.parquet(f"{DATA}/{t}.parquet").collect()]
     want = {i: (n, h, hashlib.sha256(x.encode()).hexdigest(), c) for i, n, h, x, c in brute(read("documents", "doc_id"), read("benchmark", "item_id"))}
