@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Bytes of text that the vectorised loops take at a time (a longer text is taken alone).
 BLOCK = 1 << 18
+#: Each byte with A-Z lower-cased, and masks of the first 0 to 8 bytes of a lane.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,53 +74,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of words in a block of bytes, by polynomial prefix sums modulo 2**64.
+    """64-bit hashes of words in a block of bytes: eight bytes at a time are mixed in, the words in step; words longer than
+    LONG bytes are hashed one by one.
 
-    `letter` maps each byte to True inside words; A-Z count as a-z.
+    `letter` maps each byte to True inside words; A-Z count as a-z. Whoever needs certainty compares the words themselves
+    (`edges` tells where they are).
     """
 
+    LONG = 64
+
     def __init__(self, letter: np.ndarray, salt: int = 1):
-        rng = np.random.default_rng(20_000 + salt)
-        values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        values[65:91] = values[97:123]
-        self.letter, self.values = letter, np.where(letter, values, U64(0))
-        self.base = int(rng.integers(1 << 62, 1 << 63)) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                for name, base in (("up", self.base), ("down", self.inverse)):
-                    out = np.ones(1, np.uint64)
-                    while len(out) < size:
-                        step = U64(pow(base, len(out), 1 << 64))
-                        out = np.concatenate([out, out * step])
-                    setattr(self, name, out[:size])
+        self.letter, self.salt = letter, salt
+        self.start = U64(int(np.random.default_rng(20_000 + salt).integers(1 << 62, 1 << 63)))
 
-    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and for each row (offsets begin at 0) where its words begin among them."""
+    def edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end (offsets begin at 0; no word goes from one row into the next)."""
         n = len(data)
-        if not n:
-            return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-        self._powers(n)
         inside = self.letter[data]
-        first = inside.copy()
+        first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
         edges = offsets[(offsets > 0) & (offsets < n)]
         first[edges] = inside[edges]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
         last[edges - 1] = inside[edges - 1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+        return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and for each row where its words begin among them."""
+        starts, ends = self.edges(data, offsets)
+        return self.hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each data[start:end]."""
+        low = np.zeros(len(data) + 8, np.uint8)
+        low[:-8] = LOWER[data]
+        lanes = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))
+        left = ends - starts
         with np.errstate(over="ignore"):
-            sums = self.values[data]
-            sums *= self.up[:n]
-            np.cumsum(sums, out=sums)
-            before = np.where(starts > 0, sums[starts - 1], U64(0))
-            hashes = mixed((sums[ends] - before) * self.down[starts])
-        return hashes, np.searchsorted(starts, offsets)
+            out = mixed(self.start + left.astype(np.uint64))
+            out = mixed(out ^ (lanes[starts] & LANE[np.minimum(left, 8)]))
+            some = np.flatnonzero((left > 8) & (left <= self.LONG))
+            at = starts[some]
+            while len(some):
+                at = at + 8
+                rest = ends[some] - at
+                out[some] = mixed(out[some] * U64(0x9E3779B97F4A7C15) ^ (lanes[at] & LANE[np.minimum(rest, 8)]))
+                more = rest > 8
+                some, at = some[more], at[more]
+        for k in np.flatnonzero(left > self.LONG).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]], digest_size=8, salt=bytes([self.salt])).digest(), "little")
+        return out
 
 
 def spans(hashes: np.ndarray, width: int, salt: int = 7) -> np.ndarray:
