@@ -2,30 +2,36 @@
 
 A text's set has its distinct shingles of five words (A-Z lower-cased, split at ASCII white space); a text with fewer
 words has all of them as one shingle; one without words has none and is linked with nothing. Two texts link where
-intersection / union >= 0.8. Shingles are 64-bit hashes; equal sets are told by 128 bits.
+intersection / union >= 0.8. Candidates are found by 64-bit hashes of shingles, links are verified on the words.
 
-1. One pass makes each text's set; equal sets are one class from here on, known by its set's digest (`sid`), with its
-   least doc_id (`rep`). So rows that repeat an id with different texts are in different classes. The pass also counts
-   shingles in a sketch of fixed size.
+1. One pass makes each text's set; texts of the same words are one class from here on, known by a digest of the words
+   (`sid`), with its least doc_id (`rep`). So rows that repeat an id with different texts are in different classes. The
+   pass also counts shingles in a sketch of fixed size.
 2. Shingles are ordered, the rarest by their sketch cell first, then by hash. Similar sets share one of the first
    |set| - ceil(0.8 |set|) + 1 in any common order, so these are joined. A shingle in one class only joins nothing and is
    dropped; most are.
-3. Of a shingle's classes, each is compared with the least. Those links give first components; a group of near copies of
-   any size mostly becomes one here, at a cost in proportion to it.
+3. Of a shingle's classes of like sizes, one picked at random is the hub, and each class is compared with one hub. These
+   are no more pairs than classes, and most of a group of near copies of any size becomes one component here.
 4. What is left to compare is between components. A shingle whose classes are all in one component is done; of those
    with the same classes, one is kept. The others are blocks. In a block, a signature tree's dual traversal gives
-   the pairs between components that the bounds leave, each pair in one of the blocks it is in. A large block is split in pieces of about PIECE classes, and
-   each pair of pieces is a task's. Pairs of sets too large for a signature are held to the same bound on longer ones.
-5. Pairs are verified on the whole sets, which are made again for the classes in them only.
+   the pairs between components that the bounds leave. A large block is split in pieces of about PIECE classes, and
+   each pair of pieces is a task's. In a first round, a task sends on FORESTS spanning forests of its pairs only, so n
+   classes give less than n pairs each; what these join need not be compared any more. The last round takes all pairs that
+   are left.
+   Pairs of sets too large for a signature are held to the same bound on longer ones.
+5. Pairs are verified on the texts' words, which are read again for the classes in them only.
 6. Components over all links.
 
 No link is lost at any step: the bounds are exact, and pairs that are not compared are in one component already.
 Rows with a null doc_id have an n_shingles and a null component_id, and link nothing. Repeated rows come out as often.
+An empty table gives no rows. Where two classes' digests begin with the same 64 bits (3 cases among 10**10 texts), those
+are known by the other half.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -43,8 +49,10 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Cells of the shingle sketch (fixed size: a byte each is broadcast), and the parts in which it is summed.
 SKETCH_BITS, PARTS = 22, 16
-#: Classes of a block that a tree takes.
-PIECE = 1024
+#: Spanning forests that a block sends on before all that is left.
+FORESTS = 3
+#: Classes of a block that a tree takes, and of the blocks a class is in, how many go with it.
+PIECE, LISTED = 1024, 64
 #: Bits of the filter that tells which documents are in pairs: fixed size, a part for each of PARTS tasks.
 FILTER_BITS = 26
 #: A column that one_of_each adds for itself.
@@ -68,10 +76,17 @@ def sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield spans(words[lo:hi], hi - lo, salt=8) if hi > lo else np.zeros(0, np.uint64)
 
 
-def digest(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed 64-bit integers."""
-    x = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
+def plain_words(texts: pa.Array) -> Iterator[bytes]:
+    """Each text's words, lower-cased, with one blank between."""
+    for x in texts:
+        yield b" ".join(x.as_buffer().to_pybytes().lower().split()) if x.is_valid else b""
+
+
+def digest(words: bytes, other: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """128 bits of a text's words, as two signed 64-bit integers; the second one in place of the first if that is in `other`."""
+    x = hashlib.blake2b(words, digest_size=16).digest()
+    sid, check = int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
+    return (check if sid in other else sid), check
 
 
 def cell(hashes: np.ndarray) -> np.ndarray:
@@ -99,9 +114,9 @@ def first_pass(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             rows = []
-            for id_, mark, s in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), sets(batch["text"]), strict=True):
+            for id_, mark, words, s in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), plain_words(batch["text"]), sets(batch["text"]), strict=True):
                 np.add.at(counts, cell(s), 1)
-                rows.append((id_, mark, len(s), *(digest(s) if len(s) else (None, None)), signature(s).tobytes(), long_signature(s), None, None))
+                rows.append((id_, mark, len(s), *(digest(words) if len(s) else (None, None)), signature(s).tobytes(), long_signature(s), None, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         small = np.minimum(counts, 255).astype(np.uint8).reshape(PARTS, -1)
@@ -133,16 +148,16 @@ def frequencies(sketches: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """(token, sid): the shingles of each set's prefix; of equal sets in a task, one speaks for all."""
+def prefixes(docs: DataFrame, level: np.ndarray, other: frozenset[int]) -> DataFrame:
+    """(token, sid): the shingles of each set's prefix; of equal texts in a task, one speaks for all."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             tokens, sids, sizes = [], [], []
-            for s in sets(batch["text"]):
-                if len(s) and (sid := digest(s)[0]) not in seen:
+            for words, s in zip(plain_words(batch["text"]), sets(batch["text"]), strict=True):
+                if len(s) and (sid := digest(words, other)[0]) not in seen:
                     seen.add(sid)
                     n = len(s) - -(-NUM * len(s) // DEN) + 1
                     tokens.append(s[np.lexsort((s, sent.value[cell(s)]))[:n]])
@@ -177,10 +192,29 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "long_a", "long_b").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) in blocks, each pair in the least block that both are in. rows: block, left and right piece
-    (equal: within one), mine (the row's piece), sid, n, bits, component, blocks (all of the class); sorted by block, left,
-    right in a partition."""
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges (a, b) that make FORESTS spanning forests, each of the edges that join what those before them, in a
+    random order, have not."""
+    out = []
+    for salt in range(FORESTS):
+        root: dict[int, int] = {}
+        for k in np.random.default_rng(salt).permutation(len(a)).tolist():
+            x, y = int(a[k]), int(b[k])
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            while (up := root.setdefault(y, y)) != y:
+                root[y] = y = root[up]
+            if x != y:
+                root[x] = y
+                out.append(k)
+    return np.unique(np.array(out, np.int64))
+
+
+def block_pairs(rows: DataFrame, some: bool) -> DataFrame:
+    """Candidate pairs (a, b) in blocks, each pair in the least block that both are in (in each, where the lists do not tell).
+    With `some`, of each block (or pair of pieces) spanning forests between components instead of all.
+    rows: block, left and right piece (equal: within one), mine (the row's piece), sid, n, bits, component, blocks (the
+    class's least ones); sorted by block, left, right in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(key: tuple, group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,18 +226,23 @@ def block_pairs(rows: DataFrame) -> DataFrame:
 
             def least(rows_a: list[tuple], rows_b: list[tuple], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 in_a, in_b = {k: set(rows_a[k][5].tolist()) for k in set(a.tolist())}, {k: set(rows_b[k][5].tolist()) for k in set(b.tolist())}
-                first = [min(in_a[x] & in_b[y]) == key[0] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                # The lists have the least blocks, so if they meet at all, their least is the least of all.
+                first = [min(in_a[x] & in_b[y], default=key[0]) == key[0] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
                 return a[first], b[first]
 
+            def fewer(rows_a: list[tuple], rows_b: list[tuple], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                at = forest(np.array([r[4] for r in rows_a])[a], np.array([r[4] for r in rows_b])[b]) if some else slice(None)
+                return a[at], b[at]
+
             if key[1] == key[2]:
                 x, ids = made(group)
-                a, b = least(group, group, *candidates(x, None, NUM, DEN))
+                a, b = fewer(group, group, *least(group, group, *candidates(x, None, NUM, DEN)))
                 return ids[a], ids[b]
             left, right = ([r for r in group if r[0] == k] for k in key[1:])
             if not left or not right:
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
             (x, ids_x), (y, ids_y) = made(left), made(right)
-            a, b = least(left, right, *candidates(x, y, NUM, DEN))
+            a, b = fewer(left, right, *least(left, right, *candidates(x, y, NUM, DEN)))
             return ids_x[a], ids_y[b]
 
         now, group, out = None, [], []
@@ -255,8 +294,14 @@ def member_filter(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes (sid) whose sets are similar; cut."""
+def shingle_set(words: bytes) -> set[tuple[bytes, ...]]:
+    """The shingles of a text's words, as words."""
+    w = words.split()
+    return set(zip(*(w[k:] for k in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else {tuple(w)} if w else set()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, other: frozenset[int]) -> DataFrame:
+    """Those pairs (a, b) of classes (sid) whose shingles, word by word, are similar; cut."""
     pairs = cut(pairs)
     members = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     keep = docs.sparkSession.sparkContext.broadcast(member_filter(members.join(classes.select("sid", F.col("rep").alias("id")), "sid").select("id")))
@@ -266,59 +311,93 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
             h = batch["h"].to_numpy()
             batch = batch.filter(pa.array((keep.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1).astype(bool)))
             if batch.num_rows:
-                made = [(digest(s)[0], s.tobytes()) for s in sets(batch["text"])]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], ["doc_id", "sid", "hashes"])
+                words = list(plain_words(batch["text"]))
+                yield pa.RecordBatch.from_arrays([pa.array([digest(w, other)[0] for w in words], pa.int64()), pa.array(words, pa.binary())], ["sid", "words"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, set] = (b"", set())  # pairs of one hub follow each other
         for batch in batches:
             ok = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                x, y = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+                x, y = x.as_py(), y.as_py()
+                if y != last[0]:
+                    last = (y, shingle_set(y))
+                x, y = shingle_set(x), last[1]
+                common = len(x & y)
                 ok.append(common > 0 and DEN * common >= NUM * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     rows = docs.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
-    made = rows.select("doc_id", "text", "h").mapInArrow(make, "doc_id long, sid long, hashes binary")
-    # Each class's set comes from the rows with its least id.
-    side = lambda x: classes.select(F.col("sid").alias(x), F.col("rep").alias(f"rep_{x}"))
-    sets_of = lambda x, name: made.select(F.col("sid").alias(x), F.col("doc_id").alias(f"rep_{x}"), F.col("hashes").alias(name))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").join(sets_of("a", "x"), ["a", "rep_a"]).join(sets_of("b", "y"), ["b", "rep_b"])
+    made = rows.select("text", "h").mapInArrow(make, "sid long, words binary").dropDuplicates(["sid"])
+    side = lambda x, name: made.select(F.col("sid").alias(x), F.col("words").alias(name))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, n, sid, rep (least doc_id with an equal set), head (rep and sid of the component's first class) of each
-    row of doc_id, text, mark. Rows without a set or an id have no rep and no head."""
-    base = cut(first_pass(docs))
-    rows = base.where("part is null").drop("part", "sketch")
-    classes = cut(rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("bits").alias("bits"), F.first("long").alias("long")))
-    if not classes.where("c0 != c1").isEmpty():
-        raise RuntimeError("two sets have the same 64-bit digest; change HASHER's salt")
-    classes = classes.drop("c0", "c1")
-    entries = Written(prefixes(docs, frequencies(base.where("part is not null"))))
-    shared = entries.df.groupBy("token").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").drop("last")
-    held = cut(entries.df.join(shared, "token").join(classes.select("sid"), "sid").select("token", "sid", "hub"))
-    entries.drop()
-    star = held.where("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    links = verified(docs, may_link(star, classes), classes)
-    first = components(links)
-    known = held.join(first, held["sid"] == first["node"], "left").select("token", "sid", F.coalesce("component", "sid").alias("component"))
-    # Blocks: shingles with several components; of those with the same classes, one. A class is in a shingle once for each
-    # task that has met it, so it counts once.
-    known = cut(known.distinct())
-    mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("sid", "component")).alias("s2")).where("lo < hi")
+def open_entries(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(token, sid, n, component) of the shingles whose classes are in several components; cut. found: (node, component)."""
+    known = held.join(found, held["sid"] == found["node"], "left").select("token", "sid", "n", F.coalesce("component", "sid").alias("component"))
+    some = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    return cut(known.join(some, "token"))
+
+
+def hub_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): each class in entries (token, sid, n), where it can, with a hub. Of the classes of a shingle that are of like
+    sizes, that with the least hash is their hub; a class is held against the one with which it has most shingles. Hubs'
+    hashes are less, so no chain of pairs comes back."""
+    entries = entries.withColumn("bucket", F.floor(F.log("n") / math.log(DEN / NUM)).cast("int"))
+    hubs = entries.groupBy("token", "bucket").agg(F.min(F.struct(F.xxhash64("sid").alias("rank"), F.col("sid").alias("b"))).alias("hub"))
+    met = entries.join(hubs, ["token", "bucket"]).where("sid != hub.b")
+    met = met.groupBy(F.col("sid").alias("a"), F.col("hub.b").alias("b")).agg(F.count("*").alias("common"))
+    return met.groupBy("a").agg(F.max(F.struct("common", "b")).alias("hub")).select("a", F.col("hub.b").alias("b"))
+
+
+def followed(links: DataFrame, steps: int = 3) -> DataFrame:
+    """(node, component) from links (a, b) of which each a has one, without cycles: the b that 2**steps links lead to, or where
+    they end before. Equal components are connected, though connected nodes may still have several."""
+    out = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for _ in range(steps):
+        on = out.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        out = cut(out.join(on, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
+    return out
+
+
+def block_members(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows that block_pairs takes. Blocks are shingles with several components; of those with the same classes, one."""
+    mixed = known.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("sid", "component")).alias("s2"))
     mixed = mixed.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
-    members = cut(known.join(mixed, "token"))
-    lists = members.groupBy("sid").agg(F.collect_list("token").alias("blocks"))
+    members = cut(known.drop("n").join(mixed, "token"))
+    lists = members.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LISTED).alias("blocks"))
     members = members.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("pieces").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
     members = members.select("token", "sid", "component", "mine", other).select(F.col("token").alias("block"), F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "mine", "sid", "component")
-    members = members.join(lists, "sid").join(classes.select("sid", "n", "bits"), "sid").repartition("block", "left", "right").sortWithinPartitions("block", "left", "right")
-    links = links.unionByName(verified(docs, may_link(block_pairs(members).distinct(), classes), classes))
-    found = components(links)
+    return members.join(lists, "sid").join(classes.select("sid", "n", "bits"), "sid").repartition("block", "left", "right").sortWithinPartitions("block", "left", "right")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n, sid, rep (least doc_id with the same words), head (rep and sid of the component's first class) of each
+    row of doc_id, text, mark. Rows without a set or an id have no rep and no head."""
+    base = cut(first_pass(docs))
+    rows = base.where("part is null").drop("part", "sketch")
+    told = rows.where("sid is not null").groupBy("sid").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).where("c0 != c1")
+    other = frozenset(r["sid"] for r in told.select("sid").collect())  # n * n / 2**65 among n classes
+    if other:
+        rows = rows.withColumn("sid", F.when(F.col("sid").isin(list(other)), F.col("check")).otherwise(F.col("sid")))
+    classes = cut(rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("long").alias("long")))
+    written = Written(prefixes(docs, frequencies(base.where("part is not null")), other))
+    shared = written.df.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
+    # A class is in a shingle once for each task that has met it, so it is made to count once.
+    held = cut(written.df.join(shared, "token").join(classes.select("sid", "n"), "sid").select("token", "sid", "n").distinct())
+    written.drop()
+    links = verified(docs, may_link(hub_pairs(held), classes), classes, other)
+    found = followed(links)
+    for some in (True, False):
+        known = open_entries(held, found)
+        pairs = cut(may_link(block_pairs(block_members(known, classes), some).distinct(), classes))
+        if pairs.isEmpty() and not some:
+            break
+        links = cut(links.unionByName(verified(docs, pairs, classes, other)))
+        found = components(links)
     ids = classes.select("sid", "rep")
     ids = ids.join(found, ids["sid"] == found["node"], "left").select("sid", "rep", F.coalesce("component", "sid").alias("component"))
     heads = ids.groupBy("component").agg(F.min(F.struct("rep", "sid")).alias("head"))
@@ -333,7 +412,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, rep (least doc_id with an equal set) and component_id (least doc_id reachable) of each row."""
+    """doc_id, n_shingles, rep (least doc_id with the same words) and component_id (least doc_id reachable) of each row."""
     return grouped(marked(docs)).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("head.rep", "doc_id").alias("component_id"))
 
 

@@ -107,3 +107,68 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 21), 0), 200: 0, **dict.fromkeys(range(101, 130), 100), 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_group_of_near_copies_costs_about_a_pair_a_class(spark, monkeypatch):
+    """Near copies that mostly link with one another, and hang together by chance only."""
+    rng = random.Random(8)
+    seed = [f"a{i}" for i in range(120)]
+    rows = []
+    for i in range(500):
+        w = list(seed)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"c{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    verified, counts = N.verified, []
+    monkeypatch.setattr(N, "verified", lambda docs, pairs, *more: (counts.append(pairs.count()), verified(docs, pairs, *more))[1])
+    got = result(N.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)))
+    assert got == brute(rows)
+    assert sum(counts) <= 4 * len(rows)
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """Such words have one polynomial hash modulo 2**64, whatever its base."""
+    rows = [(i, f"x y {w} z") for i, w in enumerate([thue_morse(n, *p) for n in (256, 2048) for p in ("ab", "ba")])] + [(9, "x y")]
+    assert result(N.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == {i: (1, i) for i, _ in rows}
+
+
+def test_digests_that_begin_alike(spark, monkeypatch):
+    digest = N.digest
+
+    def half(words, other=frozenset()):
+        _, check = digest(words)
+        return (check if 7 in other else 7), check
+
+    rows = [(i, BASE_TEXT + f" {k}") for i, k in enumerate([1, 1, 2, 3])] + [(9, "other text"), (10, "other text")]
+    monkeypatch.setattr(N, "digest", half)
+    assert result(N.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))) == brute(rows)
+
+
+BASE_TEXT = " ".join(f"v{k}" for k in range(30))
+
+
+def test_long_words_and_hashes_of_lanes():
+    texts = ["a" * n + x for n in (0, 7, 8, 9, 15, 16, 63, 64, 65, 300) for x in "bcB"]
+    data, offsets = N.raw(N.pa.array(texts))
+    words, at = N.HASHER.words(data, offsets)
+    assert list(at) == list(range(len(texts) + 1))
+    assert [words[k] == words[k + 2] for k in range(0, len(words), 3)] == [True] * (len(words) // 3)
+    assert len(set(words.tolist())) == len(words) * 2 // 3
+
+
+def test_forest_spans():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 60, 400), rng.integers(0, 60, 400)
+    some = N.forest(a, b)
+
+    def parts(edges):
+        root = list(range(60))
+        for x, y in edges:
+            root = [root[x] if r == root[y] else r for r in root]
+        return [root.index(r) for r in root]
+
+    assert len(some) < 60 * N.FORESTS and parts(zip(a, b)) == parts(zip(a[some], b[some]))
