@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that the vectorised loops take at a time (a longer text is taken alone).
@@ -26,10 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (tests), a folder of our own."""
+    """Use the cluster's spark.checkpoint.dir. Where none is set, a folder below the warehouse, if all runs on one machine;
+    else this is an error, as executors could not read what others have written."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,6 +43,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounds_json(bounds: list[tuple], names: list[str]) -> str:
+    return json.dumps([dict(zip(names, b, strict=True)) for b in bounds])
+
+
+def bounds_below(key: Column, bounds: list[tuple], fields: str, inclusive: bool = False) -> Column:
+    """How many of the sorted bounds are less than key, a struct with these fields (inclusive: or equal), by binary search in
+    a constant."""
+    names = [x.split()[0] for x in fields.split(", ")]
+    all_ = F.from_json(F.lit(bounds_json(bounds, names)), f"array<struct<{fields}>>")
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        bound = F.get(all_, middle)
+        up = (bound <= key) if inclusive else (bound < key)
+        return F.when(s["lo"] >= s["hi"], s).when(up, F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle.alias("hi")))
+
+    if not bounds:
+        return F.lit(0)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), step, lambda s: s["lo"])
+
+
+def own_partition(spark: SparkSession, n: int, number: Column) -> Column:
+    """A key for each number from 0 to n - 1, such that repartition(n, key) has a partition for each."""
+    keys: dict[int, int] = {}
+    size = 8 * n + 64
+    while len(keys) < n:
+        keys = {r["p"]: r["id"] for r in spark.range(size).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()}
+        size *= 2
+    return F.get(F.from_json(F.lit(json.dumps([keys[k] for k in range(n)])), "array<bigint>"), number)
+
+
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the rows' offsets in them; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -16,7 +16,9 @@ found by binary search. The likeness of two fingerprints is this prefix and suff
 both texts have (each as often as in both), as a share of the longer text (1 for equal texts). So it is a lower bound of
 what the texts share (but for equal 31-bit hashes of different pieces); an edit costs about two pieces.
 
-A null text counts as empty. The empty text's fingerprint is that of length 0; two empty texts are alike (1).
+A null text counts as empty. The empty text's fingerprint is that of length 0; two empty texts are alike (1). Rows with a
+null doc_id come first in the order, repeated ids follow each other, and repeated rows come out as often; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import bounds_below, bounds_json, own_partition
+
 #: Two primes below 2**31, and a base for each.
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (911_382_323, 972_663_749)
 #: Lengths of prefixes and suffixes that a fingerprint has, as far as the text is as long.
 GRID = sorted({round(2 ** (k / 4)) for k in range(4 * 40)})
 #: Code points whose hash decides on a cut, places on each side that it is held against (a power of two), longest piece.
 WINDOW, REACH, LONGEST = 6, 8, 64
+#: Cells that the order of all documents is cut into, at most.
+MOST_CELLS = 100_000
 #: A piece in a fingerprint.
 PIECE = np.dtype([("length", "u1"), ("hash", ">u4")])
 
@@ -166,43 +172,48 @@ def inner_pieces(pieces: str, begin: int, end: int) -> Counter:
     return Counter(zip(x["length"].tolist(), x["hash"].tolist(), strict=True))
 
 
-def in_order(docs: DataFrame, rows_a_cell: int = 20_000) -> DataFrame:
-    """doc_id, text and `cell`, sorted by doc_id in cells, each wholly in one partition; the first row of each cell also
-    ends the cell before it, and the first of all ends the last. So in a sorted cell each row but the last, which is such
-    a copy (`extra`), has its successor next. Cells are cut at approximate quantiles of doc_id; the driver sees
-    these, a thousand at most. Rows with a null doc_id come first; among equal ids, texts are in order."""
-    keys = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("at"), F.col("text").cast("string").alias("text")
-    rows = docs.select(*keys)
-    ids = rows.select("at")
-    n = ids.count()
-    cells = max(1, min(n // rows_a_cell, 1000))
-    cuts = sorted(set(ids.agg(F.percentile_approx("at", [i / cells for i in range(1, cells)], 20 * cells)).first()[0])) if cells > 1 else []
-    bounds = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<bigint>")
-    cell = F.size(F.filter(bounds, lambda x: x <= F.col("at")))
-    firsts = sorted(r[0] for r in ids.groupBy(cell.alias("cell")).agg(F.min("at")).select("min(at)").collect())
-    placed = rows.select("at", "text", cell.alias("cell"), F.lit(False).alias("extra"))
-    if not firsts:
-        return placed
-    # The copies: the rows with the first ids, the least text of each.
-    heads = docs.where(F.col("doc_id").isin(firsts) | F.col("doc_id").isNull()).select(*keys).where(F.col("at").isin(firsts)).groupBy("at").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    cell_of = {x: sum(c <= x for c in cuts) for x in firsts}
-    before = dict(zip(firsts, [firsts[-1], *firsts[:-1]], strict=True))
-    to = F.create_map(*[F.lit(v) for x in firsts for v in (x, cell_of[before[x]])])
-    copies = heads.select("at", "text", to[F.col("at")].cast("int").alias("cell"), F.lit(True).alias("extra"))
-    return placed.unionByName(copies).repartition(max(cells, 1), "cell").sortWithinPartitions("cell", "extra", "at", F.coalesce("text", F.lit("")))
+def in_order(docs: DataFrame, rows_a_cell: int = 1_000) -> DataFrame:
+    """doc_id, text, `cell` and `extra`, in order of doc_id in cells, each wholly in one partition of its own; the first row
+    of each cell also ends the cell before it, and the first of all ends the last. So in a cell each row but the last, which
+    is such a copy (`extra`), has its successor next. Rows with a null doc_id come first; equal ids are in order of a hash of
+    their text, then of the text. Cells are cut by a range shuffle of ids and hashes, so that a repeated id (or null) may
+    span many; there are at most MOST_CELLS. The driver sees one key a cell."""
+    spark, text = docs.sparkSession, F.col("text").cast("string")
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h"))
+    rows = docs.select(key.alias("key"), text.alias("text"))
+    n = rows.count()
+    wanted = max(1, min(n // rows_a_cell, MOST_CELLS))
+    keys = rows.select("key")
+    firsts = keys.repartitionByRange(wanted, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
+    bounds = sorted({tuple(r["key"]) for r in firsts.collect()})
+    if not bounds:
+        return rows.select(F.col("key.id").alias("doc_id"), "text", F.lit(0).alias("cell"), F.lit(False).alias("extra"), "key")
+    cell = bounds_below(F.col("key"), bounds, "known boolean, id long, h long", inclusive=True) - 1
+    placed = rows.select("key", "text", cell.alias("cell"), F.lit(False).alias("extra"))
+    # The copies: of each cell's first key, one row (the least text).
+    first_ids = list({b[1] for b in bounds if b[0]})
+    some = docs.where(F.col("doc_id").isin(first_ids) | F.col("doc_id").isNull()) if not all(b[0] for b in bounds) else docs.where(F.col("doc_id").isin(first_ids))
+    heads = some.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text")).groupBy("key").agg(F.min("text").alias("text")).select("key", "text", cell.alias("cell"))
+    # Of what these ids hold, the rows that are a cell's first.
+    first_of = F.get(F.from_json(F.lit(bounds_json(bounds, ["known", "id", "h"])), "array<struct<known:boolean,id:long,h:long>>"), F.col("cell"))
+    heads = heads.where(first_of == F.col("key"))
+    copies = heads.select("key", "text", F.pmod(F.col("cell") - 1, F.lit(len(bounds))).cast("int").alias("cell"), F.lit(True).alias("extra"))
+    at = own_partition(spark, len(bounds), F.col("cell"))
+    both = placed.unionByName(copies).withColumn("at", at).repartition(len(bounds), "at").sortWithinPartitions("cell", "extra", "key", F.coalesce("text", F.lit("")))
+    return both.select(F.when(F.col("key.known"), F.col("key.id")).alias("doc_id"), "text", "cell", "extra")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row. The edited
     text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next row's. One
-    shuffle, of the whole texts."""
+    shuffle of the whole texts."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # the row that waits for its successor
         for batch in batches:
             rows: list[tuple] = []
-            for at, text, cell, extra in zip(batch["at"].to_pylist(), batch["text"], batch["cell"].to_pylist(), batch["extra"].to_pylist(), strict=True):
+            for id_, text, cell, extra in zip(batch["doc_id"].to_pylist(), batch["text"], batch["cell"].to_pylist(), batch["extra"].to_pylist(), strict=True):
                 text = text.as_py() or ""
                 mark = PrefixHashes(text).fingerprint()
                 if last is not None and last[2] == cell:
@@ -210,10 +221,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                     half = len(old) // 2
                     edited = old[: len(old) - half] + text[:half]
                     edited_mark = PrefixHashes(edited).fingerprint()
-                    rows.append((None if before == -(1 << 62) else before, len(old), hashlib.sha256(edited.encode()).hexdigest(), old_mark, edited_mark, likeness(old_mark, edited_mark), likeness(old_mark, mark)))
-                last = None if extra else (at, text, cell, mark)
+                    rows.append((before, len(old), hashlib.sha256(edited.encode()).hexdigest(), old_mark, edited_mark, likeness(old_mark, edited_mark), likeness(old_mark, mark)))
+                last = None if extra else (id_, text, cell, mark)
             if rows:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return in_order(docs).mapInArrow(run, schema)
+    return in_order(docs).select("doc_id", "text", "cell", "extra").mapInArrow(run, schema)

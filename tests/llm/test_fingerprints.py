@@ -98,3 +98,19 @@ def test_odd_documents_and_cells(spark, docs, no_docs, monkeypatch):
     original = P.in_order
     monkeypatch.setattr(P, "in_order", lambda d: original(d, 4))
     assert got(P.fingerprint_documents(docs))[0] == edited(ROWS)
+
+
+def test_any_id_and_hot_ids(spark, monkeypatch):
+    rows = [(-4611686018427387904, "least of some"), (0, "zero"), (-(1 << 63), "least of all"), ((1 << 63) - 1, None)] + [(None, f"no id {k}") for k in range(60)] + [(5, "repeated row")] * 30
+    original = P.in_order
+    monkeypatch.setattr(P, "in_order", lambda d: original(d, 8))
+    full = P.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["n_chars"]) for r in full), key=str) == sorted(((i, len(t or "")) for i, t in rows), key=str)
+    cells = original(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).where("not extra").groupBy("cell").count().collect()
+    assert len(cells) > 6 and max(r["count"] for r in cells) <= 40
+
+
+def test_each_cell_has_its_partition(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "cast(id as string) as text")
+    parts = P.in_order(rows, 500).rdd.map(lambda r: r["cell"]).glom().map(set).collect()
+    assert all(len(p) == 1 for p in parts) and len(parts) >= 8
