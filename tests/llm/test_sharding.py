@@ -64,3 +64,21 @@ def test_digests_come_after_the_exchange(spark):
 def test_plan_is_native(spark):
     plan = QUERIES["op10_sharding"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_rows_are_parted(spark):
+    rows = [(1, "same text")] * 240 + [(k + 2, f"text number {k}") for k in range(240)]
+    made = S.histogram_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 24).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in made) == sorted((i, len(t) + 8) for i, t in rows)
+    sizes = [sum(r["size"] for r in made if r["shard"] == k) for k in range(24)]
+    assert max(sizes) - min(sizes) <= 2 * 23
+    for k in range(24):
+        assert sorted(r["slot"] for r in made if r["shard"] == k) == list(range(sum(r["shard"] == k for r in made)))
+
+
+def test_pieces_do_not_change_slots(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = got(S.histogram_shards(docs, 3))
+    monkeypatch.setattr(S, "PIECE_BYTES", 30_000)
+    assert got(S.histogram_shards(docs, 3)) == want
+    assert S.sharded(docs, 3).rdd.glom().filter(len).count() > 6
