@@ -10,7 +10,7 @@ data of an Arrow array. Turns are sorted within a conversation by turn, then rol
 pass through a task as a stream, so a very long one needs no more memory than a batch.
 
 Null texts and roles count as empty; rows with a null conv_id form one conversation with that id; repeated rows are
-repeated turns; a batch without rows gives none.
+repeated turns; a batch without rows gives none. A long text needs memory for a few copies of itself.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import raw
+from corpusmill.llm.common import blocks, raw
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
-TURN = re.compile(rb"<\|im_start\|>([^\n]*)\n((?:[^<]|<(?!\|))*)<\|im_end\|>\n")
+#: Bytes of roles and texts that are assembled at a time (a longer turn alone).
+ASSEMBLED = 16 << 20
+#: Bytes that indices are made for, and that are unescaped, at a time.
+PART = 1 << 18
 
 
 def escape(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +46,19 @@ def escape(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         at = bars
     if not len(at):
         return data, offsets
-    place = np.arange(len(data)) + np.searchsorted(at, np.arange(len(data)), "left")
-    out = np.full(len(data) + len(at), 33, np.uint8)
-    out[place] = data
-    return out, offsets + np.searchsorted(at, offsets, "left")
+    return np.insert(data, at + 1, 33), offsets + np.searchsorted(at, offsets, "left")
 
 
 def unescape(data: bytes) -> bytes:
     """The text of an escaped one."""
-    return re.sub(rb"<!(!*\|)", rb"<\1", data)
+    if b"<!" not in data:
+        return data
+    out, at = [], 0
+    while at < len(data):  # an escape ends with its bar, so parts that end with one can be taken by themselves
+        end = data.find(b"|", at + PART) + 1 or len(data)
+        out.append(re.sub(rb"<!(!*\|)", rb"<\1", data[at:end]))
+        at = end
+    return b"".join(out)
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> pa.Array:
@@ -69,7 +76,12 @@ def assemble(roles: pa.Array, texts: pa.Array) -> pa.Array:
     for k, piece in ((0, START), (2, b"\n"), (4, END)):
         out[begins[:, k, None] + np.arange(len(piece))] = np.frombuffer(piece, np.uint8)
     for k, data, at in ((1, role, role_at), (3, text, text_at)):
-        out[np.repeat(begins[:, k] - at[:-1], np.diff(at)) + np.arange(len(data))] = data
+        for a, b in blocks(at, PART):
+            here = data[at[a] : at[b]]
+            if b - a == 1:
+                out[begins[a, k] : begins[a, k] + len(here)] = here
+            else:
+                out[np.repeat(begins[a:b, k] - at[a:b], np.diff(at[a : b + 1])) + np.arange(at[a], at[b])] = here
     offsets = np.concatenate([[0], ends[:, -1]]).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
@@ -78,12 +90,14 @@ def read_back(data: bytes) -> Iterator[tuple[str, str, tuple[int, int]]]:
     """Role, text and the span of the (escaped) text of each formatted turn."""
     end = 0
     while end < len(data):
-        m = TURN.match(data, end)
-        if not m:
+        # No text holds the two bytes that the marks begin with, so the next ones are this turn's end.
+        begin = data.find(b"\n", end) + 1
+        stop = data.find(START[:2], begin)
+        if not data.startswith(START, end) or not begin or not data.startswith(END, max(stop, 0)):
             raise ValueError("not a formatted conversation")
-        role = unescape(m[1]).decode().replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-        yield role, unescape(m[2]).decode(), m.span(2)
-        end = m.end()
+        role = unescape(data[end + len(START) : begin - 1]).decode().replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+        yield role, unescape(data[begin:stop]).decode(), (begin, stop)
+        end = stop + len(END)
 
 
 def ordered_turns(conversations: DataFrame) -> DataFrame:
@@ -97,7 +111,8 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
     bytes of it under the loss mask: an assistant's text, else both 0). Sorted by conv_id and turn in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, a, b in ((x, a, b) for x in batches for a, b in blocks(raw(x["role"])[1] + raw(x["text"])[1], ASSEMBLED)):
+            batch = whole.slice(a, b - a)
             done = assemble(batch["role"], batch["text"])
             length = np.diff(np.frombuffer(done.buffers()[1], np.int64))
             role = np.array([x.as_py() == "assistant" for x in batch["role"]], bool)

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import pyarrow as pa
+import pytest
 
 from corpusmill.llm import chat_format as C
 from corpusmill.llm.common import raw
@@ -59,3 +61,23 @@ def test_odd_conversations_over_small_batches(spark):
         assert C.formatted_digests(C.formatted_turns(df.where("false"))).collect() == []
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_read_back_of_a_long_text_in_little_memory():
+    text = "a<!|" * 5_000_000
+    formatted = C.assemble(pa.array(["assistant"]), pa.array([text]))[0].as_py()
+    tracemalloc.start()
+    ((role, back, _),) = C.read_back(formatted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (role, back == text) == ("assistant", True) and peak < 8 * len(text)
+    for bad in (b"<|im_start|>user", b"<|im_start|>user\nhi", b"x", b"<|im_start|>user\nhi<|im_start|>"):
+        with pytest.raises(ValueError):
+            list(C.read_back(bad))
+
+
+def test_batches_are_assembled_in_parts(spark, monkeypatch):
+    rows = [(k, 1, "assistant", "x" * k) for k in range(40)]
+    whole = got(C.formatted_digests(C.formatted_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1))))
+    assert whole == brute(rows)
+    assert [b - a for a, b in C.blocks(C.raw(pa.array(["x" * 9] * 7))[1], 20)] == [2, 2, 2, 1]
