@@ -18,7 +18,7 @@ from corpusmill.llm.ngram_jaccard import jaccard_components
 from corpusmill.llm.sharding import histogram_shards
 from corpusmill.llm.token_counts import token_counts
 from corpusmill.llm.toxicity import toxicity
-from corpusmill.llm.url_filters import STRONGEST, WEAKEST, filter_urls
+from corpusmill.llm.url_filters import STRONGEST, SUFFIXES, WEAKEST, filter_urls
 
 #: Both texts of the conversation that op8 adds.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -91,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
+_SUFFIXES = ", ".join(f"'{x}'" for x in SUFFIXES)
 #: The strength of a level's prior, as in url_filters.strength, from columns n, good and m (the prior's mean).
 _STRENGTH = f"""CASE WHEN count(*) = 0 OR sum(n) <= count(*) OR sum(m * (1 - m)) = 0 THEN {WEAKEST}
     WHEN (sum(n * (good::DOUBLE / n - m) * (good::DOUBLE / n - m)) / sum(m * (1 - m)) - 1) / (sum(n)::DOUBLE / count(*) - 1) <= 1 / ({STRONGEST} + 1)
@@ -116,7 +117,8 @@ ruled AS (
 outcomes AS (
   SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM ruled),
 hosts AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix,
+  SELECT host, array_to_string(list_slice(string_split(host, '.'), CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN ({_SUFFIXES}) THEN -3 ELSE -2 END, -1), '.') AS domain,
+         CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN ({_SUFFIXES}) THEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') ELSE list_extract(string_split(host, '.'), -1) END AS suffix,
          count(ruled) AS n, count(*) FILTER (ruled = 'allow') AS good FROM outcomes GROUP BY host),
 overall AS (SELECT (coalesce(sum(good), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS m FROM hosts),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(good)::BIGINT AS good, any_value(m) AS m FROM hosts, overall GROUP BY suffix),
@@ -139,8 +141,7 @@ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JO
 links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
-copies AS (SELECT list_sort(list(s)) AS k, doc_id FROM shingles GROUP BY doc_id),
-reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep FROM copies)
+reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS rep FROM words WHERE len(w) > 0)
 SELECT doc_id, n AS n_shingles, coalesce(rep, doc_id) AS rep, min(r) AS component_id FROM reach JOIN sizes USING (doc_id) LEFT JOIN reps USING (doc_id) GROUP BY ALL""",
     "op7_decontamination": rf"""
 WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),

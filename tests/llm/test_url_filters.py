@@ -52,3 +52,11 @@ def test_query_and_sql_agree(spark):
 def test_plan_is_native(spark):
     plan = QUERIES["op3_url_filters"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "html" not in plan
+
+
+def test_hot_hosts_are_not_joined(spark):
+    pages = spark.createDataFrame([(k, f"http://{'hot.de' if k % 3 else f'h{k}.co.uk'}/{'x' * (k % 2)}") for k in range(900)] + [(None, None)], "page_id long, url string")
+    rows = U.filter_urls(pages).collect()
+    assert len(rows) == 901 and all(r["score"] is not None for r in rows)
+    levels = {r["host"]: (r["domain"], r["suffix"]) for r in U.with_levels(spark.createDataFrame([("a.b.co.uk",), ("a.b.de",), ("co.uk",), ("",)], "host string")).collect()}
+    assert levels == {"a.b.co.uk": ("b.co.uk", "co.uk"), "a.b.de": ("b.de", "de"), "co.uk": ("co.uk", "co.uk"), "": ("", "")}
