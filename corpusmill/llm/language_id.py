@@ -2,19 +2,23 @@
 
 A text becomes counts of its letter n-grams (1 to 3, with word ends, hashed into DIMENSIONS), damped (1 + ln),
 weighted by inverse document frequency and scaled to length 1. Each language has several centroids, found by
-spherical k-means. A text has the language of the centroid with the largest cosine. It is rejected if that
-cosine is below the language's limit, a share of the lowest that its own training texts have: then the text is
-far from everything learned.
-
-Learning takes a sample of at most about SAMPLE texts for each language, picked by a hash of the id; all other
-work is one pass over whole texts. Texts that are null or without a letter are `und`, score 0 and rejected, and
-so is all where nothing was learned (no labelled rows).
+spherical k-means. A text has the language of the centroid with the largest cosine (of equal ones the first). It is
+rejected if that cosine is below the language's limit: then the text is far from everything learned. Cosines grow with
+the length, so the limit does: it is a share of the lowest cosines that passages of the training texts with as many
+letters have, measured at LENGTHS and interpolated between them;
+longer texts are held to the last, as their cosines only grow.
+
+Learning takes a sample of at most about SAMPLE texts for each language, picked by a hash of the id (repeated rows
+count as often as they are there); all other work is one pass over whole texts, long ones by themselves. Texts that
+are null or without a letter are `und`, score 0 and rejected, and so is all where nothing was learned (no labelled rows).
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,10 @@ DIMENSIONS = 4096
 #: The bound of the training sample: about so many texts of each language.
 SAMPLE = 500
 CENTROIDS = 4
-#: The share of its training texts' lowest cosine at which a language rejects.
-FAR = 0.5
-#: Texts with fewer letters are judged, but not rejected for their distance, which says little there.
-FEW_LETTERS = 40
+#: The share of the lowest cosines (the quantile LOW) of passages at which a language rejects.
+FAR, LOW = 0.5, 0.01
+#: Numbers of letters for which limits are measured.
+LENGTHS = [2**k for k in range(1, 10)]
 
 
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +63,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Centroids:
-    """A model: languages, their centroids (rows), each centroid's language, weights, limits."""
+    """A model: languages, their centroids (rows), each centroid's language, weights, limits (languages by LENGTHS)."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -83,9 +87,35 @@ class Centroids:
                 best = near.argmax(1)
                 for i, b in enumerate(best):
                     x, lang = float(near[i, b]), int(self.of[b])
-                    out.append((self.languages[lang], min(max(x, 0.0), 1.0), bool(x < self.limits[lang] and letters[i] >= FEW_LETTERS)) if letters[i] else ("und", 0.0, True))
+                    out.append((self.languages[lang], min(max(x, 0.0), 1.0), x < self.limit(lang, int(letters[i]))) if letters[i] else ("und", 0.0, True))
         return out
 
+    def limit(self, lang: int, letters: int) -> float:
+        return float(np.interp(np.log2(letters), np.log2(LENGTHS), self.limits[lang]))
+
+    def passage_cosines(self, text: str, lang: str) -> list[tuple[int, float]]:
+        """Of a passage with each of LENGTHS letters, as far as the text has as many, and of the whole text, which counts for the
+        next length: the place in LENGTHS and the cosine with the language's nearest centroid."""
+        at = [i for i, c in enumerate(text) if c.isalpha()]
+        if not at:
+            return []
+        fit = [k for k, n in enumerate(LENGTHS) if n <= len(at)]
+        starts = [zlib.crc32(f"{k} {len(at)}".encode()) % (len(at) - LENGTHS[k] + 1) for k in fit]
+        passages = [text[at[s] : at[s + LENGTHS[k] - 1] + 1] for k, s in zip(fit, starts, strict=True)] + [text]
+        own = self.centroids[self.of == self.languages.index(lang)]
+        cosines = [float((self.vectors(gram_counts([p])[0]) @ own.T).max()) for p in passages]
+        return list(zip([*fit, min(len(fit), len(LENGTHS) - 1)], cosines, strict=True))
+
+    def with_limits(self, cosines: list[tuple[str, int, float]]) -> Centroids:
+        """The model with limits from passages' language, place in LENGTHS and cosine. A length that no passage has takes the
+        limit of the one before."""
+        limits = np.zeros((len(self.languages), len(LENGTHS)))
+        for j, lang in enumerate(self.languages):
+            for k in range(len(LENGTHS)):
+                x = [c for name, place, c in cosines if place == k and name == lang]
+                limits[j, k] = FAR * float(np.quantile(x, LOW)) if x else limits[j, k - 1] if k else 0.0
+        return replace(self, limits=limits)
+
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = counts.astype(np.float32)
@@ -96,12 +126,12 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def learn(counts: np.ndarray, langs: list[str]) -> Centroids:
-    """Centroids of labelled counts."""
+    """Centroids of labelled counts, without limits."""
     languages = sorted(set(langs))
     label = np.array([languages.index(x) for x in langs], int)
     idf = (np.log((1 + len(langs)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     x = weighted(counts, idf)
-    rows, of, limits = [], [], []
+    rows, of = [], []
     for k in range(len(languages)):
         own = x[label == k]
         rng = np.random.default_rng(k)
@@ -112,8 +142,7 @@ def learn(counts: np.ndarray, langs: list[str]) -> Centroids:
             c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-9)
         rows.append(c)
         of += [k] * len(c)
-        limits.append(FAR * float(np.quantile((own @ c.T).max(1), 0.01)))
-    return Centroids(languages, np.concatenate(rows) if rows else np.zeros((0, DIMENSIONS), np.float32), np.array(of, int), idf, np.array(limits))
+    return Centroids(languages, np.concatenate(rows) if rows else np.zeros((0, DIMENSIONS), np.float32), np.array(of, int), idf, np.zeros((len(languages), len(LENGTHS))))
 
 
 def crc(id_: Column, modulus: int) -> Column:
@@ -123,7 +152,7 @@ def crc(id_: Column, modulus: int) -> Column:
 
 def train(docs: DataFrame, usable: Column) -> Centroids:
     """Learn from text and lang of the usable rows; a sample bounded for each language. Texts become counts on the
-    executors, so a sampled row costs the driver the same however long its text is."""
+    executors, so a sampled row costs the driver the same however long its text is; then passages become cosines there."""
     rows = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -134,13 +163,21 @@ def train(docs: DataFrame, usable: Column) -> Centroids:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
-            counts = [c.astype("<u4") for k in range(0, len(texts), 64) for c in gram_counts(texts[k : k + 64])[0]]
+            counts = [c.astype("<u4") for block in text_blocks(texts) for k in range(0, len(block), 64) for c in gram_counts(block[k : k + 64])[0]]
             if texts:
                 yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([c.tobytes() for c in counts], pa.binary())], ["lang", "counts"])
 
     got = sorted((r["lang"], bytes(r["counts"])) for r in picked.mapInArrow(count, "lang string, counts binary").collect())
     counts = np.frombuffer(b"".join(c for _, c in got), "<u4").reshape(-1, DIMENSIONS)
-    return learn(counts, [x for x, _ in got])
+    model = learn(counts, [x for x, _ in got])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(lang, *x) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) for x in sent.value.passage_cosines(text, lang)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["lang", "place", "cosine"])
+
+    return model.with_limits([tuple(r) for r in picked.mapInArrow(measure, "lang string, place int, cosine double").collect()])
 
 
 def predictor(docs: DataFrame, model: Centroids) -> Callable[[list[str | None]], list[tuple[str, float, bool]]]:
