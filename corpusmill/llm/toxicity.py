@@ -9,8 +9,11 @@ passages that the model finds worst: those of toxic documents as toxic, those of
 is the worst passage's probability, on a scale fitted so that the training documents' classes part at 0.7.
 
 Since the softmax is linear in means, scoring needs one number for each bucket. Learning takes at most about SAMPLE
-labelled texts of each class, picked by a hash of the id; scoring is one pass over whole texts. Null and empty
-texts, and all texts where nothing could be learned, score 0.
+labelled texts of each class, picked by a hash of the id (of rows that repeat an id, the least text; an id that is
+labelled both ways counts as toxic), and of their words at most VOCABULARY, again by a hash. The texts stay on the
+executors, written to the shared folder: the driver sees words with two counts and, in each round, a passage of WIDTH
+words a text. Scoring is one pass over whole texts; a long one is taken by itself. Null and empty texts, and all
+texts where nothing could be learned, score 0; repeated rows come out as often, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import cut
 from corpusmill.llm.letters import letter_runs, text_blocks
 
 BUCKETS, VECTOR, WIDTH = 1 << 17, 8, 2
 #: The bound of the training sample: about so many texts of each class.
 SAMPLE = 1500
+#: The bound of the words that training begins with, and the tasks that the sample is kept in.
+VOCABULARY, SLICES = 200_000, 8
 #: Score at and above which a document is toxic.
 LIMIT = 0.7
 
@@ -135,90 +141,119 @@ class Scorer:
             return np.where(np.isneginf(x), 0.0, 1 / (1 + np.exp(-np.clip(self.slope * (x - self.middle) + np.log(LIMIT / (1 - LIMIT)), -60, 60))))
 
 
-def learn(texts: list[str], toxic: np.ndarray, rounds: int = 6) -> Scorer:
-    """A scorer from texts labelled 0 or 1; one that says 0 where a class is missing."""
-    if not len(toxic) or toxic.min() == toxic.max():
-        return Scorer(np.zeros(BUCKETS, np.float32), 0.0, empty=True)
+def words_in(text: str) -> set[str]:
+    """The words of a text."""
+    return set("".join(map(chr, letter_runs([text])[0])).split("\0")) - {""}
+
+
+def worst_passages(scorer: Scorer, texts: list[str]) -> list[tuple[str, float]]:
+    """Each text's worst passage and its logit; '' and minus infinity where a text has no word."""
+    out: list[tuple[str, float]] = []
+    for block in text_blocks(texts):
+        top, where = scorer.worst(block)
+        codes, first = letter_runs(block)
+        zeros, begins = np.append(np.flatnonzero(codes == 0), len(codes)), set(first.tolist())
+        for x, at in zip(top.tolist(), where.tolist(), strict=True):
+            parts: list[str] = []
+            for j in range(at, min(at + WIDTH, len(zeros) - 1)):
+                part = "".join(map(chr, codes[zeros[j] + 1 : zeros[j + 1]]))
+                if not part or (parts and int(zeros[j]) in begins):
+                    break
+                parts.append(part)
+            out.append((" ".join(parts), x))
+    return out
+
+
+def bags(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams of items of one or more words, with each gram's part in the item's mean of means."""
+    codes = np.frombuffer(("\0" + "\0".join(x.replace(" ", "\0") for x in items) + "\0").encode("utf-32-le"), np.uint32)
+    grams, word = word_grams(codes)
+    sizes = np.array([x.count(" ") + 1 for x in items])
+    item = np.repeat(np.arange(len(items)), sizes)
+    per_word = np.bincount(word, minlength=len(item) + 1)
+    order = np.argsort(item[word], kind="stable")
+    grams, word = grams[order], word[order]
+    own = item[word]
+    return grams, own, (1 / (per_word[word] * sizes[own])).astype(np.float32)
+
+
+def learn(vocabulary: list[tuple[str, int, int]], sizes: tuple[int, int], worst: Callable[[Scorer], list[tuple[str, float, int]]], rounds: int = 6) -> Scorer:
+    """A scorer from words with the numbers of clean and of toxic texts that have them, the numbers of all such texts, and a
+    function that gives each text's worst passage, its logit and the text's label. Where a class is missing, all scores are 0."""
+    none = Scorer(np.zeros(BUCKETS, np.float32), 0.0, empty=True)
+    if not min(sizes) or not vocabulary:
+        return none
     model = Softmax()
-    # Words by the documents that have them.
-    word_docs: dict[str, list[int]] = {}
-    for text, t in zip(texts, toxic, strict=True):
-        codes, _ = letter_runs([text])
-        for w in set("".join(map(chr, codes)).split("\0")):
-            if w:
-                word_docs.setdefault(w, [0, 0])[int(t)] += 1
-    words = sorted(word_docs)
-    seen = np.array([word_docs[w] for w in words], np.float64) / np.array([max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())])
+    words = [w for w, *_ in vocabulary]
+    seen = np.array([c for _, *c in vocabulary], np.float64) / np.array(sizes)
     weight = seen.sum(1)
     target = seen[:, 1] ** 2 / (seen[:, 1] ** 2 + 9 * seen[:, 0] ** 2 + 1e-12)
-
-    def bags(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Grams of items of one or more words, with each gram's part in the item's mean of means."""
-        codes = np.frombuffer(("\0" + "\0".join(x.replace(" ", "\0") for x in items) + "\0").encode("utf-32-le"), np.uint32)
-        grams, word = word_grams(codes)
-        sizes = np.array([x.count(" ") + 1 for x in items])
-        item = np.repeat(np.arange(len(items)), sizes)
-        per_word = np.bincount(word, minlength=len(item) + 1)
-        order = np.argsort(item[word], kind="stable")
-        grams, word = grams[order], word[order]
-        own = item[word]
-        return grams, own, (1 / (per_word[word] * sizes[own])).astype(np.float32)
-
     weight = np.clip(weight / weight.mean(), 0.2, 20).astype(np.float32)
-    grams, own, share = bags(words)
-    model.fit(grams, own, share, target.astype(np.float32), weight, epochs=4, batch=8192)
-    # Passages by rounds.
-    kept: dict[tuple[str, int], None] = {}
+    model.fit(*bags(words), target.astype(np.float32), weight, epochs=4, batch=8192)
+    kept: set[tuple[str, int]] = set()
     for _ in range(rounds):
-        scorer = Scorer(*model.table())
-        done = 0
-        for block in text_blocks(texts):
-            top, where = scorer.worst(block)
-            codes, _at = letter_runs(block)
-            zeros = np.append(np.flatnonzero(codes == 0), len(codes))
-            for k in range(len(block)):
-                if np.isfinite(top[k]):
-                    at, parts = int(where[k]), []
-                    for j in range(at, min(at + WIDTH, len(zeros) - 1)):
-                        part = "".join(map(chr, codes[zeros[j] + 1 : zeros[j + 1]]))
-                        if not part or (parts and zeros[j] in _at):
-                            break
-                        parts.append(part)
-                    if parts:
-                        t = int(toxic[done + k])
-                        kept[" ".join(parts), t] = None
-            done += len(block)
+        kept |= {(passage, t) for passage, _, t in worst(Scorer(*model.table())) if passage}
         items = sorted(kept)
+        if not items:
+            return none
         y = np.array([t for _, t in items], np.float32)
-        grams, own, share = bags([x for x, _ in items])
         w = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-        model.fit(grams, own, share, y, w.astype(np.float32), epochs=12, batch=1024)
+        model.fit(*bags([x for x, _ in items]), y, w.astype(np.float32), epochs=12, batch=1024)
     # The scale: the classes of the training texts part at LIMIT.
     scorer = Scorer(*model.table())
-    x = np.concatenate([scorer.worst(b)[0] for b in text_blocks(texts)])
-    fine = np.isfinite(x)
-    clean, bad = x[fine & (toxic == 0)], x[fine & (toxic == 1)]
+    last = worst(scorer)
+    clean, bad = (np.array([x for p, x, t in last if p and t == label]) for label in (0, 1))
     if not len(clean) or not len(bad):
-        return Scorer(np.zeros(BUCKETS, np.float32), 0.0, empty=True)
+        return none
     low, high = float(np.quantile(clean, 0.999)), float(np.quantile(bad, 0.02))
     scorer.middle = low + 0.35 * (high - low) if high > low else float(np.quantile(clean, 0.998))
     scorer.slope = 4 / max(1e-3, float(np.quantile(bad, 0.5)) - scorer.middle)
     return scorer
 
 
+def learn_texts(texts: list[str], toxic: np.ndarray) -> Scorer:
+    """The same from texts at hand, labelled 0 or 1."""
+    counts: dict[str, list[int]] = {}
+    for text, t in zip(texts, toxic, strict=True):
+        for w in words_in(text):
+            counts.setdefault(w, [0, 0])[int(t)] += 1
+    sizes = int((toxic == 0).sum()), int((toxic == 1).sum())
+    return learn(sorted((w, *c) for w, c in counts.items()), sizes, lambda scorer: [(p, x, int(t)) for (p, x), t in zip(worst_passages(scorer, texts), toxic, strict=True)])
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Scorer:
     """Learn from the usable documents that are labelled; a sample bounded for each class."""
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(usable)
     sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return learn([], np.zeros(0, int))
+        return learn([], (0, 0), lambda _: [])
     share = F.when(F.col("toxic") == 1, min(1 << 30, (SAMPLE << 30) // sizes[1])).otherwise(min(1 << 30, (SAMPLE << 30) // sizes[0]))
     picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     # A few thousand ids at any size of the input.
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
-    return learn([r[1] for r in rows], np.array([r[2] for r in rows], int))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    sample = cut(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").repartition(SLICES))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, t in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+                found = sorted(words_in(text))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([t] * len(found), pa.int32())], ["word", "toxic"])
+
+    def worst(scorer: Scorer) -> list[tuple[str, float, int]]:
+        sent = docs.sparkSession.sparkContext.broadcast(scorer)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = worst_passages(sent.value, batch["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), batch["toxic"]], ["passage", "logit", "toxic"])
+
+        return sorted(tuple(r) for r in sample.mapInArrow(run, "passage string, logit double, toxic int").collect())
+
+    counted = sample.mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
+    vocabulary = sorted(tuple(r) for r in counted.orderBy(F.xxhash64("word"), "word").limit(VOCABULARY).collect())
+    of = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    return learn(vocabulary, (of.get(0, 0), of.get(1, 0)), worst)
 
 
 def scoring(docs: DataFrame, scorer: Scorer) -> Callable[[list[str | None]], np.ndarray]:
