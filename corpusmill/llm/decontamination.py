@@ -4,13 +4,14 @@ A benchmark item's windows are its runs of WINDOW words (or all of it, where it
 if it holds every word of it, so the one rarest is a prefix that is enough to find it: each window is filed under
 its rarest word, by the counts of the benchmark's words in all documents. An occurrence of that word in a text fixes
 where the window would begin (its place in the window is known); the candidates that would begin before the text or
-end after it are left out by these positions and lengths, and the others are verified word by word. Words inside an
-occurrence are hit.
+end after it are left out by these positions and lengths, and the others are verified word by word: by the words' hashes
+first, then by the words. Words inside an occurrence are hit.
 
 Words: A-Z lower-cased, then runs of digits, a-z and anything beyond ASCII. The benchmark is taken in blocks of at
 most BLOCK_BYTES of text, each of which is broadcast; documents pass all blocks in one go, without a shuffle, and
-each document's hits are kept as spans of words. So neither a large benchmark nor a passage that most documents hold
-needs more memory.
+each document's hits are kept as spans of words. So a passage that most documents hold needs no more memory. The driver
+reads the benchmark and its words' counts; a benchmark of many blocks takes as many steps over each batch of documents.
+Repeated documents come out as often; an empty table of documents gives no rows.
 
 Null and empty texts have no words and no hits; items without words are never found; repeated items count once;
 without items nothing is hit. Items with a null id hit like others; in `items` they are all one null, at the end, which
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import WordHasher, blocks, raw
+from corpusmill.llm.common import LOWER, WordHasher, blocks, raw
 
 WINDOW = 13
 #: Text of benchmark items that is broadcast at a time.
@@ -42,10 +43,11 @@ HASHER = WordHasher(LETTER, 7)
 
 @dataclass
 class Windows:
-    """A block's windows: words (padded), lengths, place of the rarest word, items; filed by that word."""
+    """A block's windows: hashes of words (padded), lengths, the words (with one blank between), place of the rarest word, items; filed by that word."""
 
     words: np.ndarray
     length: np.ndarray
+    texts: list[bytes]
     place: np.ndarray
     items: list[list[str | None]]
     keys: np.ndarray  # distinct rarest words, sorted
@@ -59,6 +61,13 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """A text's words, lower-cased."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    low = LOWER[data].tobytes()
+    return [low[a:b] for a, b in zip(*HASHER.edges(data, np.array([0, len(data)])), strict=True)]
+
+
 def in_order(names: set[str | None]) -> list[str | None]:
     """Sorted, the null last."""
     return sorted(names, key=lambda x: (x is None, x or ""))
@@ -66,12 +75,13 @@ def in_order(names: set[str | None]) -> list[str | None]:
 
 def build(items: list[tuple[str | None, str | None]], counts: dict[int, int]) -> Windows:
     """File the windows of (item_id, text) under their rarest words."""
-    held: dict[tuple[int, ...], set[str | None]] = {}
-    for (name, _), words in zip(items, item_words([t for _, t in items]), strict=True):
-        w = words.tolist()
+    held: dict[bytes, tuple[list[int], set[str | None]]] = {}
+    for (name, text), words in zip(items, item_words([t for _, t in items]), strict=True):
+        hashes, w = words.tolist(), plain_words(text)
         for k in range(max(1, len(w) - WINDOW + 1) if w else 0):
-            held.setdefault(tuple(w[k : k + WINDOW]), set()).add(name)
-    windows = sorted(held)
+            held.setdefault(b" ".join(w[k : k + WINDOW]), (hashes[k : k + WINDOW], set()))[1].add(name)
+    texts = sorted(held)
+    windows = [held[t][0] for t in texts]
     length = np.array([len(w) for w in windows], np.int64)
     words = np.zeros((len(windows), WINDOW), np.uint64)
     place = np.zeros(len(windows), np.int64)
@@ -83,7 +93,7 @@ def build(items: list[tuple[str | None, str | None]], counts: dict[int, int]) ->
     keys, first = np.unique(rare[filed], return_index=True)
     quick = np.zeros(1 << 16, bool)
     quick[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-    return Windows(words, length, place, [in_order(held[w]) for w in windows], keys, np.append(first, len(filed)), filed, quick)
+    return Windows(words, length, texts, place, [in_order(held[t][1]) for t in texts], keys, np.append(first, len(filed)), filed, quick)
 
 
 def occurrences(index: Windows, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +136,13 @@ def batch_hits(index: Windows, texts: pa.Array) -> Iterator[tuple[int, np.ndarra
     """For each text: words, hit spans, items found."""
     data, offsets = raw(texts)
     for a, b in blocks(offsets):
-        words, at = HASHER.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        block, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        begins, ends = HASHER.edges(block, bounds)
+        words, at = HASHER.hashes(block, begins, ends), np.searchsorted(begins, bounds)
         row = np.repeat(np.arange(b - a), np.diff(at))
         start, window = occurrences(index, words, at[row], at[row + 1])
+        same = [b" ".join(LOWER[block[begins[k] : ends[k]]].tobytes() for k in range(s, s + index.length[w])) == index.texts[w] for s, w in zip(start.tolist(), window.tolist(), strict=True)]
+        start, window = start[np.array(same, bool)], window[np.array(same, bool)]
         own = row[start]
         order = np.argsort(own, kind="stable")
         start, window, own = start[order], window[order], own[order]

@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from corpusmill.llm import decontamination as D
 from corpusmill.llm.queries import QUERIES
 from tests.conftest import DATA
@@ -85,3 +88,18 @@ def test_query(spark):
     rows = QUERIES["op7_decontamination"](spark, str(DATA)).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items_sha256"], r["contaminated"]) for r in rows} == want
     assert any(r["n_hit"] for r in rows) and all((r["n_items"] > 0) == (r["n_hit"] > 0) for r in rows)
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """Such words have one polynomial hash modulo 2**64, whatever its base."""
+    words = ["".join(p[bin(k).count("1") % 2] for k in range(2048)) for p in ("ab", "ba")]
+    docs = spark.createDataFrame([(k, f"one {w} two") for k, w in enumerate(words)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", words[0])], "item_id string, text string")
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in D.contamination(docs, items).collect()} == {0: (1, ["i"]), 1: (0, [])}
+
+
+def test_equal_hashes_are_not_enough(monkeypatch):
+    monkeypatch.setattr(D.HASHER, "hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    index = D.build([("i", "a b c"), ("j", "a b d"), ("k", "e")], {})
+    found = list(D.batch_hits(index, pa.array(["x a B c", "a b", "a b d x e"])))
+    assert [(n, s.tolist(), sorted(x)) for n, s, x in found] == [(4, [[1, 4]], ["i"]), (2, [], []), (5, [[0, 3], [4, 5]], ["j", "k"])]
