@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusmill.llm.common import light
 from corpusmill.llm.split import splitter
 
 #: Distinct pieces that a worker remembers before it starts afresh; bounds memory, never changes results.
@@ -204,4 +205,4 @@ def bpe(docs: DataFrame, path: str, pattern: str, tokens: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], names)
         c.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(light(run), schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,29 @@ def own_partition(spark: SparkSession, n: int, number: Column) -> Column:
     return F.get(F.from_json(F.lit(json.dumps([keys[k] for k in range(n)])), "array<bigint>"), number)
 
 
+def give_back() -> None:
+    """Return free memory to the system: a Python worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def light(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives memory back after each batch and at its end."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(each(batches))
+        give_back()
+
+    return task
+
+
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the rows' offsets in them; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import LOWER, WordHasher, blocks, raw
+from corpusmill.llm.common import LOWER, WordHasher, blocks, light, raw
 
 WINDOW = 13
 #: Text of benchmark items that is broadcast at a time.
@@ -190,7 +190,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
     if not len(vocabulary):
         return {}
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(light(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {int(vocabulary[r["word"]]): r["n"] for r in rows}
 
 
@@ -242,7 +242,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     for k, part in enumerate(parts or [[]]):
         is_last = k >= len(parts) - 1
-        out = out.mapInArrow(step(build(part, counts), is_last), last if is_last else state)
+        out = out.mapInArrow(light(step(build(part, counts), is_last)), last if is_last else state)
     return out
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bounds_below, bounds_json, own_partition
+from corpusmill.llm.common import bounds_below, bounds_json, light, own_partition
 
 #: Two primes below 2**31, and a base for each.
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (911_382_323, 972_663_749)
@@ -227,4 +227,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return in_order(docs).select("doc_id", "text", "cell", "extra").mapInArrow(run, schema)
+    return in_order(docs).select("doc_id", "text", "cell", "extra").mapInArrow(light(run), schema)

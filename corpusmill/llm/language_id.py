@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import light
 from corpusmill.llm.letters import letter_runs, text_blocks
 
 DIMENSIONS = 4096
@@ -167,7 +168,7 @@ def train(docs: DataFrame, usable: Column) -> Centroids:
             if texts:
                 yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([c.tobytes() for c in counts], pa.binary())], ["lang", "counts"])
 
-    got = sorted((r["lang"], bytes(r["counts"])) for r in picked.mapInArrow(count, "lang string, counts binary").collect())
+    got = sorted((r["lang"], bytes(r["counts"])) for r in picked.mapInArrow(light(count), "lang string, counts binary").collect())
     counts = np.frombuffer(b"".join(c for _, c in got), "<u4").reshape(-1, DIMENSIONS)
     model = learn(counts, [x for x, _ in got])
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -177,7 +178,7 @@ def train(docs: DataFrame, usable: Column) -> Centroids:
             found = [(lang, *x) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) for x in sent.value.passage_cosines(text, lang)]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["lang", "place", "cosine"])
 
-    return model.with_limits([tuple(r) for r in picked.mapInArrow(measure, "lang string, place int, cosine double").collect()])
+    return model.with_limits([tuple(r) for r in picked.mapInArrow(light(measure), "lang string, place int, cosine double").collect()])
 
 
 def predictor(docs: DataFrame, model: Centroids) -> Callable[[list[str | None]], list[tuple[str, float, bool]]]:
@@ -197,7 +198,7 @@ def identify(docs: DataFrame, usable: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *cols], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~F.coalesce(usable, F.lit(False))).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(light(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, usable: Column) -> DataFrame:
@@ -208,4 +209,4 @@ def keep_identified(docs: DataFrame, usable: Column) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not x[2] for x in predict(batch["text"].to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(light(run), docs.schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Written, WordHasher, blocks, cut, raw, spans
+from corpusmill.llm.common import WordHasher, Written, blocks, cut, light, raw, spans
 from corpusmill.llm.components import components
 from corpusmill.llm.signature_tree import WORDS, candidates, signature, tree
 
@@ -123,7 +123,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
         rows = [(None, None, None, None, None, None, None, k, zlib.compress(small[k].tobytes(), 1)) for k in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(light(run), schema)
 
 
 def frequencies(sketches: DataFrame) -> np.ndarray:
@@ -143,7 +143,7 @@ def frequencies(sketches: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "level"])
 
     out = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint8)
-    for r in sketches.select("part", "sketch").repartition(PARTS, "part").mapInArrow(add, "part int, level binary").collect():
+    for r in sketches.select("part", "sketch").repartition(PARTS, "part").mapInArrow(light(add), "part int, level binary").collect():
         out[r["part"]] = np.frombuffer(bytes(r["level"]), np.uint8)
     return out.ravel()
 
@@ -166,7 +166,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, other: frozenset[int]) -> DataF
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), sizes))], ["token", "sid"])
 
-    return docs.mapInArrow(run, "token long, sid long")
+    return docs.mapInArrow(light(run), "token long, sid long")
 
 
 def bits_of(short: bytes, long: bytes | None, width: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     side = lambda x: classes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("long").alias(f"long_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "long_a", "long_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "long_a", "long_b").mapInArrow(light(run), "a long, b long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -270,7 +270,7 @@ def block_pairs(rows: DataFrame, some: bool) -> DataFrame:
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(light(run), "a long, b long")
 
 
 def member_filter(ids: DataFrame) -> np.ndarray:
@@ -289,7 +289,7 @@ def member_filter(ids: DataFrame) -> np.ndarray:
     h = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     rows = ids.select(h.alias("h")).withColumn("part", F.shiftright("h", FILTER_BITS - 4)).repartition(PARTS, "part").select("h")
     out = np.zeros((PARTS, 1 << FILTER_BITS - 7), np.uint8)
-    for r in rows.mapInArrow(run, "part long, x binary").collect():
+    for r in rows.mapInArrow(light(run), "part long, x binary").collect():
         out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["x"])), np.uint8)
     return out.ravel()
 
@@ -328,10 +328,10 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, other: froze
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     rows = docs.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
-    made = rows.select("text", "h").mapInArrow(make, "sid long, words binary").dropDuplicates(["sid"])
+    made = rows.select("text", "h").mapInArrow(light(make), "sid long, words binary").dropDuplicates(["sid"])
     side = lambda x, name: made.select(F.col("sid").alias(x), F.col("words").alias(name))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(light(compare), "a long, b long"))
 
 
 def open_entries(held: DataFrame, found: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusmill.llm.bpe import REMEMBERED, load_ranks
+from corpusmill.llm.common import light
 from corpusmill.llm.split import splitter
 
 
@@ -111,4 +112,4 @@ def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_bytes"])
         machine.known.clear()  # workers live on
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_bytes long")
+    return docs.select("doc_id", "text").mapInArrow(light(run), "doc_id long, n_tokens long, n_bytes long")

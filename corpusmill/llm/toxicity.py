@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut
+from corpusmill.llm.common import cut, light
 from corpusmill.llm.letters import letter_runs, text_blocks
 
 BUCKETS, VECTOR, WIDTH = 1 << 17, 8, 2
@@ -248,9 +248,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Scorer:
                 found = worst_passages(sent.value, batch["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), batch["toxic"]], ["passage", "logit", "toxic"])
 
-        return sorted(tuple(r) for r in sample.mapInArrow(run, "passage string, logit double, toxic int").collect())
+        return sorted(tuple(r) for r in sample.mapInArrow(light(run), "passage string, logit double, toxic int").collect())
 
-    counted = sample.mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
+    counted = sample.mapInArrow(light(words), "word string, toxic int").groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
     vocabulary = sorted(tuple(r) for r in counted.orderBy(F.xxhash64("word"), "word").limit(VOCABULARY).collect())
     of = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     return learn(vocabulary, (of.get(0, 0), of.get(1, 0)), worst)
@@ -272,7 +272,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(x, pa.float64()), pa.array((x >= LIMIT).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~F.coalesce(usable, F.lit(False))).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(light(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
@@ -283,4 +283,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(score(batch["text"].to_pylist()) < LIMIT, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(light(run), docs.schema)
