@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import literal_map
+from corpusmill.functions.text import literal_map, stripped
 
 # Commit types and the changelog sections they go to, in order.
 SECTIONS = {"feat": "Added", "fix": "Fixed", "perf": "Performance", "refactor": "Changed", "docs": "Documentation", "test": "Tests", "build": "Build", "ci": "CI", "style": "Style", "revert": "Reverted", "chore": "Chores"}
@@ -22,21 +22,23 @@ LONGEST_SUBJECT = 100
 
 
 def classify(subject: Column) -> dict[str, Column]:
-    """Section, scope, description and breaking mark of a subject. An unknown type goes to Other, without its prefix."""
+    """Section, scope, description and breaking mark of a subject, blanks at its ends aside. An unknown type goes to Other,
+    without its prefix."""
+    subject = stripped(subject)
     part = lambda k: F.regexp_extract(subject, SUBJECT, k)
     matches = subject.rlike(SUBJECT)
     section = F.coalesce(F.try_element_at(literal_map(SECTIONS), F.lower(part(1))), F.lit("Other"))
     return {
         "section": F.when(matches, section).otherwise("Other"),
         "scope": F.when(matches, F.nullif(part(2), F.lit(""))),
-        "description": F.when(matches, part(4)).otherwise(subject),
+        "description": F.when(matches, stripped(part(4))).otherwise(subject),
         "breaking": F.coalesce(matches & (part(3) == "!"), F.lit(False)),
     }
 
 
 def lint_reasons(subject: Column) -> Column:
     """Why a subject is no good commit subject; empty if it is one. Merges are exempt."""
-    s = F.trim(subject)
+    s = stripped(subject)
     kind, text = F.regexp_extract(s, STRICT_SUBJECT, 1), F.regexp_extract(s, STRICT_SUBJECT, 4)
     first = F.substring(text, 1, 1)
     found = F.array(

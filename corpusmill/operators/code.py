@@ -48,42 +48,43 @@ def branch_points(node: ast.AST) -> int:
     return total
 
 
-def _functions(node: ast.AST, prefix: str = "") -> Iterator[tuple]:
-    for x in ast.iter_child_nodes(node):
-        if isinstance(x, SCOPES):
-            if isinstance(x, DEFS):
-                yield x.name, prefix + x.name, x.lineno, 1 + branch_points(x)
-            yield from _functions(x, f"{prefix}{x.name}.")
+def _measured(tree: ast.Module, _: str) -> Iterator[tuple]:
+    """Name, qualified name, line and complexity of the functions in the bodies of modules, classes and functions."""
+    waiting: list[tuple[tuple[str, ...], ast.AST]] = [((), tree)]
+    for names, owner in waiting:  # grows as scopes are met
+        inner = [((*names, x.name), x) for x in owner.body if isinstance(x, SCOPES)]
+        waiting += inner
+        yield from ((q[-1], ".".join(q), x.lineno, branch_points(x) + 1) for q, x in inner if not isinstance(x, ast.ClassDef))
 
 
 def complexity(files: DataFrame) -> DataFrame:
     """path, name, qualname, lineno, complexity of each function. Functions are found in modules, classes and functions,
     not under other statements."""
-    return _parsed(files, lambda tree, _: _functions(tree), "path string, name string, qualname string, lineno long, complexity long")
+    return _parsed(files, _measured, "path string, name string, qualname string, lineno long, complexity long")
 
 
 def file_complexity(functions: DataFrame) -> DataFrame:
     return functions.groupBy("path").agg(F.sum("complexity").alias("complexity"), F.max("complexity").alias("worst"), F.count("*").alias("functions"))
 
 
-def _targets(tree: ast.Module, path: str) -> Iterator[tuple]:
-    package = path.removeprefix("src/").split("/")[:-1]
+def _named(tree: ast.Module, _: str) -> Iterator[tuple]:
+    """What import statements name, and from how many folders up (0: from the top)."""
     for x in ast.walk(tree):
-        if isinstance(x, ast.Import):
-            yield from ((a.name,) for a in x.names)
-        elif isinstance(x, ast.ImportFrom):
-            if not x.level:
-                if x.module:
-                    yield (x.module,)
-                continue
-            up = x.level - 1
-            base = package[: len(package) - up] if up <= len(package) else []
-            yield from ((".".join([*base, name]),) for name in ([x.module] if x.module else [a.name for a in x.names]))
+        module, level = getattr(x, "module", None), getattr(x, "level", 0) or 0
+        if isinstance(x, ast.ImportFrom) and module:
+            yield module, level
+        elif isinstance(x, ast.Import | ast.ImportFrom):
+            yield from ((a.name, level) for a in x.names)
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """path, target: what each file imports, relative imports resolved; `from p import a` targets p."""
-    return _parsed(files, _targets, "path string, target string")
+    """path, target: what each file imports; `from p import a` targets p. A relative import starts at the file's package, less a
+    part for each dot after the first, or at the top where there are not as many."""
+    rows = _parsed(files, _named, "path string, name string, level long")
+    folders = F.split(F.regexp_replace("path", "^src/", ""), "/")
+    left = F.greatest(F.lit(0).cast("long"), F.size(folders) - F.col("level"))
+    target = F.when(F.col("level") == 0, F.col("name")).otherwise(F.array_join(F.concat(F.slice(folders, F.lit(1), left.cast("int")), F.array("name")), "."))
+    return rows.select("path", target.alias("target"))
 
 
 def modules(files: DataFrame) -> DataFrame:
@@ -125,10 +126,10 @@ def mermaid(nodes: list[str], edges: list[tuple[str, str]]) -> str:
 
 
 def _exports(tree: ast.Module) -> set[str]:
-    for x in tree.body:
-        if isinstance(x, ast.Assign) and any(getattr(t, "id", None) == "__all__" for t in x.targets) and isinstance(x.value, ast.List | ast.Tuple | ast.Set):
-            return {e.value for e in x.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)}
-    return set()
+    """The strings in the first list, tuple or set that a module gives to __all__."""
+    given = [(t, x.value) for x in tree.body if isinstance(x, ast.Assign) for t in x.targets]
+    lists = [v.elts for t, v in given if isinstance(t, ast.Name) and t.id == "__all__" and hasattr(v, "elts")]
+    return {c for e in (lists or [[]])[0] if isinstance(c := getattr(e, "value", None), str)}
 
 
 def _dunder(name: str) -> bool:

@@ -26,19 +26,19 @@ def checks(files: DataFrame, gitignore: str | None, ignored: list[str]) -> DataF
     facts = plain.agg(F.count_if(top & name.isin(READMES)).alias("readme"), F.count_if(top & name.isin(LICENCES)).alias("licence"), F.count_if(is_test).alias("tests"))
     found = lambda n, severity, message, path=None: F.struct(F.lit(n).alias("check"), F.lit(severity).alias("severity"), message.alias("message"), (F.lit(None).cast("string") if path is None else path).alias("path"))
     missing = facts.select(F.explode(F.filter(F.array(
-        F.when(F.col("readme") == 0, found("missing_readme", "warning", F.lit("No README file found at the project root."))),
-        F.when(F.col("licence") == 0, found("missing_license", "info", F.lit("No LICENSE file found at the project root."))),
-        F.when(F.col("tests") == 0, found("missing_tests", "warning", F.lit("No test files or test directory detected."))),
+        F.when(F.col("readme") == 0, found("missing_readme", "warning", F.lit("The top folder has no readme."))),
+        F.when(F.col("licence") == 0, found("missing_license", "info", F.lit("The top folder has no licence."))),
+        F.when(F.col("tests") == 0, found("missing_tests", "warning", F.lit("Nothing here looks like a test."))),
     ), lambda x: x.isNotNull())).alias("i")).select("i.*")
-    large = plain.where(F.col("is_binary") & (F.col("size") > LARGE_BINARY)).select(found("large_binary", "warning", F.concat(F.lit("Large binary file: "), F.col("path")), F.col("path")).alias("i")).select("i.*")
-    links = files.where("kind = 'broken_link'").select(found("broken_symlink", "error", F.concat(F.lit("Broken symlink: "), F.col("path")), F.col("path")).alias("i")).select("i.*")
-    empty = files.where("kind = 'empty_dir'").select(found("empty_directory", "info", F.concat(F.lit("Empty directory: "), F.col("path")), F.col("path")).alias("i")).select("i.*")
+    large = plain.where(F.col("is_binary") & (F.col("size") > LARGE_BINARY)).select(found("large_binary", "warning", F.concat(F.lit("A large binary: "), F.col("path")), F.col("path")).alias("i")).select("i.*")
+    links = files.where("kind = 'broken_link'").select(found("broken_symlink", "error", F.concat(F.lit("A link to nothing: "), F.col("path")), F.col("path")).alias("i")).select("i.*")
+    empty = files.where("kind = 'empty_dir'").select(found("empty_directory", "info", F.concat(F.lit("Nothing in "), F.col("path")), F.col("path")).alias("i")).select("i.*")
     copies = plain.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1")
     copied = copies.select(found("duplicate_files", "info", F.concat(F.col("n").cast("string"), F.lit(" identical files, first "), F.col("path")), F.col("path")).alias("i")).select("i.*")
     out = missing.unionByName(large).unionByName(links).unionByName(empty).unionByName(copied)
     absent = [x for x in ignored if gitignore is not None and x not in gitignore]
     if gitignore is None or absent:
-        text = "No .gitignore file found." if gitignore is None else f".gitignore lacks: {', '.join(absent)}"
+        text = "There are no ignore patterns." if gitignore is None else f"Not among the ignore patterns: {', '.join(absent)}"
         row = files.sparkSession.range(1).select(found("gitignore", "warning", F.lit(text)).alias("i")).select("i.*")
         out = out.unionByName(row)
     return out

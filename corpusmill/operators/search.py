@@ -65,7 +65,7 @@ def line_matches(line: Column, pattern: str, regex: bool = False, ignore_case: b
     """Whether a line holds the pattern."""
     if not regex:
         return F.contains(F.lower(line), F.lit(pattern.lower())) if ignore_case else F.contains(line, F.lit(pattern))
-    return line.rlike(("(?iu)" if ignore_case else "") + pattern)
+    return line.rlike(("(?iuU)" if ignore_case else "(?U)") + pattern)
 
 
 def grep(files: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = False, context: int = 0, languages: list[str] | None = None) -> DataFrame:

@@ -20,13 +20,12 @@ from corpusmill.sources.ignore import IgnoreRules
 
 PER_TASK = 256
 SCHEMA = "walk_ord long, path string, size long, mtime double, language string, kind string, content binary"
-BY_EXTENSION = {e: lang for lang, names in LANGUAGES.items() for e in names}
 
 
 def language(path: str) -> str:
     """Language by name."""
     name = path.rsplit("/", 1)[-1]
-    return "docker" if name.lower() == "dockerfile" else BY_EXTENSION.get(Path(name).suffix.lower().lstrip("."), "other")
+    return "docker" if name.lower() == "dockerfile" else LANGUAGES.get(Path(name).suffix.lower().lstrip("."), "other")
 
 
 def walk(root: str, rules: IgnoreRules) -> Iterator[tuple[str, str]]:
