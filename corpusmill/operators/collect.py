@@ -130,6 +130,45 @@ def from_markdown(documents: DataFrame) -> DataFrame:
     return rows.select("name", F.regexp_extract("h.x", "^## `(.+)`$", 1).alias("path"), F.regexp_extract(opening, "(?s)^```(.*)", 1).alias("language"), F.array_join(F.transform(inside, lambda r: r["x"]), "\n").alias("content"))
 
 
+#: How a collection's form is told by its name, else by its first characters.
+FORMS = {"md": "markdown", "markdown": "markdown", "json": "json", "txt": "text"}
+
+
+def form(name: Column, text: Column) -> Column:
+    """markdown, json or text."""
+    known = F.create_map(*[F.lit(x) for pair in FORMS.items() for x in pair])
+    guess = F.when(F.ltrim(F.regexp_replace(text, r"^\s+", "")).startswith("{"), "json").when(text.rlike("(?m)^## `"), "markdown").otherwise("text")
+    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))), guess)
+
+
+def from_text(documents: DataFrame) -> DataFrame:
+    """The files in plain collections (name, text): name, path, content. A file begins at a line `----- path -----` and goes on to
+    the next; what comes before the first is no file's. A document's lines stay in its row."""
+    all_ = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    heads = F.filter("all", lambda r: r["x"].rlike("^----- .+ -----$"))
+    rows = documents.select("name", all_.alias("all")).withColumn("at", F.transform(heads, lambda r: r["i"])).select("name", "all", "at", F.posexplode("at").alias("k", "i"))
+    end = F.coalesce(F.get("at", F.col("k") + 1), F.size("all"))
+    body = F.transform(F.slice("all", F.col("i") + 2, end - F.col("i") - 1), lambda r: r["x"])
+    return rows.select("name", F.regexp_extract(F.get("all", "i")["x"], "^----- (.+) -----$", 1).alias("path"), F.array_join(body, "\n").alias("content"))
+
+
+def document(files: DataFrame, budget: int) -> DataFrame:
+    """One JSON document of the files (path, language, tokens, size, content) that a collection has kept, by path. A document is one value,
+    so the files' bytes are held to `budget`: beyond it this raises, and manifest() writes a line a file instead."""
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    if total > budget:
+        raise ValueError(f"{total} bytes are too many for one document; write a manifest")
+    file = F.struct(F.col("path").cast("string").alias("path"), "language", "tokens", "size", "content")
+    all_ = files.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.array_sort(F.collect_list(file)).alias("files"))
+    return all_.select(F.to_json(F.struct("file_count", "total_tokens", "files")).alias("json"))
+
+
+def from_document(documents: DataFrame) -> DataFrame:
+    """The files in JSON documents (name, text): name, path, language, content."""
+    parsed = F.from_json("text", "files array<struct<path string, language string, content string>>")
+    return documents.select("name", F.explode(parsed["files"]).alias("f")).select("name", "f.*")
+
+
 def to_write(files: DataFrame, existing: DataFrame) -> DataFrame:
     """What expanding files (path, content) over existing ones (path, content) does: path, action: new, same, conflict, or
     refused (a path that leaves the folder). Nothing is written before conflicts are known."""

@@ -41,6 +41,11 @@ def contributors(stats: DataFrame) -> DataFrame:
     return stats.groupBy(key.alias("author")).agg(F.max_by("name", "date").alias("name"), F.count("*").alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+def most_active(stats: DataFrame, top: int) -> DataFrame:
+    """The contributors with most commits."""
+    return contributors(stats).orderBy(F.desc("commits"), "author").limit(top)
+
+
 def churn(touches: DataFrame) -> DataFrame:
     """path, churn: commits that touched a file (touches: path, one row a commit and file)."""
     return touches.groupBy("path").agg(F.count("*").alias("churn"))
@@ -67,6 +72,12 @@ def owners(blame: DataFrame) -> DataFrame:
     return named.select("path", "author", "top_lines", "total", F.round(F.col("top_lines") / F.col("total"), 4).alias("share"))
 
 
+def weakest(owned: DataFrame, top: int, prefix: str = "") -> DataFrame:
+    """The files (below a path, if one is given) of whose lines the first author has the least share."""
+    rows = owned.where(F.col("path").cast("string").startswith(prefix)) if prefix else owned
+    return rows.orderBy("share", "path").limit(top)
+
+
 def owned_files(owned: DataFrame) -> DataFrame:
     """How many files each author owns, and the lines in them."""
     return owned.groupBy("author").agg(F.count("*").alias("files"), F.sum("top_lines").alias("lines"))

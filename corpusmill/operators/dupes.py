@@ -42,3 +42,8 @@ def blocks_in(files: DataFrame, known: DataFrame, size: int) -> DataFrame:
     known text."""
     blocks = windows(known, size).select("signature", F.col("path").alias("known_path")).distinct()
     return windows(files, size).join(blocks, "signature").select("path", "start", "end", "known_path")
+
+
+def most_repeated(files: DataFrame, size: int, top: int) -> DataFrame:
+    """The duplicate blocks that occur most often."""
+    return duplicate_blocks(files, size).orderBy(F.desc("occurrences"), "first_path", "first_start").limit(top)

@@ -111,6 +111,11 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(identifiers(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def counted_documents(tf: DataFrame) -> DataFrame:
+    """The same from term frequencies: a plan that has both makes the terms once, as their exchange is reused."""
+    return tf.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def idf(df: Column, documents: int) -> Column:
     return F.log(F.lit(float(documents + 1)) / (df + 1)) + 1
 
@@ -119,7 +124,7 @@ def tfidf(docs: DataFrame) -> DataFrame:
     """path, term, weight: share of the document's tokens times smoothed inverse document frequency."""
     n = docs.count()
     tf = term_frequencies(docs)
-    return tf.join(document_frequencies(docs), "term").select("path", "term", (F.col("n") / F.col("total") * idf(F.col("df"), n)).alias("weight"))
+    return tf.join(counted_documents(tf), "term").select("path", "term", (F.col("n") / F.col("total") * idf(F.col("df"), n)).alias("weight"))
 
 
 def strongest_terms(docs: DataFrame, k: int) -> DataFrame:
@@ -131,15 +136,15 @@ def strongest_terms(docs: DataFrame, k: int) -> DataFrame:
 def ranked(docs: DataFrame, terms: list[str], top: int) -> DataFrame:
     """path, score of the documents nearest to the terms, by cosine of TF-IDF vectors; unknown terms count as in no document.
 
-    Only the norms need all terms of a document: each is one number, made before the few rows with a query term are
-    joined."""
-    n = docs.count()
-    counts = {t: terms.count(t) for t in terms}
-    df = document_frequencies(docs)
-    known = {r["term"]: r["df"] for r in df.where(F.col("term").isin(list(counts))).collect()}  # as many as the query has
-    weights = {t: c / len(terms) * (math.log((n + 1) / (known.get(t, 0) + 1)) + 1) for t, c in counts.items()}
+    One pass counts documents, and those with each query term; a second makes the terms."""
+    names = sorted(set(terms))
+    tokens = docs.select(identifiers(F.col("content")).alias("tokens"))
+    counted = tokens.agg(F.count("*"), *[F.count_if(F.array_contains("tokens", t)) for t in names]).first()
+    n, known = counted[0], dict(zip(names, counted[1:], strict=True))
+    weights = {t: terms.count(t) / len(terms) * (math.log((n + 1) / (known[t] + 1)) + 1) for t in names}
     norm = math.sqrt(sum(w * w for w in weights.values()))
-    weighted = term_frequencies(docs).join(df, "term").select("path", "term", (F.col("n") / F.col("total") * idf(F.col("df"), n)).alias("w"))
+    tf = term_frequencies(docs)
+    weighted = tf.join(counted_documents(tf), "term").select("path", "term", (F.col("n") / F.col("total") * idf(F.col("df"), n)).alias("w"))
     q = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("term")), F.lit(0.0))
     scored = weighted.groupBy("path").agg(F.sum(F.col("w") * q).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     score = F.col("dot") / (F.col("norm") * F.lit(norm))

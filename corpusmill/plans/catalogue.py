@@ -102,6 +102,11 @@ def duplicate_blocks_w3(s: SparkSession, d: str) -> DataFrame:
     return dupes.duplicate_blocks(files(s, d), 3)
 
 
+@register("duplicate_blocks_topk", f"SELECT * FROM ({_blocks_sql(3)}) ORDER BY occurrences DESC, first_path, first_start LIMIT {TOP}")
+def duplicate_blocks_topk(s: SparkSession, d: str) -> DataFrame:
+    return dupes.most_repeated(files(s, d), 3, TOP)
+
+
 @register("duplicate_blocks_w6", _blocks_sql(6))
 def duplicate_blocks_w6(s: SparkSession, d: str) -> DataFrame:
     return dupes.duplicate_blocks(files(s, d), 6)
@@ -340,10 +345,18 @@ def issue_refs(s: SparkSession, d: str) -> DataFrame:
 
 @register("contributors", "WITH s AS (SELECT l_orderkey, sum(l_quantity)::bigint AS a, sum(l_linenumber)::bigint AS b FROM lineitem GROUP BY 1) SELECT c_name AS author, count(*) AS commits, sum(a)::bigint AS additions, sum(b)::bigint AS deletions, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders JOIN s ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY c_name")
 def contributors(s: SparkSession, d: str) -> DataFrame:
+    return C.contributors(_stats(s, d)).drop("name")
+
+
+def _stats(s: SparkSession, d: str) -> DataFrame:
     sums = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("long").alias("additions"), F.sum("l_linenumber").cast("long").alias("deletions"))
     people = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("email"))
-    rows = table(s, d, "orders").join(sums, "o_orderkey").join(people, "o_custkey").select("email", F.col("email").alias("name"), "additions", "deletions", F.col("o_orderdate").alias("date"))
-    return C.contributors(rows).drop("name")
+    return table(s, d, "orders").join(sums, "o_orderkey").join(people, "o_custkey").select("email", F.col("email").alias("name"), "additions", "deletions", F.col("o_orderdate").alias("date"))
+
+
+@register("contributors_topk", f"WITH s AS (SELECT l_orderkey, sum(l_quantity)::bigint AS a FROM lineitem GROUP BY 1) SELECT c_name AS author, count(*) AS commits, sum(a)::bigint AS additions FROM orders JOIN s ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY c_name ORDER BY commits DESC, author LIMIT {TOP}")
+def contributors_topk(s: SparkSession, d: str) -> DataFrame:
+    return C.most_active(_stats(s, d), TOP).select("author", "commits", "additions")
 
 
 @register("churn", "SELECT l_partkey AS path, count(*) AS churn FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1")
@@ -370,6 +383,16 @@ def owners_top_author(s: SparkSession, d: str) -> DataFrame:
     return _owners(s, d)
 
 
+@register("owners_weakest_topk", f"WITH {_OWNERS} SELECT * FROM o ORDER BY share, path LIMIT {TOP}")
+def owners_weakest_topk(s: SparkSession, d: str) -> DataFrame:
+    return C.weakest(_owners(s, d), TOP)
+
+
+@register("owners_under_path", f"WITH {_OWNERS} SELECT * FROM o WHERE starts_with(path::varchar, '1') ORDER BY share, path LIMIT {TOP}")
+def owners_under_path(s: SparkSession, d: str) -> DataFrame:
+    return C.weakest(_owners(s, d), TOP, "1")
+
+
 @register("owners_by_author", f"WITH {_OWNERS} SELECT author, count(*) AS files, sum(top_lines)::bigint AS lines FROM o GROUP BY author")
 def owners_by_author(s: SparkSession, d: str) -> DataFrame:
     return C.owned_files(_owners(s, d))

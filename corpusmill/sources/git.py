@@ -1,8 +1,10 @@
 """A data source for a repository's history: spark.read.format("git_history").option("relation", ...).load(root).
 
 Relations: commits, commit_files (a commit's files with added and deleted lines), branches, blame (option `files`), changed
-(files changed since `ref`), diff_lines (the lines of the diff from `ref`). Options `since`, `until`. Each is one git
-call in one task, but for blame, which is a task a file; rows are passed on as git prints them.
+(files changed since `ref`), diff_lines (the lines of the diff from `ref`), numstat (lines added and deleted since `ref`, by
+file; option `only`), commit_totals (a row for each commit, with the sums of its files; zeros where it touches none), patch
+(the lines of the patch of the commit `ref`; option `unified`). Options `since`, `until`. Each is one git call in one task,
+but for blame, which is a task a file; rows are passed on as git prints them.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ SCHEMAS = {
     "blame": "path string, author string, lines long",
     "changed": "path string",
     "diff_lines": "diff string, n long, line string",
+    "numstat": "path string, additions long, deletions long, is_binary boolean",
+    "commit_totals": "hash string, author_name string, author_email string, date string, additions long, deletions long, files_changed long",
+    "patch": "hash string, n long, line string",
 }
 FIELD, RECORD = "\x1f", "\x1e"
 TIMEOUT = 30
@@ -43,17 +48,38 @@ def commits(root: str, options: dict) -> Iterator[tuple]:
             yield (*fields[:6], fields[6].strip())
 
 
-def commit_files(root: str, options: dict) -> Iterator[tuple]:
-    head: list[str] = []
+def stat(line: str) -> tuple[str, int, int, bool]:
+    """path, additions, deletions, is_binary of a numstat line; a binary file has no lines."""
+    added, deleted, path = line.split("\t", 2)
+    return (path, 0, 0, True) if added == "-" else (path, int(added), int(deleted), False)
+
+
+def stats(root: str, options: dict) -> Iterator[tuple[list[str], list[tuple]]]:
+    """Each commit's hash, author's name and email, date; and the stats of its files."""
     form = RECORD + FIELD.join(["%H", "%an", "%ae", "%aI"])
     extra = [f"--since={options['after']}"] if options.get("after") else []
-    for line in git(root, "log", *span(options), *extra, "--numstat", f"--pretty=format:{form}").split("\n"):
-        if line.startswith(RECORD):
-            head = line[1:].split(FIELD)
-        elif line.count("\t") >= 2:
-            added, deleted, path = line.split("\t", 2)
-            binary = added == "-"
-            yield (*head, path, 0 if binary else int(added), 0 if binary else int(deleted), binary)
+    for record in git(root, "log", *span(options), *extra, "--numstat", f"--pretty=format:{form}").split(RECORD)[1:]:
+        head, _, rest = record.partition("\n")
+        yield head.split(FIELD), [stat(x) for x in rest.split("\n") if x.count("\t") >= 2]
+
+
+def commit_files(root: str, options: dict) -> Iterator[tuple]:
+    yield from ((*head, *row) for head, rows in stats(root, options) for row in rows)
+
+
+def commit_totals(root: str, options: dict) -> Iterator[tuple]:
+    yield from ((*head, sum(r[1] for r in rows), sum(r[2] for r in rows), len(rows)) for head, rows in stats(root, options))
+
+
+def numstat(root: str, options: dict) -> Iterator[tuple]:
+    paths = [p for p in options.get("only", "").split(";") if p]
+    yield from (stat(x) for x in git(root, "diff", "--numstat", options["ref"], "--", *paths).splitlines() if x.count("\t") >= 2)
+
+
+def patch(root: str, options: dict) -> Iterator[tuple]:
+    sha = git(root, "rev-parse", "--verify", f"{options['ref']}^{{commit}}").strip()
+    text = git(root, "show", "--format=", f"--unified={int(options.get('unified', 3))}", sha)
+    yield from ((sha, k, x) for k, x in enumerate(text.splitlines()))
 
 
 def branches(root: str, options: dict) -> Iterator[tuple]:
@@ -82,7 +108,7 @@ def diff_lines(root: str, options: dict) -> Iterator[tuple]:
     yield from ((options["ref"], k, x) for k, x in enumerate(git(root, "diff", "-U3", options["ref"]).splitlines()))
 
 
-RELATIONS = {"commits": commits, "commit_files": commit_files, "branches": branches, "blame": blame, "changed": changed, "diff_lines": diff_lines}
+RELATIONS = {"commits": commits, "commit_files": commit_files, "branches": branches, "blame": blame, "changed": changed, "diff_lines": diff_lines, "numstat": numstat, "commit_totals": commit_totals, "patch": patch}
 
 
 class GitHistory(DataSource):

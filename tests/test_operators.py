@@ -5,7 +5,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import code, collect, commits, deps, dupes, findings, hygiene, incremental, search
+from corpusmill.operators import code, collect, commits, deps, dupes, findings, hygiene, incremental, index, search
 from corpusmill.plans import samples
 from corpusmill.sources.git import GitHistory
 from corpusmill.sources.ignore import IgnoreRules
@@ -181,6 +181,39 @@ def test_git_history(spark, repo):
     assert read("blame", files="src/main.py").first()["lines"] == 2 and read("branches").first()["is_current"]
     assert [r["path"] for r in read("changed", ref="HEAD~1").collect()] == ["src/main.py"]
     assert read("diff_lines", ref="HEAD~1").where("line like '+%'").count() == 2
+    git("commit", "-qm", "chore: none", "--allow-empty")
+    assert [tuple(r)[4:] for r in read("commit_totals").collect()] == [(0, 0, 0), (1, 1, 1), (2, 0, 2)]
+    assert [tuple(r) for r in read("numstat", ref="HEAD~1").collect()] == [] and [tuple(r) for r in read("numstat", ref="HEAD~2", only="src/main.py;no").collect()] == [("src/main.py", 1, 1, False)]
+    assert [r["line"] for r in read("patch", ref="HEAD~1", unified="0").orderBy("n").collect() if r["line"][:1] in "+-"][2:] == ["-    pass", "+    return 1"]
+
+
+def test_collections_as_text_and_json(spark):
+    rows = [("a.py", "x\n\ny"), ("b/c.txt", "")]
+    text = collect.plain([{"path": p, "content": c} for p, c in rows])
+    back = collect.from_text(spark.createDataFrame([("n", "before\n" + text), ("none", "no file")], "name string, text string"))
+    assert sorted((r["path"], r["content"]) for r in back.collect()) == rows
+    kept = files(spark, *rows).selectExpr("path", "language", "1L tokens", "2L size", "content")
+    one = collect.document(kept, 4)
+    assert sorted((r["path"], r["content"]) for r in collect.from_document(one.selectExpr("'n' name", "json text")).collect()) == rows
+    with pytest.raises(ValueError):
+        collect.document(kept, 3)
+    assert collect.document(kept.limit(0), 0).first()["json"] == '{"file_count":0,"total_tokens":0,"files":[]}'
+    forms = spark.createDataFrame([("a.MD", "{"), ("a.json", ""), ("x.txt", "## `a`"), ("x", "\n {"), ("x", "t\n## `a`"), ("x.y", "")], "name string, text string")
+    assert [r[0] for r in forms.select(collect.form(F.col("name"), F.col("text"))).collect()] == ["markdown", "json", "text", "json", "markdown", "text"]
+
+
+def test_index_answers_as_the_texts_do(spark, tmp_path):
+    rows = [("a", "token error token", "1"), ("b", "error log", "1"), ("c", "", "1"), ("d", "other words here", "1")]
+    docs = spark.createDataFrame(rows, "path string, content string, mark string")
+    terms, first, second = ["token", "error", "error", "unknown"], f"{tmp_path}/1", f"{tmp_path}/2"
+    index.build(docs, first)
+    assert index.ask(spark, first, terms, 9).collect() == search.ranked(docs, terms, 9).collect() != []
+    assert index.ask(spark, first, ["unknown"], 9).count() == 0 and index.sizes(spark, first) == {"postings": 7, "terms": 6, "documents": 4}
+    later = spark.createDataFrame([("a", "token error token", "1"), ("b", "error token token", "2"), ("e", "token", "1")], docs.schema)
+    assert index.is_fresh(first, docs) and not index.is_fresh(first, later)
+    index.update(first, later, second)
+    assert index.ask(spark, second, terms, 9).collect() == search.ranked(later, terms, 9).collect()
+    assert index.is_fresh(second, later) and index.delete(spark, first) and not index.delete(spark, first)
 
 
 def test_history_log_and_stores(spark, tmp_path):
