@@ -30,7 +30,7 @@ def counted(docs: DataFrame) -> DataFrame:
 def store(postings: DataFrame, marks: DataFrame, folder: str) -> None:
     spark = marks.sparkSession
     # By term and path, so that a term that most documents have is spread over several ranges.
-    postings.repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.parquet(f"{folder}/postings")
+    postings.select("term", "path", "mark", "n", "total").repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.parquet(f"{folder}/postings")
     written = load(spark, folder, "postings")
     search.counted_documents(written).write.parquet(f"{folder}/terms")
     weight = F.col("n") / F.col("total") * search.idf(F.col("df"), marks.count())
@@ -53,6 +53,14 @@ def update(before: str, docs: DataFrame, folder: str) -> None:
     store(kept.unionByName(counted(new)), marks, folder)
 
 
+def merge(before: str, docs: DataFrame, folder: str) -> None:
+    """Write the index before to a new folder, with these documents put in, or in place of those of the same paths."""
+    spark = docs.sparkSession
+    stays = load(spark, before, "documents").select("path", "mark").join(docs.select("path"), "path", "left_anti")
+    kept = load(spark, before, "postings").join(stays, ["path", "mark"], "left_semi")
+    store(kept.unionByName(counted(docs)), stays.unionByName(docs.select("path", "mark")), folder)
+
+
 def ask(spark: SparkSession, folder: str, terms: list[str], top: int) -> DataFrame:
     """path, score: what search.ranked gives, from the index."""
     documents = load(spark, folder, "documents")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusmill.operators import index
+
 
 def on_change(spark: SparkSession, folder: str, schema: str, checkpoint: str, run: Callable[[DataFrame, int], None], seconds: float | None = None, form: str = "parquet") -> StreamingQuery:
     """Call run(rows, batch number) for what arrives in a folder: all that is there, then (with seconds) at each interval
@@ -19,6 +23,51 @@ def on_change(spark: SparkSession, folder: str, schema: str, checkpoint: str, ru
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def watched(fingerprint: Callable[[], DataFrame], run: Callable[[bool], None], seconds: float = 2.0, polls: int | None = None, wait: Callable[[float], None] = time.sleep) -> int:
+    """Call run(True) at once, then run(False) after each poll that finds paths added, removed or changed, and return how often
+    it ran. fingerprint() gives the present (path, mark); of these only a digest of fixed size is kept."""
+
+    def digest() -> tuple:
+        h = F.xxhash64("path", "mark")
+        return tuple(fingerprint().agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))).first())
+
+    last, times = digest(), 1
+    run(True)
+    for _ in itertools.count() if polls is None else range(polls):
+        wait(seconds)
+        now = digest()
+        if now != last:
+            last, times = now, times + 1
+            run(False)
+    return times
+
+
+def latest_index(spark: SparkSession, base: str) -> str | None:
+    """The folder of the last whole index that follow_index has written below base."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/batch=*/documents/_SUCCESS")
+    done = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    folders = [f.getPath().getParent().getParent() for f in done]
+    return max(folders, key=lambda f: int(f.getName().split("=")[1])).toString() if folders else None
+
+
+def follow_index(docs: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
+    """Merge a stream of documents (path, mark, content) into a stored index, each batch into a folder of its own below base, until
+    all is read. Of a path that comes twice in a batch, the row of the greatest mark counts. A batch that is run again after a
+    failure starts from the index before it."""
+
+    def merge(rows: DataFrame, batch: int) -> None:
+        spark, folder = rows.sparkSession, f"{base}/batch={batch}"
+        index.delete(spark, folder)
+        before = latest_index(spark, base)
+        one = rows.groupBy("path").agg(F.max(F.struct("mark", "content")).alias("x")).select("path", "x.mark", "x.content")
+        if before is None:
+            index.build(one, folder)
+        else:
+            index.merge(before, one, folder)
+
+    return docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def counted(events: DataFrame, ts: str, key: str, window: str, late: str) -> DataFrame:
     """Rows by window and key, with a watermark."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, window), key).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
