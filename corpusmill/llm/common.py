@@ -138,14 +138,14 @@ class WordHasher:
     """64-bit hashes of words in a block of bytes: eight bytes at a time are mixed in, the words in step; words longer than
     LONG bytes are hashed one by one.
 
-    `letter` maps each byte to True inside words; A-Z count as a-z. Whoever needs certainty compares the words themselves
-    (`edges` tells where they are).
+    `letter` maps each byte to True inside words; `fold` maps bytes that count as equal to one (A-Z to a-z). Whoever needs
+    certainty compares the words themselves (`edges` tells where they are).
     """
 
     LONG = 64
 
-    def __init__(self, letter: np.ndarray, salt: int = 1):
-        self.letter, self.salt = letter, salt
+    def __init__(self, letter: np.ndarray, salt: int = 1, fold: np.ndarray = LOWER):
+        self.letter, self.salt, self.fold = letter, salt, fold
         self.start = U64(int(np.random.default_rng(20_000 + salt).integers(1 << 62, 1 << 63)))
 
     def edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +168,7 @@ class WordHasher:
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hash of each data[start:end]."""
         low = np.zeros(len(data) + 8, np.uint8)
-        low[:-8] = LOWER[data]
+        low[:-8] = self.fold[data]
         lanes = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))
         left = ends - starts
         with np.errstate(over="ignore"):

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL. Each runs its operator over its whole table and returns its full result."""
+"""The queries op1 to op13 and their SQL. Each runs its operator over its whole table and returns its full result."""
 
 from __future__ import annotations
 
@@ -13,9 +13,12 @@ from corpusmill.llm.chat_format import formatted_digests, formatted_turns
 from corpusmill.llm.common import table
 from corpusmill.llm.decontamination import contamination, items_digest
 from corpusmill.llm.fingerprints import fingerprint_documents
+from corpusmill.llm.importance import resampled
 from corpusmill.llm.language_id import crc, identify
 from corpusmill.llm.ngram_jaccard import jaccard_components
 from corpusmill.llm.sharding import histogram_shards
+from corpusmill.llm.spelling_variants import variants
+from corpusmill.llm.substring_dedup import dedup_digests
 from corpusmill.llm.token_counts import token_counts
 from corpusmill.llm.toxicity import toxicity
 from corpusmill.llm.url_filters import STRONGEST, SUFFIXES, WEAKEST, filter_urls
@@ -78,6 +81,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_fingerprints": op2_fingerprints,
@@ -89,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_importance": op13_importance,
 }
 
 _SUFFIXES = ", ".join(f"'{x}'" for x in SUFFIXES)
@@ -102,7 +121,58 @@ _STRENGTH = f"""CASE WHEN count(*) = 0 OR sum(n) <= count(*) OR sum(m * (1 - m))
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
+#: The CRC-32 of a text's UTF-8 bytes, from the table t of the query below.
+_CRC_TABLE = "crc_table AS (SELECT list(list_reduce(list_concat([k], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) ORDER BY k) AS t FROM (SELECT unnest(range(256)) AS k))"
+
+
+def _crc(text: str) -> str:
+    bytes_ = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {bytes_}), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)))"
+
+
+def _features(table: str, key: str) -> str:
+    """key, f of all n-grams of one to three words."""
+    gram = lambda k: f"list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))"
+    return f"SELECT {key}, unnest(list_concat({', '.join(map(gram, (1, 2, 3)))})) AS f FROM (SELECT {key}, {_WORDS} AS w FROM {table})"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, k, {_crc("(doc_id::VARCHAR || ':' || run)")} AS h FROM runs, crc_table),
+counted AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM counted WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+lesser AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n AS n FROM lesser a JOIN lesser b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM lesser a JOIN words b ON a.s = b.word UNION SELECT b.word, a.word, a.n FROM lesser a JOIN words b ON a.s = b.word),
+best AS (SELECT a AS word, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY a),
+tops AS (SELECT a AS word, min(b) AS top FROM pairs JOIN best ON best.word = a AND n = most GROUP BY a),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN top END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word) LEFT JOIN tops USING (word)),
+ways AS (SELECT word, word AS root, 0 AS step FROM formed UNION ALL SELECT ways.word, f.form, step + 1 FROM ways JOIN formed f ON f.word = ways.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM ways GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)""",
+    "op12_substring_dedup": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS x FROM starts),
+low AS (SELECT x, min(doc_id) AS first FROM windows GROUP BY x HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN low USING (x) WHERE doc_id > first) GROUP BY doc_id),
+place AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM words),
+left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM place ANTI JOIN (SELECT doc_id, unnest(ps) AS p FROM gone) USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN left_ USING (doc_id)""",
+    "op13_importance": rf"""
+WITH {_CRC_TABLE}, own AS ({_features("documents", "doc_id")}), other AS ({_features("benchmark", "item_id")}),
+hashed AS (SELECT f, {_crc("f")} % 10000 AS b FROM (SELECT f FROM own UNION SELECT f FROM other), crc_table),
+s AS (SELECT b, count(*) AS s FROM own JOIN hashed USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM other JOIN hashed USING (f) GROUP BY b),
+totals AS (SELECT (SELECT count(*) FROM own)::DOUBLE AS total_s, (SELECT count(*) FROM other)::DOUBLE AS total_t),
+gains AS (SELECT b, floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1)::DOUBLE * (total_s + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (total_t + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (b), totals),
+sums AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM own JOIN hashed USING (f) JOIN gains USING (b) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len({_WORDS}) >= 20 AS enough,
+  (coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM documents LEFT JOIN sums USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS r, (SELECT count(*) FROM scored WHERE enough) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= 5 * n // 100 THEN r END AS rank FROM placed""",
     "op3_url_filters": rf"""
 WITH judged AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
