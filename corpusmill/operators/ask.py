@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators import index, retrieval
 from corpusmill.operators.search import chunks, retrieve
 
 #: complete(prompt, system) -> answer
@@ -21,14 +22,26 @@ def no_client(prompt: str, system: str) -> str:
 
 def context(docs: DataFrame, question: str, top: int = 6) -> list[dict]:
     """The chunks that a question's answer may use, with their text; at most `top`."""
-    best = F.broadcast(retrieve(docs, question, top))  # `top` rows
-    rows = chunks(docs).join(best.select("path", "chunk_index", "score"), ["path", "chunk_index"])
+    found = retrieve(docs, question, top)
+    best = docs.sparkSession.createDataFrame(found.collect(), found.schema)  # `top` rows
+    few = docs.join(F.broadcast(best.select("path").distinct()), "path", "left_semi")
+    rows = chunks(few).join(F.broadcast(best.select("path", "chunk_index", "score")), ["path", "chunk_index"])
     return [r.asDict() for r in rows.orderBy(F.desc("score"), "path", "chunk_index").collect()]
 
 
 def answer(docs: DataFrame, question: str, client: Client = no_client, top: int = 6) -> tuple[str | None, list[dict]]:
     """An answer and the chunks it rests on; where nothing is found, no model is asked."""
-    found = context(docs, question, top)
+    return _answered(question, context(docs, question, top), client)
+
+
+def answer_from(spark: SparkSession, base: str, question: str, client: Client = no_client, top: int = 6) -> tuple[str | None, list[dict]]:
+    """The same from a stored index of chunks; it is an error if there is none, and no model is asked."""
+    if index.latest(spark, base) is None:
+        raise LookupError(f"no index of chunks at {base}; build one first")
+    return _answered(question, [r.asDict() for r in retrieval.chunk_texts(spark, base, question, top).collect()], client)
+
+
+def _answered(question: str, found: list[dict], client: Client) -> tuple[str | None, list[dict]]:
     if not found:
         return None, []
     body = "\n\n".join(f"[{r['path']}:{r['start_line']}-{r['end_line']}]\n{r['content']}" for r in found)

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import history as H
 from corpusmill.functions import text as T
-from corpusmill.operators import code, collect, deps, dupes, findings, hygiene, incremental, search, security, stats
+from corpusmill.functions.vectors import TOKEN
+from corpusmill.operators import code, collect, deps, dupes, findings, hygiene, incremental, index, retrieval, search, security, stats
 from corpusmill.operators import commits as C
 from corpusmill.plans import samples
 from corpusmill.plans.corpus import commits, files, log, snippets, table
+from corpusmill.plans.stored import CHUNK as CHUNK_IDENTIFIERS
+from corpusmill.plans.stored import stored, updated
 from corpusmill.sources.stores import snippets_with
 from corpusmill.streaming.watch import counted
 
@@ -20,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: What the searches look for; words that the texts have.
 PATTERN, REGEX, QUERY, QUESTION = "tion", r"\w+ing\b", "the token error", "the nation and the order of this"
+TOPIC = "from there to tion and ment in the queue"
 BUDGET, CHUNK, STALE_DAYS, LAST, TOP = 20_000, 12_000, 3, 5, 20
 
 # SQL that several oracles share: lines, tokens, files.
@@ -186,12 +190,30 @@ def keyword_samples(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked_sql(terms: list[str]) -> str:
-    return f"WITH {_TF}, q AS (SELECT term, count(*)::double / {len(terms)} * (ln((max(docs) + 1)::double / (coalesce(max(df), 0) + 1)) + 1) AS qw FROM (SELECT unnest({terms}) AS term) LEFT JOIN df USING (term), n GROUP BY term), norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY doc_id), dots AS (SELECT doc_id, sum(weight * qw) AS dot FROM w JOIN q USING (term) GROUP BY doc_id) SELECT doc_id AS path, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)), 6) AS score FROM dots JOIN norms USING (doc_id) ORDER BY score DESC, path LIMIT {TOP}"
+    return f"WITH {_TF}, q AS (SELECT term, count(*)::double / {len(terms)} * (ln((max(docs) + 1)::double / (coalesce(max(df), 0) + 1)) + 1) AS qw FROM (SELECT unnest({terms}) AS term) LEFT JOIN df USING (term), n GROUP BY term), norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY doc_id), dots AS (SELECT doc_id, sum(weight * qw) AS dot FROM w JOIN q USING (term) GROUP BY doc_id) SELECT doc_id AS path, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)), 6) AS score FROM dots JOIN norms USING (doc_id) ORDER BY score DESC, path::varchar LIMIT {TOP}"
+
+
+def _query_sql(terms: list[str]) -> str:
+    return f"WITH {_TF} SELECT term, min(k) AS k, count(*)::double / {len(terms)} * (ln((max(docs) + 1)::double / (coalesce(max(df), 0) + 1)) + 1) AS qw FROM (SELECT unnest({terms}) AS term, unnest(range({len(terms)})) AS k) LEFT JOIN df USING (term), n GROUP BY term"
 
 
 @register("semantic_search_topk", _ranked_sql(search.expanded(QUERY)))
 def semantic_search_topk(s: SparkSession, d: str) -> DataFrame:
-    return search.semantic_search(files(s, d), QUERY, TOP)
+    return index.ask(s, stored(s, d, None), search.expanded(QUERY), TOP).select(F.col("path").cast("long").alias("path"), "score")
+
+
+@register("semantic_search_updated", _ranked_sql(search.expanded(TOPIC)))
+def semantic_search_updated(s: SparkSession, d: str) -> DataFrame:
+    """The same from an index that was built over other texts and then updated."""
+    return index.ask(s, updated(s, d), search.expanded(TOPIC), TOP).select(F.col("path").cast("long").alias("path"), "score")
+
+
+@register("semantic_search_samples", f"""WITH {_LINES}, best AS ({_ranked_sql(search.expanded(TOPIC))}), hits AS (SELECT path, score, n, line, k, row_number() OVER (PARTITION BY path ORDER BY k, n) AS place FROM best JOIN lines ON doc_id = path
+JOIN (SELECT term, row_number() OVER (ORDER BY qw DESC, k) AS k FROM ({_query_sql(search.expanded(TOPIC))}) QUALIFY k <= 8) ON contains(lower(line), term))
+SELECT path, score, n AS line_number, line, place::int AS place FROM hits WHERE place <= 3""")
+def semantic_search_samples(s: SparkSession, d: str) -> DataFrame:
+    found, _ = retrieval.semantic_hits(s, stored(s, d, None), TOPIC, TOP)
+    return found.select(F.col("path").cast("long").alias("path"), "score", F.posexplode("samples").alias("p", "x")).select("path", "score", "x.line_number", "x.line", (F.col("p") + 1).alias("place"))
 
 
 @register("rag_chunks", f"""WITH RECURSIVE {_LINES}, sized AS (SELECT doc_id, n, greatest(1, len(regexp_extract_all(line, '[a-zA-Z_][a-zA-Z0-9_]{{1,}}')))::bigint AS k FROM lines),
@@ -207,9 +229,31 @@ def rag_chunk_coverage(s: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("covered"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"))
 
 
-@register("rag_retrieve_topk")
+_CHUNKS = f"""{_LINES}, sized AS (SELECT doc_id, n, line, greatest(1, len(regexp_extract_all(line, '[a-zA-Z_][a-zA-Z0-9_]{{1,}}')))::bigint AS k FROM lines),
+fold AS (SELECT doc_id, n, k AS cur, 0::bigint AS c FROM sized WHERE n = 1 UNION ALL SELECT s.doc_id, s.n, CASE WHEN f.cur + s.k > 400 THEN s.k ELSE f.cur + s.k END, CASE WHEN f.cur + s.k > 400 THEN f.c + 1 ELSE f.c END FROM fold f JOIN sized s ON s.doc_id = f.doc_id AND s.n = f.n + 1),
+spans AS (SELECT doc_id, c, min(n) AS a, max(n) AS b FROM fold GROUP BY ALL),
+tokens AS (SELECT doc_id, c, unnest(list_transform(regexp_extract_all(line, '[a-zA-Z_][a-zA-Z0-9_]{{1,}}'), lambda x: lower(x))) AS term FROM fold JOIN sized USING (doc_id, n))"""
+_ASKED = [x.lower() for x in TOKEN.findall(QUESTION)]
+
+
+@register("rag_retrieve_topk", f"""WITH RECURSIVE {_CHUNKS}, tf AS (SELECT doc_id, c, term, count(*) AS k FROM tokens GROUP BY ALL), totals AS (SELECT doc_id, c, sum(k) AS total FROM tf GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS docs FROM spans),
+q AS (SELECT term, count(*)::double / {len(_ASKED)} * (ln((max(docs) + 1)::double / (coalesce(max(df), 0) + 1)) + 1) AS qw FROM (SELECT unnest({_ASKED}) AS term) LEFT JOIN df USING (term), n GROUP BY term),
+w AS (SELECT doc_id, c, term, k::double / total * (ln((docs + 1)::double / (df + 1)) + 1) AS weight FROM tf JOIN totals USING (doc_id, c) JOIN df USING (term), n),
+norms AS (SELECT doc_id, c, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY ALL), dots AS (SELECT doc_id, c, sum(weight * qw) AS dot FROM w JOIN q USING (term) GROUP BY ALL)
+SELECT doc_id AS path, c AS chunk_index, a AS start_line, b AS end_line, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)), 4) AS score FROM dots JOIN norms USING (doc_id, c) JOIN spans USING (doc_id, c) ORDER BY score DESC, path::varchar, chunk_index LIMIT 6""")
 def rag_retrieve_topk(s: SparkSession, d: str) -> DataFrame:
-    return search.retrieve(files(s, d), QUESTION)
+    found = index.ask(s, stored(s, d, CHUNK_IDENTIFIERS), TOKEN.findall(QUESTION), 6, 4)
+    return found.withColumn("path", F.col("path").cast("long"))
+
+
+@register("rag_index_stats", f"WITH RECURSIVE {_CHUNKS} SELECT count(DISTINCT doc_id) AS files, count(*) AS units, (SELECT count(DISTINCT term) FROM tokens) AS terms, (SELECT count(*) FROM (SELECT DISTINCT doc_id, c, term FROM tokens)) AS entries FROM spans")
+def rag_index_stats(s: SparkSession, d: str) -> DataFrame:
+    """What the stored index of chunks holds."""
+    base = stored(s, d, CHUNK_IDENTIFIERS)
+    now = index.latest(s, base)
+    terms, entries = (index.rows(s, base, now, t) for t in ("terms", "postings"))
+    held = terms.agg(F.count("*").alias("terms")).withColumn("key", F.lit(0)).join(entries.agg(F.sum(F.size("entries")).alias("entries")).withColumn("key", F.lit(0)), "key")  # a row each
+    return held.select(F.lit(now.paths).cast("long").alias("files"), F.lit(now.units).cast("long").alias("units"), "terms", "entries")
 
 
 @register("dense_cosine_topk", "SELECT vec_id, round(list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.operators import index
+from corpusmill.sources import folders
 
 
 def on_change(spark: SparkSession, folder: str, schema: str, checkpoint: str, run: Callable[[DataFrame, int], None], seconds: float | None = None, form: str = "parquet") -> StreamingQuery:
@@ -42,28 +42,17 @@ def watched(fingerprint: Callable[[], DataFrame], run: Callable[[bool], None], s
     return times
 
 
-def latest_index(spark: SparkSession, base: str) -> str | None:
-    """The folder of the last whole index that follow_index has written below base."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/batch=*/documents/_SUCCESS")
-    done = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    folders = [f.getPath().getParent().getParent() for f in done]
-    return max(folders, key=lambda f: int(f.getName().split("=")[1])).toString() if folders else None
-
-
-def follow_index(docs: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
-    """Merge a stream of documents (path, mark, content) into a stored index, each batch into a folder of its own below base, until
-    all is read. Of a path that comes twice in a batch, the row of the greatest mark counts. A batch that is run again after a
-    failure starts from the index before it."""
+def follow_index(docs: DataFrame, base: str, checkpoint: str, limit: int | None = None) -> StreamingQuery:
+    """Put a stream of documents (path, mark, content, and where there is one removed: true takes the path out) into a stored index, until all
+    is read. A batch writes a segment of its own documents only. Of a path that comes twice in a batch, the row of the greatest
+    mark counts. A batch that is run again after a failure finds its number in the index, and changes nothing."""
 
     def merge(rows: DataFrame, batch: int) -> None:
-        spark, folder = rows.sparkSession, f"{base}/batch={batch}"
-        index.delete(spark, folder)
-        before = latest_index(spark, base)
-        one = rows.groupBy("path").agg(F.max(F.struct("mark", "content")).alias("x")).select("path", "x.mark", "x.content")
-        if before is None:
-            index.build(one, folder)
-        else:
-            index.merge(before, one, folder)
+        removed = F.col("removed") if "removed" in rows.columns else F.lit(False)
+        one = rows.groupBy("path").agg(F.max(F.struct("mark", removed.alias("removed"), "content")).alias("x")).select("path", "x.*")
+        if index.latest(rows.sparkSession, base) is None:
+            index.build(one.limit(0), base, limit)
+        index.change(base, one.where("not removed").drop("removed"), one.where("removed").select("path"), batch)
 
     return docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -81,10 +70,7 @@ def follow_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the events by type, through a stream that ends when all is read. Each batch's counts are written; the sum
     over batches is the result."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
-    base = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    base = f"{folders.shared(spark)}/{uuid.uuid4().hex}"
     table = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(table).schema
 
