@@ -38,6 +38,8 @@ ALPHABET = [*map(chr, range(ord("a"), ord("z") + 1)), *map(chr, range(0xC0, 0x10
 POWER = 5
 #: Different words that a task counts before it sends them on, and bytes of a text whose words aren't listed all at once.
 WORDS_HELD, LONG = 200_000, 1 << 22
+#: Letters of a word whose edit distance is computed.
+LONG_WORD = 64
 
 FOLD = LOWER.tobytes()
 NUMBER = np.zeros(256, np.int64)
@@ -124,6 +126,17 @@ def entries(words: DataFrame) -> DataFrame:
     return keys(words).select("id", F.explode(all_).alias("e")).select("e.*", "id")
 
 
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether two words, of which b is as long or one longer, differ by one edit. Of long words the common beginning is found by
+    bisection, as the time of an edit distance grows with the square of the length."""
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.left(a, middle(s)) == F.left(b, middle(s)), F.struct(middle(s).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (middle(s) - 1).alias("hi")))
+    middle = lambda s: F.shiftright(s["lo"] + s["hi"] + 1, 1)
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("lo"), F.length(a).alias("hi")), step, lambda s: s["lo"])
+    rest = lambda word, start: F.substring(word, start, F.length(word))
+    long = (a != b) & (rest(a, same + 1 + F.length(a) - F.length(b) + 1) == rest(b, same + 2))
+    return F.when(F.length(b) <= LONG_WORD, F.levenshtein(a, b, 1) == 1).otherwise(long)
+
+
 def neighbours(words: DataFrame) -> DataFrame:
     """a, b (ids), each pair of words (id, word, n) that are one edit apart, both ways, with b's word and n."""
     all_ = entries(words)
@@ -132,7 +145,9 @@ def neighbours(words: DataFrame) -> DataFrame:
     # A removed letter that both halves have may be found in either: counts once.
     meet = meet.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     of = lambda side: words.select(F.col("id").alias(side), F.struct("word", "n").alias(f"{side}_"))
-    pairs = meet.join(of("a"), "a").join(of("b"), "b").where(F.levenshtein("a_.word", "b_.word", 1) == 1)
+    a, b = F.col("a_.word"), F.col("b_.word")
+    longer = F.length(a) > F.length(b)
+    pairs = meet.join(of("a"), "a").join(of("b"), "b").where(one_edit(F.when(longer, b).otherwise(a), F.when(longer, a).otherwise(b)))
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_").alias("a_"), F.col("a_").alias("b_"))).select("a", "b", F.col("b_.word").alias("word"), F.col("b_.n").alias("n"))
 
 

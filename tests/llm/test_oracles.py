@@ -5,7 +5,7 @@ from corpusmill.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
 
 
-@pytest.mark.parametrize("name", ["op1_ngram_jaccard", "op7_decontamination", "op8_chat_format"])
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard", "op7_decontamination", "op8_chat_format", "op11_spelling_variants", "op12_substring_dedup", "op13_importance"])
 def test_query_and_sql_agree(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations"):
@@ -18,4 +18,4 @@ def test_query_and_sql_agree(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
