@@ -8,8 +8,8 @@ the length, so the limit does: it is a share of the lowest cosines that passages
 letters have, measured at LENGTHS and interpolated between them;
 longer texts are held to the last, as their cosines only grow.
 
-Learning takes a sample of at most about SAMPLE texts for each language, picked by a hash of the id (repeated rows
-count as often as they are there); all other work is one pass over whole texts, long ones by themselves. Texts that
+Learning takes a sample of at most about SAMPLE texts for each language, picked by a hash of id and text (repeated rows
+count once, and each language has a text at least); all other work is one pass over whole texts, long ones by themselves. Texts that
 are null or without a letter are `und`, score 0 and rejected, and so is all where nothing was learned (no labelled rows).
 An empty table gives no rows.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import light
+from corpusmill.llm.common import cut, light
 from corpusmill.llm.letters import letter_runs, text_blocks
 
 DIMENSIONS = 4096
@@ -159,7 +159,10 @@ def train(docs: DataFrame, usable: Column) -> Centroids:
     if not sizes:
         return learn(np.zeros((0, DIMENSIONS), np.int64), [])
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 30, (SAMPLE << 30) // n))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")]).select("lang", "text")
+    # By id and text, so that rows of one id are sampled like others; repeated rows count once, and each language has a text at least.
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    first = rows.groupBy("lang").agg(F.min_by(F.col("text"), F.struct(chance, F.xxhash64("text"))).alias("text"))
+    picked = cut(rows.where(chance < share[F.col("lang")]).select("lang", "text").unionByName(first).distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,8 +10,7 @@ is the worst passage's probability, on a scale fitted so that the training docum
 
 Since the softmax is linear in means, scoring needs one number for each bucket. Learning takes at most about SAMPLE
 labelled texts of each class, picked by a hash of the id (of rows that repeat an id, the least text; an id that is
-labelled both ways counts as toxic), and of their words at most VOCABULARY, again by a hash. The texts stay on the
-executors, written to the shared folder: the driver sees words with two counts and, in each round, a passage of WIDTH
+labelled both ways counts as toxic); the sample alone bounds its words. The texts stay on the executors, written to the shared folder: the driver sees words with two counts and, in each round, a passage of WIDTH
 words a text. Scoring is one pass over whole texts; a long one is taken by itself. Null and empty texts, and all
 texts where nothing could be learned, score 0; repeated rows come out as often, and an empty table gives no rows.
 """
@@ -31,8 +30,8 @@ from corpusmill.llm.letters import letter_runs, text_blocks
 BUCKETS, VECTOR, WIDTH = 1 << 17, 8, 2
 #: The bound of the training sample: about so many texts of each class.
 SAMPLE = 1500
-#: The bound of the words that training begins with, and the tasks that the sample is kept in.
-VOCABULARY, SLICES = 200_000, 8
+#: The tasks that the sample is kept in.
+SLICES = 8
 #: Score at and above which a document is toxic.
 LIMIT = 0.7
 
@@ -251,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Scorer:
         return sorted(tuple(r) for r in sample.mapInArrow(light(run), "passage string, logit double, toxic int").collect())
 
     counted = sample.mapInArrow(light(words), "word string, toxic int").groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
-    vocabulary = sorted(tuple(r) for r in counted.orderBy(F.xxhash64("word"), "word").limit(VOCABULARY).collect())
+    vocabulary = sorted(tuple(r) for r in counted.collect())  # all words of the sample, which alone bounds them
     of = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     return learn(vocabulary, (of.get(0, 0), of.get(1, 0)), worst)
 

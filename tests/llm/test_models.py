@@ -202,3 +202,14 @@ def test_repeated_ids_do_not_swell_the_sample(spark):
     scorer = X.train(docs, labels, F.lit(True))
     found = scorer.score(texts) >= X.LIMIT
     assert found[toxic == 1].mean() > 0.85 and found[toxic == 0].mean() < 0.1
+
+
+def test_rows_of_one_id_are_sampled_like_others(spark):
+    """Whatever the id, and however often a row repeats, each language is learned from about as many texts as its bound."""
+    text = "The quick brown fox number {} jumps over the lazy dog and goes home through the wood."
+    for doc_id in (0, 2):
+        rows = [(doc_id, text.format(k), "en") for k in range(3 * L.SAMPLE)] + [(doc_id, "Der schnelle braune Fuchs springt über den faulen Hund.", "de")] * 2_000
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+        model = L.train(docs, F.lit(True))
+        assert model.languages == ["de", "en"]
+        assert [x[0] for x in model.predict(["The brown dog goes home", "Der faule Hund springt"])] == ["en", "de"]
