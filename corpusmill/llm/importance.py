@@ -34,27 +34,28 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, letters, letters.lower()))
 
 
-def pieces(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """key (a number for each row), the columns to keep, n_words, piece (number), words (joined by blanks, with the first of the next piece)."""
+def pieces(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """key (a number for each row), the ids, piece (number), words (joined by blanks, with the first of the next piece). Dealt by all
+    but the words, so that whoever reads them needs the same exchange."""
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), *keep, F.coalesce(words, F.array().cast("array<string>")).alias("w"))
-    rows = rows.select("key", *keep, "w", F.size("w").cast("long").alias("n_words"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - 1) / PIECE).cast("int")))).alias("piece"))
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), *ids, F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+    rows = rows.select("key", *ids, "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - 1) / PIECE).cast("int")))).alias("piece"))
     text = F.array_join(F.transform(F.slice("w", F.col("piece") * PIECE + 1, PIECE + ORDERS - 1), lowered), " ")
-    return rows.select("key", *keep, "n_words", "piece", text.alias("words")).repartition("key", "piece")
+    return rows.select("key", *ids, "piece", text.alias("words")).repartition("key", *ids, "piece")
 
 
-def features(parts: DataFrame, keep: list[str]) -> DataFrame:
-    """key, the columns to keep, n_words, bucket: a row for each n-gram, and one with a null bucket for a piece's words beyond its own, and
-    for a text without words."""
-    along = Window.partitionBy("key", "piece").orderBy("at")
-    rows = parts.select("key", *keep, "n_words", "piece", F.posexplode(F.split("words", " ")).alias("at", "word"))
+def features(parts: DataFrame, ids: list[str]) -> DataFrame:
+    """key, the ids, more (words beyond the first), bucket: a row for each n-gram; where there is none (at a text's end, or beyond a
+    piece's own words, or without any word) the bucket is null."""
+    along = Window.partitionBy("key", *ids, "piece").orderBy("at")
+    rows = parts.select("key", *ids, "piece", F.posexplode(F.split("words", " ")).alias("at", "word"))
     after = [F.lead("word", k).over(along).alias(f"word{k}") for k in range(1, ORDERS)]
-    rows = rows.select("key", *keep, "n_words", "at", "word", *after)
+    rows = rows.select("key", *ids, "at", "word", *after)
     own, grams = (F.col("at") < PIECE) & (F.col("word") != ""), [F.col("word")]
     for k in range(1, ORDERS):
         grams.append(F.concat(grams[-1], F.lit(" "), F.col(f"word{k}")))
     buckets = F.array(*[F.when(own, (F.crc32(g.cast("binary")) % BUCKETS).cast("int")) for g in grams])
-    return rows.select("key", *keep, "n_words", F.explode(buckets).alias("bucket"))
+    return rows.select("key", *ids, F.posexplode(buckets).alias("more", "bucket"))
 
 
 def bucket_counts(rows: DataFrame, name: str) -> DataFrame:
@@ -76,8 +77,8 @@ def weighted(docs: DataFrame, target: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = features(pieces(rows, ["doc_id"]), ["doc_id"])
     gain = F.broadcast(gains(own, features(pieces(target.select("text"), []), [])))  # BUCKETS rows
-    sums = own.join(gain, "bucket", "left").groupBy("key", "doc_id", "n_words")
-    return sums.agg(F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).cast("long").alias("weight")).drop("key")
+    sums = own.join(gain, "bucket", "left").groupBy("key", "doc_id")
+    return sums.agg(F.count_if((F.col("more") == 0) & F.col("bucket").isNotNull()).alias("n_words"), F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).cast("long").alias("weight")).drop("key")
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:
