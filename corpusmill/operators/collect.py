@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import approximate_tokens, base_name, byte_size, lines
+from corpusmill.operators.sequences import spread
+
+#: Rows of a group up to which one task goes through it.
+LARGE = 1_000_000
 
 # Names that make a file important in a bundle, readmes, and configuration files.
 IMPORTANT_STEMS = ["main", "app", "index", "settings", "config", "server", "cli", "__init__"]
@@ -26,8 +30,11 @@ def with_sizes(files: DataFrame, max_size: int | None = None) -> DataFrame:
 
 
 def _fold(sized: DataFrame, group: str, order: str, limit: int, budget: bool) -> DataFrame:
-    """A sequential pass over each group in order; the groups' rows come sorted through a task as a stream, so a group of any
-    size needs no more memory than a batch. Only group, order and tokens move."""
+    """A sequential pass over each group in order; the groups' rows come sorted through a task as a stream. Only group, order and
+    tokens move. Groups of more than LARGE rows are spread over many tasks instead (see sequences)."""
+    all_ = sized.select(F.col(group).cast("string").alias("g"), F.col(order).alias("o"), "tokens")
+    large = [r["g"] for r in all_.groupBy("g").count().where(F.col("count") > LARGE).collect()]  # at most a LARGE-th of the rows
+    is_large = F.coalesce(F.col("g").isin([g for g in large if g is not None]), F.lit(None in large))
     kind = "taken boolean" if budget else "chunk long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,9 +55,11 @@ def _fold(sized: DataFrame, group: str, order: str, limit: int, budget: bool) ->
                     out.append(number)
             yield pa.RecordBatch.from_arrays([batch["g"], batch["o"], batch["tokens"], pa.array(out, pa.bool_() if budget else pa.int64())], ["g", "o", "tokens", kind.split()[0]])
 
-    rows = sized.select(F.col(group).cast("string").alias("g"), F.col(order).alias("o"), "tokens").repartition("g").sortWithinPartitions("g", "o")
+    rows = (all_.where(~is_large) if large else all_).repartition("g").sortWithinPartitions("g", "o")
     kinds = dict(sized.dtypes)
     out = rows.mapInArrow(run, f"g string, o {kinds[order]}, tokens long, {kind}")
+    if large:
+        out = out.unionByName(spread(all_.where(is_large), limit, budget))
     return out.withColumnsRenamed({"g": group, "o": order})
 
 
