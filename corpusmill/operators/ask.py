@@ -8,8 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import approximate_tokens
 from corpusmill.operators import index, retrieval
+from corpusmill.operators.collect import chunked
 from corpusmill.operators.search import chunks, retrieve
+from corpusmill.sources import folders
+
+#: Tokens of summaries that one reducing prompt takes, and calls that a task makes.
+PROMPT_TOKENS, CALLS = 12_000, 16
 
 #: complete(prompt, system) -> answer
 Client = Callable[[str, str], str]
@@ -60,8 +66,20 @@ def summarised(parts: DataFrame, client: Client, question: str = "Summarise.") -
     return rows.mapInArrow(run, "path string, ord long, summary string")
 
 
-def summary(parts: DataFrame, client: Client, question: str = "Summarise.") -> str:
-    """Map, then one reducing call over the summaries in order; a single part needs none. The summaries are what one call
-    takes, so they fit the driver."""
-    made = [r["summary"] for r in summarised(parts, client, question).orderBy("path", "ord").collect()]
-    return made[0] if len(made) == 1 else client("\n\n".join(made), question)
+def summary(parts: DataFrame, client: Client, question: str = "Summarise.", limit: int = PROMPT_TOKENS) -> str | None:
+    """One text from all parts (path, ord, content): each is summarised, then runs of summaries that fit one prompt of about `limit` tokens
+    (two at least), until one is left. All calls are made by tasks, of CALLS parts each; each round is written to the shared folder, so
+    a lost executor or driver repeats the calls of tasks that hadn't ended only. The driver sees the last text. A single
+    part needs no second call; without parts the answer is null."""
+    spread = lambda df: df.repartition(max(1, -(-df.count() // CALLS)))
+    made = folders.written(summarised(spread(parts), client, question))
+    while (n := made.count()) > 1:
+        placed = made.select(F.lit("").alias("all"), F.struct("path", "ord").alias("place"), F.greatest(F.lit(1).cast("long"), approximate_tokens(F.coalesce("summary", F.lit("")))).alias("tokens"))
+        chunks_ = chunked(placed, "all", "place", limit).select("place.path", "place.ord", "chunk")
+        if chunks_.select("chunk").distinct().count() == n:  # each fills a prompt by itself
+            chunks_ = chunked(placed.withColumn("tokens", F.lit(1).cast("long")), "all", "place", 2).select("place.path", "place.ord", "chunk")
+        runs = made.join(chunks_, ["path", "ord"]).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("path", "ord", "summary"))).alias("in"))  # what one prompt takes
+        body = F.array_join(F.transform("in", lambda x: x["summary"]), "\n\n", "")
+        made = folders.written(summarised(spread(runs.select(F.lit("").alias("path"), F.col("chunk").alias("ord"), body.alias("content"))), client, question))
+    row = made.first()
+    return None if row is None else row["summary"]

@@ -81,12 +81,23 @@ def tasks(files: DataFrame) -> DataFrame:
     return make.unionByName(npm).unionByName(just)
 
 
-def payload(kind: str, event: Column, message: Column) -> Column:
-    """The JSON body that a webhook of a kind takes."""
+def payload(kind: str, event: Column, message: Column, fields: Column | None = None, extra: dict[str, str] | None = None) -> Column:
+    """The JSON body that a webhook of a kind takes, with named fields (a map of strings; null counts as none). extra: a Jira
+    target's project_key and issue_type."""
+    none = F.create_map().cast("map<string,string>")
+    named = none if fields is None else F.coalesce(fields, none)
+    pairs = F.map_entries(named)
+    some = F.size(pairs) > 0
     if kind == "slack":
-        return F.to_json(F.struct(F.concat(F.lit("*"), event, F.lit("*\n"), message).alias("text")))
+        lines = F.array_join(F.transform(pairs, lambda x: F.concat(F.lit("\n- *"), x["key"], F.lit("*: "), F.coalesce(x["value"], F.lit("")))), "")
+        return F.to_json(F.struct(F.concat(F.lit("*"), event, F.lit("*\n"), message, lines).alias("text")))
     if kind == "teams":
-        return F.to_json(F.struct(F.lit("MessageCard").alias("@type"), F.lit("http://schema.org/extensions").alias("@context"), event.alias("summary"), event.alias("title"), message.alias("text")))
+        facts = F.transform(pairs, lambda x: F.struct(x["key"].alias("name"), F.coalesce(x["value"], F.lit("")).alias("value")))
+        sections = F.when(some, F.array(F.struct(facts.alias("facts")))).otherwise(F.array().cast("array<struct<facts:array<struct<name:string,value:string>>>>"))
+        return F.to_json(F.struct(F.lit("MessageCard").alias("@type"), F.lit("http://schema.org/extensions").alias("@context"), event.alias("summary"), event.alias("title"), message.alias("text"), sections.alias("sections")))
     if kind == "jira":
-        return F.to_json(F.struct(F.struct(F.substring(F.concat(F.lit("["), event, F.lit("] "), message), 1, 255).alias("summary"), message.alias("description")).alias("fields")))
-    return F.to_json(F.struct(event.alias("event"), message.alias("message"), F.create_map().cast("map<string,string>").alias("fields")))
+        given = [(name, key, extra[x]) for name, key, x in (("project", "key", "project_key"), ("issuetype", "name", "issue_type")) if x in (extra or {})]
+        labels = F.when(some, F.transform(pairs, lambda x: F.concat_ws(":", x["key"], x["value"])))  # null is left out
+        about = [F.substring(F.concat(F.lit("["), event, F.lit("] "), message), 1, 255).alias("summary"), message.alias("description")]
+        return F.to_json(F.struct(F.struct(*about, *[F.struct(F.lit(v).alias(key)).alias(name) for name, key, v in given], labels.alias("labels")).alias("fields")))
+    return F.to_json(F.struct(event.alias("event"), message.alias("message"), named.alias("fields")))

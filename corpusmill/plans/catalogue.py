@@ -627,6 +627,24 @@ def webhook_payloads(s: SparkSession, d: str) -> DataFrame:
     return log(s, d).select("id", hygiene.payload("slack", F.col("command"), F.concat(F.lit("user "), F.col("project").cast("string"))).alias("json"))
 
 
+_KINDS = ("slack", "teams", "jira", "generic")
+_EVENT_TEXT = "'user ' || user_id"
+
+
+@register("webhook_payload_fields", f"""WITH e AS (SELECT event_id AS id, event_type AS e, {_EVENT_TEXT} AS m, user_id::varchar AS u, CASE WHEN event_type = 'error' THEN 'high' ELSE 'low' END AS p FROM events)
+SELECT id, 'slack' AS kind, '{{"text":"*' || e || '*\\n' || m || '\\n- *project*: ' || u || '\\n- *severity*: ' || p || '"}}' AS json FROM e
+UNION ALL SELECT id, 'teams', '{{"@type":"MessageCard","@context":"http://schema.org/extensions","summary":"' || e || '","title":"' || e || '","text":"' || m || '","sections":[{{"facts":[{{"name":"project","value":"' || u || '"}},{{"name":"severity","value":"' || p || '"}}]}}]}}' FROM e
+UNION ALL SELECT id, 'jira', '{{"fields":{{"summary":"[' || e || '] ' || m || '","description":"' || m || '","project":{{"key":"OPS"}},"issuetype":{{"name":"Task"}},"labels":["project:' || u || '","severity:' || p || '"]}}}}' FROM e
+UNION ALL SELECT id, 'generic', '{{"event":"' || e || '","message":"' || m || '","fields":{{"project":"' || u || '","severity":"' || p || '"}}}}' FROM e""")
+def webhook_payload_fields(s: SparkSession, d: str) -> DataFrame:
+    """Each event as each kind of webhook takes it, with fields."""
+    rows = log(s, d)
+    fields = F.create_map(F.lit("project"), F.col("project").cast("string"), F.lit("severity"), F.when(F.col("failed"), "high").otherwise("low"))
+    message, extra = F.concat(F.lit("user "), F.col("project").cast("string")), {"project_key": "OPS", "issue_type": "Task"}
+    bodies = F.array(*[F.struct(F.lit(k).alias("kind"), hygiene.payload(k, F.col("command"), message, fields, extra).alias("json")) for k in _KINDS])
+    return rows.select("id", F.explode(bodies).alias("x")).select("id", "x.*")
+
+
 @register("event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts)::timestamp AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(s: SparkSession, d: str) -> DataFrame:
     """What the stream counts, over the table at rest."""
