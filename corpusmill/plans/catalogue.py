@@ -12,7 +12,7 @@ from corpusmill.functions import text as T
 from corpusmill.functions.vectors import TOKEN
 from corpusmill.operators import code, collect, deps, dupes, findings, hygiene, incremental, index, retrieval, search, security, stats
 from corpusmill.operators import commits as C
-from corpusmill.plans import samples
+from corpusmill.plans import projects, samples
 from corpusmill.plans.corpus import commits, files, log, snippets, table
 from corpusmill.plans.stored import CHUNK as CHUNK_IDENTIFIERS
 from corpusmill.plans.stored import stored, updated
@@ -173,9 +173,11 @@ _PAIRS = values([(c, x) for c, xs in search.CONCEPTS.items() for x in xs], "conc
 _WORDS = ["auth", "database", "error", "kubernetes", "token", "test", "view"]
 
 
-@register("query_expand", f"WITH p AS (SELECT * FROM {_PAIRS}), words AS (SELECT unnest({_WORDS}) AS word) SELECT word, word AS term FROM words UNION SELECT word, synonym FROM words JOIN p ON word = concept UNION SELECT word, concept FROM words JOIN p ON word = synonym UNION SELECT word, q.synonym FROM words JOIN p ON word = p.synonym JOIN p q ON q.concept = p.concept")
+@register("query_expand", f"WITH p AS (SELECT * FROM {_PAIRS}), words AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]{{1,}}'))) AS word FROM documents UNION SELECT unnest({_WORDS})) SELECT word, word AS term FROM words UNION SELECT word, synonym FROM words JOIN p ON word = concept UNION SELECT word, concept FROM words JOIN p ON word = synonym UNION SELECT word, q.synonym FROM words JOIN p ON word = p.synonym JOIN p q ON q.concept = p.concept")
 def query_expand(s: SparkSession, d: str) -> DataFrame:
-    return search.expansions(s.createDataFrame([(w,) for w in _WORDS], "word string"))
+    """Each word of the documents, and a few that have synonyms, as a query."""
+    words = files(s, d).select(F.explode(F.array_distinct(T.identifiers(F.col("content")))).alias("word"))
+    return search.expansions(words.unionByName(s.createDataFrame([(w,) for w in _WORDS], "word string")))
 
 
 @register("keyword_search", f"WITH {_LINES}, hits AS (SELECT doc_id, term FROM lines JOIN (SELECT unnest({search.expanded(QUERY)}) AS term) ON contains(lower(line), term)) SELECT doc_id AS path, (count(*) + 3 * count(DISTINCT term))::double AS score, array_to_string(list_sort(list(DISTINCT term)), ',') AS matched_terms FROM hits GROUP BY doc_id")
@@ -285,12 +287,14 @@ def chunk_by_tokens(s: SparkSession, d: str) -> DataFrame:
     return collect.chunked(collect.with_sizes(files(s, d)), "directory", "path", CHUNK)
 
 
-@register("bundle_priority", """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/]+/?([^?#]*)', 1)) AS path FROM pages), n AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM p)
+@register("bundle_priority", """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/]+/?([^?#]*)', 1) || '/' || ({PAGE_FILES})[page_id % 8 + 1]) AS path FROM pages), n AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM p)
 SELECT page_id, (CASE WHEN regexp_replace(name, '(.)\\.[^.]*$', '\\1') IN ('main','app','index','settings','config','server','cli','__init__') THEN 50 ELSE 0 END
  + CASE WHEN name IN ('readme.md','readme.rst','readme.txt','readme') THEN 100 ELSE 0 END + CASE WHEN name IN ('pyproject.toml','package.json','cargo.toml','go.mod','pom.xml','build.gradle','build.gradle.kts','pubspec.yaml','tsconfig.json','dockerfile','docker-compose.yml','docker-compose.yaml','.env.example') THEN 80 ELSE 0 END
- + CASE WHEN contains(path, 'test') OR contains(path, 'spec') THEN -1000 ELSE 0 END)::bigint AS priority FROM n""")
+ + CASE WHEN contains(path, 'test') OR contains(path, 'spec') THEN -1000 ELSE 0 END)::bigint AS priority FROM n""".replace("{PAGE_FILES}", str(projects.PAGE_FILES)))
 def bundle_priority(s: SparkSession, d: str) -> DataFrame:
-    path = F.lower(F.regexp_extract("url", "^[a-z]+://[^/]+/?([^?#]*)", 1))
+    """Of a file with a usual name below each page's path."""
+    name = F.element_at(F.array(*map(F.lit, projects.PAGE_FILES)), (F.col("page_id") % 8 + 1).cast("int"))
+    path = F.lower(F.concat_ws("/", F.regexp_extract("url", "^[a-z]+://[^/]+/?([^?#]*)", 1), name))
     return table(s, d, "pages").select("page_id", collect.priority(path, F.lit(None).cast("long")).alias("priority"))
 
 
@@ -323,10 +327,9 @@ def security_by_severity(s: SparkSession, d: str) -> DataFrame:
     return security.scan(files(s, d)).groupBy("severity", "rule").agg(F.count("*").alias("findings"), F.countDistinct("path").alias("files"))
 
 
-@register("diff_findings", f"SELECT * FROM {values(samples.DIFF_FINDINGS, 'diff, path, line_number, rule')}")
+@register("diff_findings", "SELECT k AS diff, path, line_number::int AS line_number, rule FROM (SELECT o_orderkey AS k, o_orderkey % 50 + 1 AS s FROM orders) AS o, LATERAL (VALUES ('app' || k || '.py', s + 1, 'hardcoded-secret'), ('app' || k || '.py', s + 3, 'python-eval-exec'), ('app' || k || '.py', s + 101, 'shell-true'), ('n.js', 5, 'js-eval')) AS f(path, line_number, rule)")
 def diff_findings(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame([(name, k, x) for name, text in samples.DIFFS for k, x in enumerate(text.split("\n"))], "diff string, n long, line string")
-    return security.scan_diff(rows).select("diff", "path", F.col("line_number").cast("int").alias("line_number"), "rule")
+    return security.scan_diff(projects.diffs(s, d)).select("diff", "path", F.col("line_number").cast("int").alias("line_number"), "rule")
 
 
 # Pages
@@ -555,54 +558,58 @@ def sarif_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return findings.external(logs).select("source", "file", "line", "rule", "severity")
 
 
-@register("lint_reports", f"SELECT * FROM {values(samples.REPORT_FINDINGS, 'source, file, line, rule, severity')}")
+@register("lint_reports", f"SELECT source, file, line::int AS line, rule, severity FROM {projects.REPORTS_SQL}")
 def lint_reports(s: SparkSession, d: str) -> DataFrame:
-    parts = [parse(s.createDataFrame([(x,) for x in samples.REPORTS[name]], "json string")) for name, parse in findings.ADAPTERS.items()]
-    return findings.union(*parts).select("source", "file", F.col("line").cast("int").alias("line"), "rule", "severity")
+    reports = projects.reports(s, d)
+    return findings.union(*[parse(reports[name]) for name, parse in findings.ADAPTERS.items()]).select("source", "file", F.col("line").cast("int").alias("line"), "rule", "severity")
 
 
 # Dependencies, graph, code
 
 
-@register("deps_parse_requirements", f"SELECT * FROM {values(samples.REQUIREMENTS_FOUND, 'name, version')}")
+@register("deps_parse_requirements", f"SELECT name, version FROM {projects.DEPENDENCIES_SQL} WHERE regexp_matches(name, '^[efg]') AND ecosystem = 'python'")
 def deps_parse_requirements(s: SparkSession, d: str) -> DataFrame:
-    return deps.requirements(s.createDataFrame([("requirements.txt", samples.REQUIREMENTS)], "path string, content string")).select("name", "version")
+    return deps.requirements(projects.manifests(s, d)).select("name", "version")
 
 
-@register("deps_manifests", f"SELECT * FROM {values(samples.DEPENDENCIES, 'ecosystem, name, version, dev')}")
+@register("deps_manifests", f"SELECT ecosystem, name, version, dev FROM {projects.DEPENDENCIES_SQL}")
 def deps_manifests(s: SparkSession, d: str) -> DataFrame:
-    return deps.dependencies(s.createDataFrame(samples.MANIFESTS, "path string, content string")).select("ecosystem", "name", "version", F.col("dev").cast("int").alias("dev"))
+    return deps.dependencies(projects.manifests(s, d)).select("ecosystem", "name", "version", F.col("dev").cast("int").alias("dev"))
 
 
-@register("purl", f"SELECT name, 'pkg:' || CASE ecosystem WHEN 'python' THEN 'pypi' WHEN 'node' THEN 'npm' WHEN 'rust' THEN 'cargo' WHEN 'go' THEN 'golang' WHEN 'java' THEN 'maven' WHEN 'flutter' THEN 'pub' ELSE ecosystem END || '/' || name || CASE WHEN coalesce(version, '') <> '' THEN '@' || version ELSE '' END AS purl FROM {values(samples.DEPENDENCIES, 'ecosystem, name, version, dev')}")
+@register("purl", f"SELECT name, 'pkg:' || CASE ecosystem WHEN 'python' THEN 'pypi' WHEN 'node' THEN 'npm' WHEN 'rust' THEN 'cargo' WHEN 'go' THEN 'golang' WHEN 'java' THEN 'maven' WHEN 'flutter' THEN 'pub' ELSE ecosystem END || '/' || name || CASE WHEN coalesce(version, '') <> '' THEN '@' || version ELSE '' END AS purl FROM {projects.DEPENDENCIES_SQL}")
 def purl(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame(samples.DEPENDENCIES, "ecosystem string, name string, version string, dev int")
+    rows = deps.dependencies(projects.manifests(s, d))
     return rows.select("name", T.purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("purl"))
 
 
-@register("import_graph_edges", f"SELECT * FROM {values(samples.EDGES, 'source, target')}")
+_EDGES = """m AS (SELECT c_custkey AS k, 'p' || c_custkey % 10 AS p FROM customer), packages AS (SELECT DISTINCT p FROM m),
+edges AS (SELECT m.p || '.c' || m.k AS source, o.p || '.c' || o.k AS target FROM m JOIN m o ON o.k IN (m.k + 1, m.k + 10) UNION SELECT m.p || '.c' || k, packages.p FROM m JOIN packages ON packages.p = 'p' || (k + 3) % 10)"""
+
+
+@register("import_graph_edges", f"WITH {_EDGES} SELECT * FROM edges")
 def import_graph_edges(s: SparkSession, d: str) -> DataFrame:
-    return code.import_graph(samples.sources(s))[1]
+    return code.import_graph(projects.sources(s, d))[1]
 
 
-@register("import_graph_fan_in", f"WITH e AS (SELECT * FROM {values(samples.EDGES, 'source, target')}) SELECT module, count(target) AS fan_in FROM (SELECT * FROM {values([(m,) for m in samples.MODULES], 'module')}) LEFT JOIN e ON target = module GROUP BY module")
+@register("import_graph_fan_in", f"WITH {_EDGES} SELECT p || '.c' || k AS module, count(target) AS fan_in FROM m LEFT JOIN edges ON target = p || '.c' || k GROUP BY ALL")
 def import_graph_fan_in(s: SparkSession, d: str) -> DataFrame:
-    return code.fan_in(*code.import_graph(samples.sources(s)))
+    return code.fan_in(*code.import_graph(projects.sources(s, d)))
 
 
-@register("complexity_by_function", f"SELECT * FROM {values(samples.COMPLEXITY, 'path, qualname, complexity')}")
+@register("complexity_by_function", "SELECT 'src/p' || k % 10 || '/c' || k || '.py' AS path, qualname, complexity::int AS complexity FROM (SELECT c_custkey AS k FROM customer) AS c, LATERAL (VALUES ('run' || k, 1 + k % 4 + k % 3 + k % 2), ('helper' || k, 1), ('helper' || k || '.Box.get', 2)) AS f(qualname, complexity)")
 def complexity_by_function(s: SparkSession, d: str) -> DataFrame:
-    return code.complexity(samples.sources(s)).select("path", "qualname", F.col("complexity").cast("int").alias("complexity"))
+    return code.complexity(projects.sources(s, d)).select("path", "qualname", F.col("complexity").cast("int").alias("complexity"))
 
 
-@register("unused_imports", f"SELECT * FROM {values(samples.UNUSED_IMPORTS, 'path, name')}")
+@register("unused_imports", "SELECT 'src/p' || k % 10 || '/c' || k || '.py' AS path, name FROM (SELECT c_custkey AS k FROM customer) AS c, LATERAL (VALUES ('json' || k, k % 2 = 1), ('system' || k, true), ('helper' || (k + 1), k % 3 <> 0)) AS f(name, unused) WHERE unused")
 def unused_imports(s: SparkSession, d: str) -> DataFrame:
-    return code.unused_imports(samples.sources(s)).select("path", "name")
+    return code.unused_imports(projects.sources(s, d)).select("path", "name")
 
 
-@register("unused_definitions", f"SELECT * FROM {values(samples.UNUSED_DEFINITIONS, 'path, kind, name')}")
+@register("unused_definitions", "SELECT 'src/p' || k % 10 || '/c' || k || '.py' AS path, 'function' AS kind, name FROM (SELECT c_custkey AS k FROM customer) AS c, LATERAL (VALUES ('run' || k), ('helper' || k)) AS f(name) WHERE k - 1 NOT IN (SELECT c_custkey FROM customer)")
 def unused_definitions(s: SparkSession, d: str) -> DataFrame:
-    rows = samples.sources(s)
+    rows = projects.sources(s, d)
     return code.unused_definitions(rows, rows).select("path", "kind", "name")
 
 
