@@ -48,7 +48,7 @@ def branch_points(node: ast.AST) -> int:
     return total
 
 
-def _measured(tree: ast.Module, _: str) -> Iterator[tuple]:
+def measured(tree: ast.Module, _: str = "") -> Iterator[tuple]:
     """Name, qualified name, line and complexity of the functions in the bodies of modules, classes and functions."""
     waiting: list[tuple[tuple[str, ...], ast.AST]] = [((), tree)]
     for names, owner in waiting:  # grows as scopes are met
@@ -60,14 +60,24 @@ def _measured(tree: ast.Module, _: str) -> Iterator[tuple]:
 def complexity(files: DataFrame) -> DataFrame:
     """path, name, qualname, lineno, complexity of each function. Functions are found in modules, classes and functions,
     not under other statements."""
-    return _parsed(files, _measured, "path string, name string, qualname string, lineno long, complexity long")
+    return _parsed(files, measured, "path string, name string, qualname string, lineno long, complexity long")
+
+
+def most_complex(functions: DataFrame, top: int) -> DataFrame:
+    """The functions of highest complexity."""
+    return functions.orderBy(F.desc("complexity"), "path", "lineno").limit(top)
+
+
+def most_imported(fan_in: DataFrame, top: int) -> DataFrame:
+    """The modules that most others import, of those that any does."""
+    return fan_in.where("fan_in > 0").orderBy(F.desc("fan_in"), "module").limit(top)
 
 
 def file_complexity(functions: DataFrame) -> DataFrame:
     return functions.groupBy("path").agg(F.sum("complexity").alias("complexity"), F.max("complexity").alias("worst"), F.count("*").alias("functions"))
 
 
-def _named(tree: ast.Module, _: str) -> Iterator[tuple]:
+def named(tree: ast.Module, _: str = "") -> Iterator[tuple]:
     """What import statements name, and from how many folders up (0: from the top)."""
     for x in ast.walk(tree):
         module, level = getattr(x, "module", None), getattr(x, "level", 0) or 0
@@ -80,7 +90,7 @@ def _named(tree: ast.Module, _: str) -> Iterator[tuple]:
 def imports(files: DataFrame) -> DataFrame:
     """path, target: what each file imports; `from p import a` targets p. A relative import starts at the file's package, less a
     part for each dot after the first, or at the top where there are not as many."""
-    rows = _parsed(files, _named, "path string, name string, level long")
+    rows = _parsed(files, named, "path string, name string, level long")
     folders = F.split(F.regexp_replace("path", "^src/", ""), "/")
     left = F.greatest(F.lit(0).cast("long"), F.size(folders) - F.col("level"))
     target = F.when(F.col("level") == 0, F.col("name")).otherwise(F.array_join(F.concat(F.slice(folders, F.lit(1), left.cast("int")), F.array("name")), "."))
@@ -151,17 +161,18 @@ def unused_imports(files: DataFrame) -> DataFrame:
     return _parsed(files, _unused, "path string, lineno long, name string")
 
 
-def definitions(files: DataFrame, decorated: bool = False, tests: bool = False) -> DataFrame:
-    """path, lineno, kind, name of top-level functions and classes; by default not decorated ones, tests or dunders."""
+def defined(tree: ast.Module, decorated: bool = False, tests: bool = False) -> Iterator[tuple]:
+    """Line, kind and name of top-level functions and classes; by default not decorated ones, tests or dunders."""
+    for x in tree.body:
+        if isinstance(x, SCOPES) and (decorated or not x.decorator_list):
+            is_class = isinstance(x, ast.ClassDef)
+            if is_class or not (_dunder(x.name) or (x.name.startswith("test_") and not tests)):
+                yield x.lineno, "class" if is_class else "function", x.name
 
-    def rows(tree: ast.Module, _: str) -> Iterator[tuple]:
-        for x in tree.body:
-            if isinstance(x, SCOPES) and (decorated or not x.decorator_list):
-                is_class = isinstance(x, ast.ClassDef)
-                if is_class or not (_dunder(x.name) or (x.name.startswith("test_") and not tests)):
-                    yield x.lineno, "class" if is_class else "function", x.name
 
-    return _parsed(files, rows, "path string, lineno long, kind string, name string")
+def definitions(files: DataFrame, decorated: bool = False, tests: bool = False) -> DataFrame:
+    """path, lineno, kind, name of what defined() gives for each file."""
+    return _parsed(files, lambda tree, _: defined(tree, decorated, tests), "path string, lineno long, kind string, name string")
 
 
 def occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:

@@ -90,6 +90,17 @@ def priority(path: Column, inbound: Column, include_tests: bool = False) -> Colu
     return (score + tests + F.coalesce(inbound, F.lit(0)) * 5).cast("long")
 
 
+def bundled(files: DataFrame, group: str, order: str, budget: int, include_tests: bool = False) -> DataFrame:
+    """group, path, priority, tokens, taken: which of the files (group, path, content, and the order they were met in) a bundle takes within its
+    budget, the most important first, equal ones in order. Tests are no candidates unless wanted. What is not taken is to be named
+    as left out."""
+    stem = F.regexp_replace(base_name(F.col("path")), r"(?<=.)\.[^.]*$", "")
+    sized = files.select(group, "path", F.col(order).alias("met"), approximate_tokens(F.coalesce("content", F.lit(""))).alias("tokens"), stem.alias("stem"))
+    ranked = sized.join(import_counts(files), "stem", "left").withColumn("priority", priority(F.col("path"), F.col("inbound"), include_tests)).where("priority > -1000")
+    placed = ranked.select(group, "tokens", F.struct((-F.col("priority")).alias("rank"), "met", "path").alias("place"))
+    return within_budget(placed, group, "place", budget).select(group, "place.path", (-F.col("place.rank")).alias("priority"), "tokens", "taken")
+
+
 def markdown(collected: list[dict], project: str, title: str | None = None, truncated: bool = False, binary: list[str] = (), too_large: list[str] = ()) -> str:
     """A collection as Markdown; collected: rows of path, language, content, tokens, size, in order (driver side: a
     collection is one document for a reader)."""

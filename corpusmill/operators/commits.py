@@ -34,6 +34,14 @@ def issues(commits: DataFrame) -> DataFrame:
     return commits.select("hash", F.explode(H.issue_ids(F.col("message"))).alias("issue"), H.closes(F.col("message")).alias("closes"))
 
 
+def first_seen(commits: DataFrame) -> DataFrame:
+    """issue, hash, commits: each issue once, in the order in which commits (met: their order, hash, message) first name it, with
+    the first commit that does and how many do."""
+    named = commits.select("met", "hash", F.posexplode(H.issue_ids(F.col("message"))).alias("at", "issue"))
+    seen = named.groupBy("issue").agg(F.min(F.struct("met", "at", "hash")).alias("first"), F.count("*").alias("commits"))
+    return seen.select("issue", "first", F.col("first.hash").alias("hash"), "commits").orderBy("first").select("issue", "hash", "commits")
+
+
 def contributors(stats: DataFrame) -> DataFrame:
     """stats: email, name, additions, deletions, date (one row a commit). By email, or name without one: commits, sums, first
     and last date as instants, and the name of the latest commit."""

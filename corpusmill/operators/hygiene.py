@@ -61,6 +61,11 @@ def clean_candidates(files: DataFrame, older_than: Column | None = None) -> Data
     return out if older_than is None else out.where(F.col("mtime") < older_than)
 
 
+def clean_total(candidates: DataFrame) -> DataFrame:
+    """targets, files, size of all that may be cleaned; one row."""
+    return candidates.agg(F.count("*").alias("targets"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+
+
 def tree(files: DataFrame, depth: int | None = None, source_only: bool = False) -> DataFrame:
     """Adjacency rows: path, parent, depth, is_dir, name of all files and of the folders above them."""
     if source_only:

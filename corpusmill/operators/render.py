@@ -51,6 +51,25 @@ def as_html(rows: list[dict], title: str) -> str:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table>{body}</table></body></html>"
 
 
+def as_json(rows: list[dict]) -> str:
+    """A table as JSON, one object a row."""
+    return json.dumps(rows, indent=2, default=str, ensure_ascii=False)
+
+
+def tree_html(nodes: Iterable[dict], title: str) -> str:
+    """Adjacency rows (path, parent, is_dir, name) as nested lists, folders first."""
+    under: dict[str, list[dict]] = {}
+    for n in nodes:
+        under.setdefault(n["parent"], []).append(n)
+
+    def items(parent: str) -> str:
+        own = sorted(under.get(parent, []), key=lambda n: (not n["is_dir"], n["name"]))
+        return "".join(f"<li><strong>{html.escape(n['name'])}/</strong><ul>{items(n['path'])}</ul></li>" if n["is_dir"] else f"<li>{html.escape(n['name'])}</li>" for n in own)
+
+    head = f"<meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font-family:sans-serif;margin:2rem}}ul{{list-style-type:none}}</style>"
+    return f"<!DOCTYPE html><html><head>{head}</head><body><h1>{html.escape(title)}</h1><ul>{items('')}</ul></body></html>"
+
+
 def tree_lines(nodes: Iterable[dict], root: str) -> list[str]:
     """Adjacency rows (path, parent, is_dir, name) as a drawn tree, folders first."""
     under: dict[str, list[dict]] = {}

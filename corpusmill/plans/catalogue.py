@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import history as H
+from corpusmill.functions import parsers
 from corpusmill.functions import text as T
 from corpusmill.functions.vectors import TOKEN
-from corpusmill.operators import code, collect, deps, dupes, findings, hygiene, incremental, index, retrieval, search, security, stats
+from corpusmill.operators import code, collect, deps, dupes, findings, gates, hygiene, incremental, index, retrieval, search, security, stats
 from corpusmill.operators import commits as C
 from corpusmill.plans import projects, samples
 from corpusmill.plans.corpus import commits, files, log, snippets, table
@@ -298,6 +299,21 @@ def bundle_priority(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", collect.priority(path, F.lit(None).cast("long")).alias("priority"))
 
 
+_PRIORITY = "CASE doc_id % 8 WHEN 0 THEN 50 WHEN 1 THEN 100 WHEN 2 THEN 80 WHEN 5 THEN -950 WHEN 6 THEN 80 WHEN 7 THEN 50 ELSE 0 END"
+
+
+@register("bundle_selection", f"""WITH RECURSIVE {_FILES}, named AS (SELECT directory, path AS doc_id, tokens, path || '/' || ({projects.PAGE_FILES})[path % 8 + 1] AS path FROM files WHERE path % 8 <> 4),
+ranked AS (SELECT directory, path, tokens, {_PRIORITY}::bigint AS priority, doc_id FROM named), r AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY priority DESC, doc_id) AS k FROM ranked),
+f AS (SELECT directory, k, path, priority, tokens, CASE WHEN tokens <= {BUDGET} THEN tokens ELSE 0 END AS total, tokens <= {BUDGET} AS taken FROM r WHERE k = 1
+ UNION ALL SELECT r.directory, r.k, r.path, r.priority, r.tokens, CASE WHEN total + r.tokens <= {BUDGET} THEN total + r.tokens ELSE total END, total + r.tokens <= {BUDGET} FROM f JOIN r ON r.directory = f.directory AND r.k = f.k + 1)
+SELECT directory, path, priority, tokens, taken FROM f""")
+def bundle_selection(s: SparkSession, d: str) -> DataFrame:
+    """A bundle of each directory, of documents with usual file names; tests are no candidates."""
+    name = F.element_at(F.array(*map(F.lit, projects.PAGE_FILES)), (F.col("path") % 8 + 1).cast("int"))
+    named = files(s, d).select("directory", F.col("path").alias("met"), F.concat_ws("/", F.col("path").cast("string"), name).alias("path"), "content")
+    return collect.bundled(named, "directory", "met", BUDGET)
+
+
 @register("collect_manifest", f"WITH {_FILES} SELECT path::varchar AS path, language, tokens, size, sha256(text) AS hash FROM files JOIN documents ON path = doc_id")
 def collect_manifest(s: SparkSession, d: str) -> DataFrame:
     written = collect.manifest(collect.with_sizes(files(s, d)))
@@ -390,6 +406,16 @@ def issue_refs(s: SparkSession, d: str) -> DataFrame:
     return C.issues(all_commits(s, d))
 
 
+@register("issue_first_seen", f"""WITH c AS (SELECT conv_id * 100000 + turn AS met, conv_id || '-' || turn AS hash, text || ' see #' || (conv_id * 7 + turn) % 50 || ' and AB-' || (conv_id + turn * 3) % 20 AS message FROM conversations),
+found AS (SELECT met, hash, unnest(ids) AS issue, unnest(generate_series(1, len(ids))) AS at FROM (SELECT met, hash, list_distinct(list_concat(regexp_extract_all(message, '\\b([A-Z][A-Z0-9]{{1,9}}-\\d+)\\b', 1), regexp_extract_all(message, '(?:^|[^A-Za-z0-9_])#(\\d+)\\b', 1))) AS ids FROM c))
+SELECT issue, arg_min(hash, met) AS hash, count(*) AS commits FROM found GROUP BY issue""")
+def issue_first_seen(s: SparkSession, d: str) -> DataFrame:
+    """Each issue that the messages name (with two more added to each), by the first of them in the order of the log."""
+    rows = table(s, d, "conversations")
+    more = F.concat(F.lit(" see #"), ((F.col("conv_id") * 7 + F.col("turn")) % 50).cast("string"), F.lit(" and AB-"), ((F.col("conv_id") + F.col("turn") * 3) % 20).cast("string"))
+    return C.first_seen(rows.select((F.col("conv_id") * 100000 + F.col("turn")).alias("met"), F.concat_ws("-", "conv_id", "turn").alias("hash"), F.concat("text", more).alias("message")))
+
+
 @register("contributors", "WITH s AS (SELECT l_orderkey, sum(l_quantity)::bigint AS a, sum(l_linenumber)::bigint AS b FROM lineitem GROUP BY 1) SELECT c_name AS author, count(*) AS commits, sum(a)::bigint AS additions, sum(b)::bigint AS deletions, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders JOIN s ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY c_name")
 def contributors(s: SparkSession, d: str) -> DataFrame:
     return C.contributors(_stats(s, d)).drop("name")
@@ -602,6 +628,26 @@ def complexity_by_function(s: SparkSession, d: str) -> DataFrame:
     return code.complexity(projects.sources(s, d)).select("path", "qualname", F.col("complexity").cast("int").alias("complexity"))
 
 
+@register("complexity_topk", "SELECT 'src/p' || k % 10 || '/c' || k || '.py' AS path, 'run' || k AS qualname, (1 + k % 4 + k % 3 + k % 2)::int AS complexity FROM (SELECT c_custkey AS k FROM customer) ORDER BY complexity DESC, path LIMIT 20")
+def complexity_topk(s: SparkSession, d: str) -> DataFrame:
+    return code.most_complex(code.complexity(projects.sources(s, d)), TOP).select("path", "qualname", F.col("complexity").cast("int").alias("complexity"))
+
+
+@register("import_graph_fan_in_topk", f"WITH {_EDGES} SELECT p || '.c' || k AS module, count(*) AS fan_in FROM m JOIN edges ON target = p || '.c' || k GROUP BY ALL ORDER BY fan_in DESC, module LIMIT 20")
+def import_graph_fan_in_topk(s: SparkSession, d: str) -> DataFrame:
+    return code.most_imported(code.fan_in(*code.import_graph(projects.sources(s, d))), TOP)
+
+
+@register("python_facts", """SELECT 'src/p' || k % 10 || '/c' || k || '.py' AS path, kind, name, detail, value FROM (SELECT c_custkey AS k FROM customer) AS c, LATERAL (VALUES
+  ('function', 'run' || k, 'run' || k, 1 + k % 4 + k % 3 + k % 2), ('function', 'helper' || k, 'helper' || k, 1), ('function', 'helper' || k || '.Box.get', 'get', 2),
+  ('import', 'json' || k, NULL, 0), ('import', 'sys' || k, NULL, 0), ('import', 'p' || (k + 1) % 10 || '.c' || (k + 1), NULL, 0), ('import', 'c' || (k + 10), NULL, 1), ('import', 'p' || (k + 3) % 10, NULL, 0),
+  ('definition', 'run' || k, 'function', NULL), ('definition', 'helper' || k, 'function', NULL)) AS f(kind, name, detail, value)""")
+def python_facts(s: SparkSession, d: str) -> DataFrame:
+    """All that one parse of each file gives, by SQL."""
+    parsers.register(s)
+    return s.sql("SELECT path, f.kind, f.name, f.detail, f.value FROM {files}, LATERAL python_facts(content) AS f", files=projects.sources(s, d))
+
+
 @register("unused_imports", "SELECT 'src/p' || k % 10 || '/c' || k || '.py' AS path, name FROM (SELECT c_custkey AS k FROM customer) AS c, LATERAL (VALUES ('json' || k, k % 2 = 1), ('system' || k, true), ('helper' || (k + 1), k % 3 <> 0)) AS f(name, unused) WHERE unused")
 def unused_imports(s: SparkSession, d: str) -> DataFrame:
     return code.unused_imports(projects.sources(s, d)).select("path", "name")
@@ -652,6 +698,19 @@ def webhook_payload_fields(s: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.explode(bodies).alias("x")).select("id", "x.*")
 
 
+@register("filled_templates", "SELECT event_id AS id, 'user ' || user_id || ' did ' || event_type || ' {' || value::varchar || '}' AS text FROM events WHERE value IS NOT NULL")
+def filled_templates(s: SparkSession, d: str) -> DataFrame:
+    """A template filled in for each event."""
+    values_ = F.create_map(F.lit("who"), F.col("project").cast("string"), F.lit("what"), F.col("command"), F.lit("value"), F.col("value").cast("string"))
+    return log(s, d).where("value is not null").select("id", T.filled_in(F.lit("user {who} did {what} {{{value}}}"), values_).alias("text"))
+
+
+@register("phase_shares", "WITH t AS (SELECT event_type AS phase, count(*)::double AS seconds FROM events GROUP BY 1) SELECT row_number() OVER (ORDER BY seconds DESC, phase)::int AS place, phase, format('{:.3f}', seconds) AS seconds, format('{:.1f}%', seconds * 100 / sum(seconds) OVER ()) AS pct FROM t")
+def phase_shares(s: SparkSession, d: str) -> DataFrame:
+    """Events as phases: the share of each kind."""
+    return gates.phase_shares(log(s, d).groupBy(F.col("command").alias("phase")).agg(F.count("*").cast("double").alias("seconds")))
+
+
 @register("event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts)::timestamp AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(s: SparkSession, d: str) -> DataFrame:
     """What the stream counts, over the table at rest."""
@@ -710,3 +769,17 @@ def sarif_logs(s: SparkSession, d: str) -> DataFrame:
     """The labels as fifty logs, and back."""
     rows = label_findings(s, d).withColumn("source", F.concat(F.lit("g"), (F.col("file").cast("long") % 50).cast("string")))
     return findings.external(findings.sarif_log(rows)).select("source", "file", "line", "rule", "severity")
+
+
+@register("ci_gates", f"""SELECT gate, broken, broken > 0 AS failed FROM (
+SELECT 'doctor' AS gate, count(*) FILTER (toxic = 1)::bigint AS broken FROM labels UNION ALL SELECT 'lint', 3 * count(*) FROM orders
+UNION ALL SELECT 'complexity', count(*) FROM (SELECT c_custkey AS k FROM customer) WHERE 1 + k % 4 + k % 3 + k % 2 >= 6
+UNION ALL SELECT 'dupes', count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)
+UNION ALL SELECT 'deadcode', 2 * count(*) FROM customer WHERE c_custkey - 1 NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'commit-lint', count(*) FROM (WITH {_COMMITS}, {_LINT}) WHERE reasons <> ''
+UNION ALL SELECT 'health', greatest(0, 70 - sum(score))::bigint FROM ({ORACLE_SQL["health_score_parts"]}))""")
+def ci_gates(s: SparkSession, d: str) -> DataFrame:
+    """All gates of a build over what the other queries find."""
+    reports, sources = projects.reports(s, d), projects.sources(s, d)
+    lint = findings.union(*[parse(reports[name]) for name, parse in findings.ADAPTERS.items()])
+    return gates.gates(label_findings(s, d), lint, code.complexity(sources), stats.duplicates(files(s, d)), code.unused_definitions(sources, sources), C.linted(all_commits(s, d)), health_score_parts(s, d), 6)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import code, collect, commits, deps, dupes, findings, hygiene, incremental, search
-from corpusmill.plans import samples
+from tests import samples
 from corpusmill.sources.git import GitHistory
 from corpusmill.sources.ignore import IgnoreRules
 from corpusmill.sources.repo_files import RepoFiles
