@@ -42,9 +42,6 @@ SLACK = 1e-9
 TABLES = ("texts", "units", "norms", "postings", "terms", "gone")
 
 
-GONE = "name string, doc long"
-
-
 @dataclass
 class Segment:
     name: str
@@ -124,6 +121,10 @@ def frequencies(spark: SparkSession, base: str, now: Manifest) -> DataFrame:
 def moved(spark: SparkSession, base: str, now: Manifest) -> None:
     """Set each segment's bounds: how far its terms' weights have moved since it was written. One pass over the terms."""
     last = len(now.segments) - 1
+    if last >= 0:
+        now.segments[last].low = now.segments[last].high = 1.0
+    if last <= 0:
+        return
     upto = [F.sum(F.when(F.col("seg") <= k, F.col("df")).otherwise(0)).alias(f"df{k}") for k in range(last + 1)]
     counted = rows(spark, base, now, "terms").groupBy("term").agg(*upto)
     found = []
@@ -133,8 +134,6 @@ def moved(spark: SparkSession, base: str, now: Manifest) -> None:
     bounds = counted.agg(F.count("*"), *found).first()
     for k, s in enumerate(now.segments[:last]):
         s.low, s.high = (bounds[2 * k + 1] or 1.0) * (1 - SLACK), (bounds[2 * k + 2] or 1.0) * (1 + SLACK)
-    if now.segments:
-        now.segments[last].low = now.segments[last].high = 1.0
 
 
 def write_segment(spark: SparkSession, base: str, texts: DataFrame, units: DataFrame | None, gone: DataFrame | None, taken: DataFrame | None, before: int, after: Manifest) -> None:
@@ -143,7 +142,7 @@ def write_segment(spark: SparkSession, base: str, texts: DataFrame, units: DataF
     name = f"segment-{uuid.uuid4().hex}"
     at = f"{base}/{name}"
     texts.select("path", "mark", "content").repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{at}/texts")
-    (spark.createDataFrame([], GONE) if gone is None else gone.select("name", "doc")).write.parquet(f"{at}/gone")
+    (spark.range(0).selectExpr("cast(id AS string) AS name", "id AS doc") if gone is None else gone.select("name", "doc")).write.parquet(f"{at}/gone")
     made = vectors(load(spark, base, name, "texts"), after.limit) if units is None else units.repartitionByRange("path", "chunk_index").sortWithinPartitions("path", "chunk_index")
     made.withColumn("doc", F.monotonically_increasing_id()).write.parquet(f"{at}/units")
     units = load(spark, base, name, "units")
@@ -157,9 +156,10 @@ def write_segment(spark: SparkSession, base: str, texts: DataFrame, units: DataF
     after.segments.append(Segment(name, after.units, own))
     norms(units, frequencies(spark, base, after), after.units, "doc").sortWithinPartitions("doc").write.parquet(f"{at}/norms")
     entry = F.struct("doc", (F.col("share") / F.col("norm")).alias("impact"))
-    entries = shares(units, "doc").join(load(spark, base, name, "norms"), "doc")
-    blocks = entries.groupBy("term", F.shiftright("doc", BLOCK_BITS).alias("block")).agg(F.max(F.col("share") / F.col("norm")).alias("most"), F.collect_list(entry).alias("entries"))  # at most a block's units
-    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{at}/postings")
+    entries = shares(units.join(load(spark, base, name, "norms"), "doc"), "doc", "norm").withColumn("block", F.shiftright("doc", BLOCK_BITS))
+    # Dealt out by range first: grouped and written in the same order, with one exchange.
+    blocks = entries.repartitionByRange("term", "block").groupBy("term", "block").agg(F.max(F.col("share") / F.col("norm")).alias("most"), F.collect_list(entry).alias("entries"))  # at most a block's units
+    blocks.sortWithinPartitions("term", "block").write.parquet(f"{at}/postings")
 
 
 def commit(spark: SparkSession, base: str, now: Manifest) -> Manifest:

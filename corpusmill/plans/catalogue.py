@@ -211,8 +211,8 @@ def semantic_search_updated(s: SparkSession, d: str) -> DataFrame:
     return index.ask(s, updated(s, d), search.expanded(TOPIC), TOP).select(F.col("path").cast("long").alias("path"), "score")
 
 
-@register("semantic_search_samples", f"""WITH {_LINES}, best AS ({_ranked_sql(search.expanded(TOPIC))}), hits AS (SELECT path, score, n, line, k, row_number() OVER (PARTITION BY path ORDER BY k, n) AS place FROM best JOIN lines ON doc_id = path
-JOIN (SELECT term, row_number() OVER (ORDER BY qw DESC, k) AS k FROM ({_query_sql(search.expanded(TOPIC))}) QUALIFY k <= 8) ON contains(lower(line), term))
+@register("semantic_search_samples", f"""WITH {_LINES}, best AS ({_ranked_sql(search.expanded(TOPIC))}), hits AS (SELECT path, score, n, line, row_number() OVER (PARTITION BY path ORDER BY strength, n) AS place FROM best JOIN lines ON doc_id = path
+JOIN (SELECT term, row_number() OVER (ORDER BY qw DESC, k) AS strength FROM ({_query_sql(search.expanded(TOPIC))}) QUALIFY strength <= 8) ON contains(lower(line), term))
 SELECT path, score, n AS line_number, line, place::int AS place FROM hits WHERE place <= 3""")
 def semantic_search_samples(s: SparkSession, d: str) -> DataFrame:
     found, _ = retrieval.semantic_hits(s, stored(s, d, None), TOPIC, TOP)
