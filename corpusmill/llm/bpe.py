@@ -8,7 +8,9 @@ its bytes: merges inside a token depend on nothing outside, and no merge across
 since the same candidate would have won in the pair alone. Tokens outside the window were already stable with
 each other, so the checks at the two edges prove the whole join. Decoding concatenates bytes up the same tree.
 
-Results for odd input: null and empty texts have no tokens; texts of any length are encoded whole.
+Results for odd input: null and empty texts have no tokens; texts of any length are encoded whole, match by match, in memory for the
+text and its ids; rows that repeat an id, and equal texts, each come out; an empty table gives no rows. There are no ties: ids are
+those of the ranks. Further columns are left alone.
 """
 
 from __future__ import annotations

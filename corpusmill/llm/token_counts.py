@@ -5,7 +5,8 @@ the path is popped, and the walk resumes at the node that spells the rest. `link
 node and how many tokens are popped on the way. So counting takes each byte once and builds no pieces.
 
 Texts are first split by the vocabulary's pattern, and each match is counted by itself. All single bytes must
-be tokens; then each byte string has a count. Null and empty texts have 0 tokens.
+be tokens; then each byte string has a count. Null and empty texts have 0 tokens. A long text is held whole, its matches are counted one
+by one. Rows that repeat an id each come out, an empty table gives no rows, and further columns are left alone.
 """
 
 from __future__ import annotations

@@ -35,3 +35,28 @@ def test_run_is_the_stages(spark):
     rows = corpus_pipeline.run(spark, str(DATA))
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
     assert 0 < rows.count() <= spark.read.parquet(f"{DATA}/documents.parquet").count() and rows.where("not round_trip").isEmpty()
+    # Row by row what the stages give in turn.
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(DATA))
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_odd_documents_pass_all_stages(spark, docs, no_docs, tmp_path):
+    """Nulls, empty and repeated rows, further columns: rows without letters go, and one of each group stays."""
+    clean = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns = docs.columns
+    rows = docs.unionByName(clean, allowMissingColumns=True)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, str(DATA))
+        assert set(columns) == set(rows.columns)
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+    left = [r["doc_id"] for r in rows.where("row = 'x'").collect()]
+    assert not set(left) & {1, 2, 3, 40} and left.count(17) <= 1
+    out = corpus_pipeline.STAGES[-1][1](spark, rows, str(DATA))
+    assert out.count() == rows.count() and out.where("not round_trip").isEmpty()
+    rows = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, str(DATA))
+    assert rows.count() == 0
