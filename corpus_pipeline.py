@@ -3,6 +3,12 @@
 All stages but the last return the columns of documents. Toxicity and language ID drop the documents they reject,
 the n-gram Jaccard join keeps one document of each group, decontamination drops contaminated documents, and byte-level
 BPE encodes what is left.
+
+Null and empty texts, and those without a letter, are rejected by language ID (they score 0 in toxicity, which keeps them). Of rows that
+repeat an id, all with the same text or linked texts are one group, of which one stays; others are documents of their own. Of linked
+documents the smallest doc_id stays. Texts are worked on whole in each stage. Columns beyond those of documents pass through all stages
+but the last. Without labels nothing is learned and toxicity keeps all; without learned languages all are rejected. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
