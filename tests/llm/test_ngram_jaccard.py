@@ -1,10 +1,13 @@
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from corpusmill.llm import common
 from corpusmill.llm import ngram_jaccard as N
 from corpusmill.llm import signature_tree as S
 from corpusmill.llm.components import components
@@ -172,3 +175,15 @@ def test_forest_spans():
         return [root.index(r) for r in root]
 
     assert len(some) < 60 * N.FORESTS and parts(zip(a, b)) == parts(zip(a[some], b[some]))
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """What a step has shuffled goes when the step ends; a run of many steps held all of it on disk."""
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    kept = common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    written = common.Written(kept.groupBy("count").agg(F.max("k").alias("k")))
+    time.sleep(1)  # they are removed in the background
+    assert files() <= before and kept.count() == 7
+    assert written.df.count() == 2 and spark.conf.get(common.TIDY) == "false"
+    written.drop()
