@@ -2,8 +2,8 @@
 
     SELECT path, f.* FROM files, LATERAL python_facts(content) AS f
 
-gives each file's functions (value: complexity), imports (value: dots before the name) and top-level definitions (detail: kind), from one
-parse of the file. A text that is no Python, or null, gives no rows.
+gives what code.told() does, from one parse of the file. A text that is no Python, or null, gives no rows. Rows come one at a time, and a worker
+keeps the names that it has met (code.apart); code.facts() gives the same for many files in bounded memory.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from corpusmill.operators.code import defined, measured, named
+from corpusmill.operators.code import told
 
 FACTS = "kind string, name string, detail string, line bigint, value bigint"
 
 
-@udtf(returnType=FACTS, useArrow=True)
+@udtf(returnType=FACTS)  # by Arrow, each row would be a batch of its own
 class PythonFacts:
     """See the module."""
 
@@ -28,9 +28,7 @@ class PythonFacts:
             tree = ast.parse(content or "")
         except (SyntaxError, ValueError, RecursionError):
             return
-        yield from (("function", qualified, name, line, value) for name, qualified, line, value in measured(tree))
-        yield from (("import", name, None, None, level) for name, level in named(tree))
-        yield from (("definition", name, kind, line, None) for line, kind, name in defined(tree))
+        yield from told(tree)
 
 
 def register(spark: SparkSession) -> None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import multiprocessing
+import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,41 +12,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import module_name
+from corpusmill.sources import folders
 
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension, ast.IfExp)
 SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
+def apart(make: Callable[[], object]) -> object:
+    """What make() returns, from a process that ends with it: Python's parser keeps each name that it has met as long as its process
+    lives, so a worker that parsed all files of its tasks itself would grow with the input."""
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe(duplex=False)
+
+    def run() -> None:
+        try:
+            there.send((make(), None))
+        except Exception as x:  # noqa: BLE001 - raised again by the parent
+            there.send((None, x))
+
+    child = context.Process(target=run)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)  # the child uses none of what other threads may hold
+        child.start()
+    there.close()
+    with here:
+        made, failed = here.recv()
+    child.join()
+    if failed is not None:
+        raise failed
+    return made
+
+
 def _parsed(files: DataFrame, rows_of: Callable[[ast.Module, str], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows from each file's syntax tree; a file that is no Python gives none. The one place where a parser is needed."""
     types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
     fields = [x.split() for x in schema.split(", ")]
 
+    def parse(paths: list[str], texts: list[str | None]) -> list[tuple]:
+        out = []
+        for path, text in zip(paths, texts, strict=True):
+            try:
+                tree = ast.parse(text or "")
+            except (SyntaxError, ValueError, RecursionError):
+                continue
+            out += [(path, *row) for row in rows_of(tree, path)]
+        return list(zip(*out, strict=True)) if out else [()] * len(fields)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, text in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                try:
-                    tree = ast.parse(text or "")
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-                out += [(path, *row) for row in rows_of(tree, path)]
-            cols = list(zip(*out, strict=True)) if out else [()] * len(fields)
+            paths, texts = batch["path"].to_pylist(), batch["content"].to_pylist()
+            cols = apart(lambda: parse(paths, texts))  # noqa: B023 - run before the next batch
             yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
     return files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, schema)
 
 
+def under(node: ast.AST) -> list[ast.AST]:
+    """The nodes right under a node that have parts or say something (contexts of names and operators don't)."""
+    out = []
+    for name in node._fields:
+        x = getattr(node, name, None)
+        if isinstance(x, list):
+            out += [y for y in x if isinstance(y, ast.AST)]
+        elif isinstance(x, ast.AST) and x._fields:
+            out.append(x)
+    return out
+
+
+def statements(tree: ast.Module) -> list[ast.AST]:
+    """All statements at any depth (and handlers and cases, which hold some), without a look at expressions."""
+    out: list[ast.AST] = [tree]
+    for x in out:  # grows
+        for name in ("body", "orelse", "handlers", "finalbody", "cases"):
+            if isinstance(inner := getattr(x, name, None), list):
+                out += inner
+    return out
+
+
 def branch_points(node: ast.AST) -> int:
     """Branches under a node, not into functions or classes inside."""
-    total, stack = 0, list(ast.iter_child_nodes(node))
+    total, stack = 0, under(node)
     while stack:
         x = stack.pop()
         if isinstance(x, SCOPES):
             continue
         total += isinstance(x, BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0)
-        stack += ast.iter_child_nodes(x)
+        stack += under(x)
     return total
 
 
@@ -79,36 +133,49 @@ def file_complexity(functions: DataFrame) -> DataFrame:
 
 def named(tree: ast.Module, _: str = "") -> Iterator[tuple]:
     """What import statements name, and from how many folders up (0: from the top)."""
-    for x in ast.walk(tree):
+    for x in statements(tree):
+        if not isinstance(x, ast.Import | ast.ImportFrom):
+            continue
         module, level = getattr(x, "module", None), getattr(x, "level", 0) or 0
         if isinstance(x, ast.ImportFrom) and module:
             yield module, level
-        elif isinstance(x, ast.Import | ast.ImportFrom):
+        else:
             yield from ((a.name, level) for a in x.names)
 
 
 def imports(files: DataFrame) -> DataFrame:
     """path, target: what each file imports; `from p import a` targets p. A relative import starts at the file's package, less a
     part for each dot after the first, or at the top where there are not as many."""
-    rows = _parsed(files, named, "path string, name string, level long")
-    folders = F.split(F.regexp_replace("path", "^src/", ""), "/")
-    left = F.greatest(F.lit(0).cast("long"), F.size(folders) - F.col("level"))
-    target = F.when(F.col("level") == 0, F.col("name")).otherwise(F.array_join(F.concat(F.slice(folders, F.lit(1), left.cast("int")), F.array("name")), "."))
+    return targets(_parsed(files, named, "path string, name string, level long"))
+
+
+def targets(rows: DataFrame) -> DataFrame:
+    """The same from what named() gives for each file (path, name, level)."""
+    parts = F.split(F.regexp_replace("path", "^src/", ""), "/")
+    left = F.greatest(F.lit(0).cast("long"), F.size(parts) - F.col("level"))
+    target = F.when(F.col("level") == 0, F.col("name")).otherwise(F.array_join(F.concat(F.slice(parts, F.lit(1), left.cast("int")), F.array("name")), "."))
     return rows.select("path", target.alias("target"))
 
 
-def modules(files: DataFrame) -> DataFrame:
-    """The modules of the files that parse."""
-    return _parsed(files, lambda tree, _: iter([(len(tree.body),)]), "path string, n long").select(module_name(F.col("path")).alias("module")).distinct()
+def modules(paths: DataFrame) -> DataFrame:
+    """The modules of files (path)."""
+    return paths.select(module_name(F.col("path")).alias("module")).distinct()
+
+
+def with_itself(tree: ast.Module, _: str = "") -> Iterator[tuple]:
+    """What named() gives, after a row without a name, which tells that the file parses."""
+    yield None, None
+    yield from named(tree)
 
 
 def import_graph(files: DataFrame, prefix: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (module) and edges (source, target): imports of known modules, or of packages above them. With a prefix, what
-    lies under it."""
-    nodes = modules(files)
+    lies under it. Files are parsed once, and what that gives is written."""
+    parsed = folders.written(_parsed(files, with_itself, "path string, name string, level long"))
+    nodes = modules(parsed.where("name is null"))
     parts = F.split("module", r"\.")
     known = nodes.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))).alias("target")).distinct()
-    edges = imports(files).select(module_name(F.col("path")).alias("source"), "target").where("source != target").join(known, "target", "left_semi").select("source", "target").distinct()
+    edges = targets(parsed.where("name is not null")).select(module_name(F.col("path")).alias("source"), "target").where("source != target").join(known, "target", "left_semi").select("source", "target").distinct()
     if prefix is not None:
         inside = lambda c: (F.col(c) == prefix) | F.startswith(c, F.lit(prefix + "."))
         nodes = nodes.where(inside("module"))
@@ -147,13 +214,21 @@ def _dunder(name: str) -> bool:
 
 
 def _unused(tree: ast.Module, _: str) -> Iterator[tuple]:
-    used = {x.id for x in ast.walk(tree) if isinstance(x, ast.Name)} | _exports(tree)
-    for x in ast.walk(tree):
-        if isinstance(x, ast.Import) or (isinstance(x, ast.ImportFrom) and x.module != "__future__"):
-            for a in x.names:
-                bound = a.asname or (a.name.split(".")[0] if isinstance(x, ast.Import) else a.name)
-                if bound != "*" and bound not in used and not _dunder(bound):
-                    yield x.lineno, bound
+    given = [x for x in statements(tree) if isinstance(x, ast.Import) or (isinstance(x, ast.ImportFrom) and x.module != "__future__")]
+    if not given:
+        return
+    used, stack = _exports(tree), [tree]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, ast.Name):
+            used.add(x.id)
+        else:
+            stack += under(x)
+    for x in given:
+        for a in x.names:
+            bound = a.asname or (a.name.split(".")[0] if isinstance(x, ast.Import) else a.name)
+            if bound != "*" and bound not in used and not _dunder(bound):
+                yield x.lineno, bound
 
 
 def unused_imports(files: DataFrame) -> DataFrame:
@@ -175,6 +250,19 @@ def definitions(files: DataFrame, decorated: bool = False, tests: bool = False)
     return _parsed(files, lambda tree, _: defined(tree, decorated, tests), "path string, lineno long, kind string, name string")
 
 
+def told(tree: ast.Module, _: str = "") -> Iterator[tuple]:
+    """kind, name, detail, line, value of a file's functions (value: complexity), imports (value: dots before the name) and top-level
+    definitions (detail: kind)."""
+    yield from (("function", qualified, name, line, value) for name, qualified, line, value in measured(tree))
+    yield from (("import", name, None, None, level) for name, level in named(tree))
+    yield from (("definition", name, kind, line, None) for line, kind, name in defined(tree))
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """path and what told() gives, from one parse of each file."""
+    return _parsed(files, told, "path string, kind string, name string, detail string, line long, value long")
+
+
 def occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
     """name, path, n: how often each name (name) stands as a word in each text (path, content). Texts become words, summed in
     each, which join the names; no text meets every name."""

@@ -22,6 +22,12 @@ def files_of(rows: DataFrame, *named: tuple[Column, Column]) -> DataFrame:
     return rows.select(F.explode(F.array(*[F.struct(p.alias("path"), c.alias("content")) for p, c in named])).alias("f")).select("f.*")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Keys (k), dealt out to a few tasks for each core: a small file of keys is read by a few tasks only, and what is made of each key is
+    much larger."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "k")
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: of each part, a manifest of each kind, a text that is none, and a broken one."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
@@ -55,8 +61,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     a relative import, the package three on, and two modules of which it uses one if k is even. Its function has k % 4 branches, k % 3
     loops and an `and` if k is odd; it calls the next one's helper if k is divisible by 3. A broken module for every customer besides."""
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(k.alias("k"), (k % 10).alias("p"), (k + 1).alias("a"), ((k + 1) % 10).alias("q"), (k + 10).alias("b"), ((k + 3) % 10).alias("r"))
     n = F.col("k")
+    rows = spread(table(spark, sf_dir, "customer").select(k.alias("k"))).select("k", (n % 10).alias("p"), (n + 1).alias("a"), ((n + 1) % 10).alias("q"), (n + 10).alias("b"), ((n + 3) % 10).alias("r"))
     body = F.concat(F.repeat(F.lit("    if x:\n        pass\n"), (n % 4).cast("int")), F.repeat(F.lit("    for i in x:\n        pass\n"), (n % 3).cast("int")), F.when(n % 2 == 1, "    y = x and 1\n").otherwise("    y = x\n"))
     text = F.concat(
         fmt("import json{}\nimport sys{} as system{}\nfrom p{}.c{} import run{}, helper{}\nfrom . import c{}\nimport p{}\n\n", "k", "k", "k", "q", "a", "a", "a", "b", "r"),
