@@ -30,7 +30,7 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: of each part, a manifest of each kind, a text that is none, and a broken one."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s")))
     texts = {
         "pyproject.toml": fmt('[project]\ndependencies = ["a{}>=0.{}", "b{}"]\n[project.optional-dependencies]\ndev = ["c{}>=8"]\n[tool.poetry.dependencies]\npython = "^3.9"\nd{} = "^{}"\n', "k", "s", "k", "k", "k", "s"),
         "requirements.txt": fmt("# tools of {}\ne{}[extra]>={}.0\n-r other.txt\n\nf{}\ng{} =={} ; python_version > '3.8'\n", "k", "k", "s", "k", "k", "s"),
