@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import search
+from corpusmill.operators import index, search
 from corpusmill.plans.corpus import files
 from tests.conftest import DATA
 
@@ -20,3 +20,20 @@ def test_strongest_terms_with_rare_ones_joined(spark, monkeypatch):
     df = search.document_frequencies(docs).orderBy(F.desc("df")).collect()
     few = search.candidates(docs, {r["term"]: r["df"] for r in df}, docs.count(), 3).count()
     assert few < len(w) / 5
+
+
+def test_norms_with_rare_terms_joined(spark, monkeypatch, tmp_path):
+    docs = files(spark, str(DATA)).select(F.col("path").cast("string").alias("path"), F.lit("1").alias("mark"), "content")
+    for common in (20, 200_000):
+        monkeypatch.setattr(index, "COMMON", common)
+        base = f"{tmp_path}/{common}"
+        now = index.build(docs, base, 50)
+        units, df = (index.rows(spark, base, now, t) for t in ("units", "terms"))
+        plain = {r["doc"]: r["norm"] for r in index.norms(units, df, now.units, "doc").collect()}
+        written = {r["doc"]: r["norm"] for r in index.rows(spark, base, now, "norms").collect()}
+        assert plain.keys() == written.keys() and all(abs(plain[d] - written[d]) < 1e-12 for d in plain)
+        held = index.rows(spark, base, now, "postings").select("term", F.explode("entries").alias("e")).select("term", "e.doc", "e.impact")
+        want = {(r["term"], r["doc"]): r["share"] / plain[r["doc"]] for r in index.shares(units, "doc").collect()}
+        got = held.collect()
+        assert len(got) == len(want) and all(abs(want[r["term"], r["doc"]] - r["impact"]) < 1e-12 for r in got)
+        assert index.rows(spark, base, now, "postings").groupBy("term", "block").count().where("count > 1").isEmpty()
